@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siltstone.llm import language_id
+from siltstone.llm import html_text, language_id, token_counts, token_output
 from siltstone.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,5 +22,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id}
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, written as block files in ascending doc_id and read back from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_output.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_output.read_ids(manifest).drop("ids")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every whole page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, by line."""
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op4_token_output": op4_token_output,
+    "op7_html_text": op7_html_text,
+    "op10_token_counts": op10_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
