@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import html_text, language_id, token_counts, token_output
+from siltstone.llm import html_text, language_id, piece_codec, token_counts, token_output
 from siltstone.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents")
+    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, written as block files in ascending doc_id and read back from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_piece_codec": op2_piece_codec,
     "op4_token_output": op4_token_output,
     "op7_html_text": op7_html_text,
     "op10_token_counts": op10_token_counts,
