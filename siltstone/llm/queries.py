@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import html_text, language_id, piece_codec, token_counts, token_output
+from siltstone.llm import html_text, language_id, piece_codec, token_counts, token_output, toxicity
 from siltstone.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,16 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; learnt from folds other than 1 of crc32(doc_id) mod 3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    chain = toxicity.train(docs, labels.filter(~held_out))
+    found = toxicity.score(docs, chain)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, by line."""
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op2_piece_codec": op2_piece_codec,
     "op4_token_output": op4_token_output,
     "op7_html_text": op7_html_text,
+    "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
