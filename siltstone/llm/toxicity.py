@@ -3,8 +3,8 @@
 Token labels come from labelled documents: a token is marked toxic where it
 stands in a toxic document and the sample shows it almost only in such
 documents.  A two-label chain is trained on windows of those tokens; its
-forward-backward marginals give offending spans, and their sum and maximum give
-the document's score through a logistic calibration on the document labels.
+forward-backward marginals give offending spans, and their sum, maximum and density
+give the document's score through a logistic calibration on the document labels.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ _WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class ToxicityParams:
     #: Bound of the training sample: documents for each label, windows of each, tokens of a window.
-    docs_per_label: int = 3000
+    docs_per_label: int = 5000
     windows_per_doc: int = 2
     window: int = 40
-    #: Words of the lexicon: at most, in so many toxic documents at least, this many times likelier there.
+    #: Words of the lexicon: at most, in so many toxic documents at least, this many times likelier there,
+    #: and with a log-likelihood ratio that chance does not give among a million words.
     lexicon: int = 4000
-    least_docs: int = 5
+    least_docs: int = 3
     ratio: float = 10.0
+    evidence: float = 25.0
     steps: int = 80
     rate: float = 0.1
     seed: int = 11
@@ -51,7 +53,7 @@ class Chain:
         self.emission = np.concatenate(([-3.0], np.minimum(odds, 4.0)))  # 0: any other word
         self.near = np.zeros(2)  # added when the word before, or after, is in the lexicon
         self.step = np.array([[1.0, 0.0], [0.0, 1.0]])
-        self.calibration = np.array([0.0, 0.0, 0.0])
+        self.calibration = np.zeros(4)
 
     def ids(self, tokens: list[str]) -> list[int]:
         index = self.index
@@ -107,9 +109,9 @@ class Chain:
                 w -= params.rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        """Logistic regression of document labels on the two aggregates, by Newton steps with a small ridge."""
+        """Logistic regression of document labels on the aggregates, by Newton steps with a small ridge."""
         design = np.column_stack((np.ones(len(x)), x))
-        c, ridge = np.zeros(3), np.diag([1e-6, 1e-3, 1e-3]) * weights.sum()
+        c, ridge = np.zeros(4), np.diag([1e-6, 1e-4, 1e-4, 1e-4]) * weights.sum()
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(design @ c, -30, 30)))
             h = (design * (weights * p * (1 - p))[:, None]).T @ design + ridge
@@ -184,8 +186,10 @@ class Chain:
         first[edge[:-1][size > 0]] = True
         p = self.marginals(stream, first)
         total = np.concatenate(([0.0], np.cumsum(p)))
-        x = np.zeros((len(texts), 2))
-        x[:, 0] = np.log1p(np.maximum(total[edge[1:]] - total[edge[:-1]], 0))
+        x = np.zeros((len(texts), 3))
+        mass = np.maximum(total[edge[1:]] - total[edge[:-1]], 0)
+        x[:, 0] = np.log1p(mass)
+        x[:, 2] = np.log1p(100 * mass / np.maximum(size, 1))
         if len(p):
             x[size > 0, 1] = np.maximum.reduceat(p, edge[:-1][size > 0])
         z = np.clip(self.calibration[0] + x @ self.calibration[1:], -30, 30)
@@ -221,9 +225,11 @@ def train(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
 
     with_toxic, without = F.sum("toxic"), F.sum(1 - F.col("toxic"))
     odds = F.log((F.col("a") + 0.1) / n[1]) - F.log((F.col("b") + 0.1) / n[0])
+    share = n[1] / (n[0] + n[1])
+    evidence = 2 * (F.col("a") * F.log(F.col("a") / (F.col("a") + F.col("b")) / share) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b")) / (1 - share))).otherwise(0.0))
     lexicon = (
         sample.select("toxic", "text").mapInArrow(words, "word string, toxic int").groupBy("word").agg(with_toxic.alias("a"), without.alias("b"))
-        .filter(F.col("a") >= params.least_docs).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(params.ratio)))
+        .filter(F.col("a") >= params.least_docs).withColumn("odds", odds).filter((F.col("odds") >= float(np.log(params.ratio))) & (evidence >= params.evidence))
         .orderBy(F.desc(F.col("a") * F.col("odds")), "word").limit(params.lexicon).collect()
     )
     lexicon.sort(key=lambda r: r["word"])
@@ -255,11 +261,11 @@ def train(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
         own = pickle.loads(model.value)
         for b in batches:
             x, _, _ = own.score(b.column(2).to_pylist(), spans=False)
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "x0", "x1"])
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), *(pa.array(x[:, i]) for i in range(3))], ["toxic", "x0", "x1", "x2"])
 
-    got = sample.mapInArrow(measure, "toxic int, x0 double, x1 double").toArrow().to_pandas().sort_values(["toxic", "x0", "x1"])
+    got = sample.mapInArrow(measure, "toxic int, x0 double, x1 double, x2 double").toArrow().to_pandas().sort_values(["toxic", "x0", "x1", "x2"])
     weight = got["toxic"].map({k: rates[k] / n[k] for k in n}).to_numpy()
-    chain.calibrate(got[["x0", "x1"]].to_numpy(), got["toxic"].to_numpy(), weight / weight.mean())
+    chain.calibrate(got[["x0", "x1", "x2"]].to_numpy(), got["toxic"].to_numpy(), weight / weight.mean())
     sample.unpersist()
     return chain
 
