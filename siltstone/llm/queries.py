@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import html_text, language_id, piece_codec, token_counts, token_output, toxicity
+from siltstone.llm import html_text, language_id, near_dup, piece_codec, token_counts, token_output, toxicity
 from siltstone.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all whole texts: four-word shingles, similarity 0.8."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, written as block files in ascending doc_id and read back from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_piece_codec": op2_piece_codec,
+    "op3_near_dup": op3_near_dup,
     "op4_token_output": op4_token_output,
     "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,
