@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import html_text, language_id, near_dup, piece_codec, token_counts, token_output, toxicity
+from siltstone.llm import html_text, language_id, near_dup, piece_codec, repeats, token_counts, token_output, toxicity
 from siltstone.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_ids(manifest).drop("ids")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every whole text once windows of 50 words of earlier documents are gone."""
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every whole page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op2_piece_codec": op2_piece_codec,
     "op3_near_dup": op3_near_dup,
     "op4_token_output": op4_token_output,
+    "op6_repeats": op6_repeats,
     "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
