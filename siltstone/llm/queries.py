@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import html_text, language_id, near_dup, piece_codec, repeats, token_counts, token_output, toxicity
+from siltstone.llm import decontaminate, html_text, language_id, near_dup, piece_codec, repeats, token_counts, token_output, toxicity
 from siltstone.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_ids(manifest).drop("ids")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten benchmark words in all whole texts."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every whole text once windows of 50 words of earlier documents are gone."""
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
@@ -73,9 +78,32 @@ QUERIES: dict[str, Query] = {
     "op2_piece_codec": op2_piece_codec,
     "op3_near_dup": op3_near_dup,
     "op4_token_output": op4_token_output,
+    "op5_decontaminate": op5_decontaminate,
     "op6_repeats": op6_repeats,
     "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, w[s:s + least(len(w), 10) - 1] AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM i WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT len(win) AS size FROM iw),
+dw AS (
+  SELECT doc_id, s, size, w[s:s + size - 1] AS win
+  FROM (SELECT doc_id, w, size, unnest(range(1, CAST(len(w) - size + 2 AS BIGINT))) AS s FROM d, sizes WHERE len(w) >= size)
+),
+hit AS (SELECT doc_id, s, size, item FROM dw JOIN iw USING (win)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
+       sha256(coalesce(its.names, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+}
