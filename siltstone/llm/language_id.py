@@ -190,16 +190,16 @@ def train(labelled: DataFrame, params: LanguageIdParams = LanguageIdParams()) ->
     return ByteNet(params, _byte_classes(windows), languages).fit(windows, labels)
 
 
-def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """Add lang_pred and score to `docs`, which needs doc_id and text.
+def identify(docs: DataFrame, net: ByteNet | None, label: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """Add the columns `label` and `score_name` to `docs`, which needs text.
 
     Null and letterless texts give `und` with score 0; so does every text when
     there was nothing to learn from.  Repeated rows are scored alike.  Columns
-    of `docs` named lang_pred, score or _letters are replaced.
+    of `docs` with the added names are replaced; choose others to keep them.
     """
-    docs = docs.drop("lang_pred", "score", "_letters")
+    docs = docs.drop(label, score_name)
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.withColumns({label: F.lit(UNDETERMINED), score_name: F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
     names = net.languages
     ready: list[ByteNet] = []
@@ -222,10 +222,10 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
         return pd.DataFrame({"lang_pred": [names[i] for i in np.concatenate(which)], "score": np.concatenate(how).astype(float)})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    scored = docs.withColumn("_letters", letters).withColumn("_got", score(F.when(F.col("_letters"), F.col("text"))))
-    return scored.withColumns(
+    both = docs.withColumn(label, score(F.when(letters, F.col("text"))))
+    return both.withColumns(
         {
-            "lang_pred": F.when(F.col("_letters"), F.col("_got.lang_pred")).otherwise(F.lit(UNDETERMINED)),
-            "score": F.when(F.col("_letters"), F.least(F.col("_got.score"), F.lit(1.0))).otherwise(F.lit(0.0)),
+            label: F.when(letters, F.col(label)["lang_pred"]).otherwise(F.lit(UNDETERMINED)),
+            score_name: F.when(letters, F.least(F.col(label)["score"], F.lit(1.0))).otherwise(F.lit(0.0)),
         }
-    ).drop("_letters", "_got")
+    )
