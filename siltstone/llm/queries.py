@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, html_text, language_id, near_dup, piece_codec, repeats, token_counts, token_output, toxicity
+from siltstone.llm import decontaminate, html_text, language_id, near_dup, piece_codec, repeats, token_counts, token_output, toxicity, vector_dup
 from siltstone.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op9_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more between all vectors."""
+    return vector_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, by line."""
     docs = table(spark, sf_dir, "documents")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op6_repeats": op6_repeats,
     "op7_html_text": op7_html_text,
     "op8_toxicity": op8_toxicity,
+    "op9_vector_dup": op9_vector_dup,
     "op10_token_counts": op10_token_counts,
 }
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
