@@ -1,11 +1,463 @@
-"""Every registered query of the library proper, with its SQL."""
+"""Every registered query of the library proper, with its SQL where SQL can state it.
+
+All of them read the given tables whole.  The tables lend their columns to the
+retrieval model: documents and their lines are chunks, benchmark items are
+questions, embeddings stand beside documents and items of equal id, labels give
+verdicts and scores, events and conversations are logs of turns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siltstone.functions import models
+from siltstone.functions.html import html_to_text
+from siltstone.functions.text import book_body, collapse, strip, tokens, words
+from siltstone.functions.vectors import cosine_distance, nearest
+from siltstone.operators import chunks as C
+from siltstone.operators import evaluate as E
+from siltstone.operators import monitor as M
+from siltstone.operators import search as S
+from siltstone.operators.sections import sections
+from siltstone.plans import knowledge as K
+from siltstone.sources import io
+from siltstone.sources.schemas import orphans, unknown_values
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return io.read_table(spark, folder, name)
+
+
+def _kb(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as books: id, source_type, title, raw_text."""
+    d = _t(spark, folder, "documents")
+    return d.select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"), F.lit("book").alias("source_type"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("raw_text"))
+
+
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as sections of their own."""
+    return _t(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("raw_text"))
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return _t(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return _vectors(spark, folder).filter("id % 50 = 0").select(F.col("id").alias("qid"), "vector", "label")
+
+
+# -- vectors -------------------------------------------------------------------
+
+_UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+_NEAR = f"""v AS (SELECT vec_id, label, {_UNIT} AS e FROM embeddings),
+n AS (SELECT q.vec_id AS qid, v.vec_id AS id, q.label AS q_label, v.label,
+        round(1 - list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 9) AS distance
+      FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM n)"""
+
+
+@query(f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM r WHERE rank <= 5")
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return nearest(_asked(spark, folder), _vectors(spark, folder), S.TOP_K, skip_self=True).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id FROM r WHERE rank <= 60")
+def vector_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The pool of sixty for the same questions."""
+    return nearest(_asked(spark, folder), _vectors(spark, folder), S.POOL, skip_self=True).select("qid", "rank", "id")
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings)
+SELECT a.vec_id AS id, round(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS distance
+FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""")
+def cosine_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Distance of each vector to the next."""
+    a = _vectors(spark, folder).select("id", F.col("vector").alias("a"))
+    b = _vectors(spark, folder).select((F.col("id") - 1).alias("id"), F.col("vector").alias("b"))
+    return a.join(b, "id").select("id", F.round(cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@query(f"""WITH {_NEAR}, f AS (SELECT qid, min(rank) AS first FROM r WHERE rank <= 5 AND label = q_label GROUP BY qid),
+q AS (SELECT vec_id AS qid FROM v WHERE vec_id % 50 = 0)
+SELECT round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, count(*) AS n_questions
+FROM q LEFT JOIN f USING (qid)""")
+def hit_rate_mrr(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of the nearest five when an equal label is what is sought."""
+    hits = nearest(_asked(spark, folder), _vectors(spark, folder), S.TOP_K, skip_self=True)
+    placed = hits.join(_vectors(spark, folder).select("id", F.col("label").alias("target")), "id")
+    ranks = E.reciprocal_ranks(_asked(spark, folder).select("qid", F.col("label").alias("target")), placed)
+    return E.hit_rate_mrr(ranks).select(F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"), "n_questions")
+
+
+# -- words ---------------------------------------------------------------------
+
+_W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_ALL = f"""d AS (SELECT doc_id AS id, {_W} AS w FROM documents),
+q AS (SELECT item_id AS qid, list_distinct({_W}) AS w FROM benchmark),
+m AS (SELECT qid, id, d.w AS have, q.w AS want FROM q JOIN d ON len(q.w) > 0 AND list_has_all(d.w, q.w)),
+k AS (SELECT qid, id, len(list_filter(have, lambda x: list_contains(want, x))) AS score FROM m),
+kr AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM k)"""
+
+
+@query(f"WITH {_ALL} SELECT qid, id FROM m")
+def lexical_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold every word of an item."""
+    return S.containing_all(_texts(spark, folder), _items(spark, folder))
+
+
+def _lexical(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    met = S.containing_all(_texts(spark, folder), _items(spark, folder)).join(_texts(spark, folder), "id").join(_items(spark, folder).withColumnRenamed("text", "q"), "qid")
+    want = F.array_distinct(words(F.col("q")))
+    score = F.size(F.filter(words(F.col("text")), lambda w: F.array_contains(want, w))).cast("long")
+    return S.ranked(met.select("qid", "id", score.alias("score")), k, F.desc("score")).select("qid", "rank", "id", "score")
+
+
+@query(f"WITH {_ALL} SELECT qid, CAST(rank AS INTEGER) AS rank, id, CAST(score AS BIGINT) AS score FROM kr WHERE rank <= 5")
+def lexical_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The five of those with most occurrences."""
+    return _lexical(spark, folder, S.TOP_K)
+
+
+@query()
+def fts_english_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """Stemmed matches of whole items, by cover density."""
+    return S.keyword(_texts(spark, folder), _items(spark, folder))
+
+
+_HYBRID = f"""{_ALL},
+v AS (SELECT vec_id, {_UNIT} AS e FROM embeddings),
+n AS (SELECT b.item_id AS qid, v.vec_id AS id, round(1 - list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 9) AS distance
+      FROM benchmark b JOIN v q ON q.vec_id = b.item_id, v),
+vr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM n),
+f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, a.rank AS kw_rank, b.rank AS vec_rank,
+        coalesce(CAST(1 AS DOUBLE) / (60 + a.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + b.rank), 0) AS score
+      FROM (SELECT * FROM kr WHERE rank <= 60) a FULL JOIN (SELECT * FROM vr WHERE rank <= 60) b ON a.qid = b.qid AND a.id = b.id),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kw_rank NULLS LAST, vec_rank NULLS LAST, id) AS rank FROM f)"""
+
+
+def _fused(spark: SparkSession, folder: str) -> DataFrame:
+    v = _vectors(spark, folder)
+    asked = _items(spark, folder).select("qid").join(v.select(F.col("id").alias("qid"), "vector"), "qid")
+    return S.rrf(_lexical(spark, folder, S.POOL), nearest(asked, v, S.POOL))
+
+
+@query(f"WITH {_HYBRID} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(score, 9) AS score FROM h WHERE rank <= 5")
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Both rankings of an item fused; a vector stands for the document and the item of its id."""
+    return _fused(spark, folder).select("qid", "rank", "id", F.round("score", 9).alias("score"))
+
+
+_CITED = f"""{_HYBRID},
+c AS (SELECT h.qid, h.rank, h.id, d.source AS title, CAST(l.quality AS VARCHAR) AS section, d.text
+      FROM h JOIN documents d ON h.rank <= 5 AND d.doc_id = h.id LEFT JOIN labels l ON l.doc_id = h.id)"""
+
+
+def _cited(spark: SparkSession, folder: str) -> DataFrame:
+    d = _t(spark, folder, "documents")
+    chunks = d.select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("document_id"), F.col("doc_id").alias("section_id"))
+    documents = d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.lit("book").alias("source_type"))
+    split = _t(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("section_title"))
+    return S.with_citations(_fused(spark, folder), chunks, documents, split)
+
+
+@query(f"WITH {_CITED} SELECT qid, CAST(rank AS INTEGER) AS rank, id, title AS document_title, section AS section_title, md5(text) AS text_md5 FROM c")
+def retrieve_with_citation(spark: SparkSession, folder: str) -> DataFrame:
+    """Text, source and (nullable) label of what was retrieved."""
+    return _cited(spark, folder).select("qid", "rank", "id", "document_title", "section_title", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {_CITED} SELECT qid, md5(string_agg('[' || rank || '] (Source: ' || coalesce(nullif(title, ''), 'n/a') || ' — ' || coalesce(nullif(section, ''), 'n/a') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_md5
+FROM c GROUP BY qid""")
+def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
+    """The numbered passages of each item's prompt."""
+    return S.context(_cited(spark, folder)).select("qid", F.md5("context").alias("context_md5"))
+
+
+@query(f"WITH {_CITED}, s AS (SELECT qid, title, min(rank) AS first FROM c GROUP BY qid, title) SELECT qid, string_agg(title, '|' ORDER BY first) AS sources FROM s GROUP BY qid")
+def ordered_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct sources of each item's documents, by first rank."""
+    return S.ordered_sources(_cited(spark, folder)).select("qid", F.array_join("sources", "|").alias("sources"))
+
+
+# -- text, sections, chunks -----------------------------------------------------
+
+_TOK = r"regexp_extract_all(text, '[^ \t\n\r\f\v]+[ \t\n\r\f\v]*|[ \t\n\r\f\v]+')"
+_FIXED = f"""t AS (SELECT doc_id, {_TOK} AS t FROM documents),
+k AS (SELECT doc_id, t, CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 250 THEN 1 ELSE CAST(ceil((len(t) - 250) / 200.0) AS BIGINT) + 1 END AS n FROM t),
+w AS (SELECT doc_id, unnest(range(n)) AS i, t FROM k),
+fx AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, i, t[200 * i + 1:200 * i + 250] AS win, array_to_string(t[200 * i + 1:200 * i + 250], '') AS text FROM w)"""
+
+
+@query(f"WITH {_FIXED} SELECT document_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(win) AS INTEGER) AS token_count, md5(text) AS text_md5 FROM fx")
+def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping token windows, before tiny ones are merged (only texts under 51 tokens have any)."""
+    rows = _whole(spark, folder).select("document_id", F.posexplode(C.fixed(F.col("raw_text"))).alias("chunk_index", "text"))
+    return rows.select("document_id", "chunk_index", F.size(tokens(F.col("text"))).alias("token_count"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def chunk_structure(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs packed to 1200 characters."""
+    return C.chunk(_whole(spark, folder), "structure")
+
+
+@query()
+def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    """Coarse separators first, then finer ones, with overlap."""
+    return C.chunk(_whole(spark, folder), "recursive")
+
+
+@query()
+def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks, tokens and longest chunk of each strategy over sections."""
+    return C.chunk_all(sections(_kb(spark, folder))).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("tokens"), F.max(F.length("text")).alias("longest"))
+
+
+@query()
+def section_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of documents as books."""
+    return sections(_kb(spark, folder))
+
+
+@query()
+def factsheet_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of pages as fact sheets."""
+    pages = _t(spark, folder, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("factsheet").alias("source_type"), F.col("url").alias("title"), html_to_text("html").alias("raw_text"))
+    return sections(pages)
+
+
+_LINES = """l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+o AS (SELECT doc_id, i, 1 + coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(line) AS len FROM l)"""
+
+
+@query(f"WITH {_LINES} SELECT printf('d-%d-s%03d', doc_id, i) AS id, CAST(start AS BIGINT) AS start, CAST(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY i), start + len + 1) AS BIGINT) AS end_offset FROM o")
+def section_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered lines with start and, from the next line, end."""
+    text = _t(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    rows = text.select("doc_id", F.posexplode("lines").alias("i", "line"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    start = F.lit(1) + F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("start", start.cast("long"))
+    end = F.coalesce(F.lead("start").over(w), F.col("start") + F.length("line") + 1)
+    return placed.select(F.format_string("d-%d-s%03d", "doc_id", "i").alias("id"), "start", end.cast("long").alias("end_offset"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), '^ | $', '', 'g')) AS clean_md5, CAST(length(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) AS INTEGER) AS body_chars FROM documents""")
+def clean_text(spark: SparkSession, folder: str) -> DataFrame:
+    """White space collapsed, and the length of the text between book markers (there are none, so of all of it)."""
+    d = _t(spark, folder, "documents")
+    return d.select("doc_id", F.md5(strip(collapse(F.col("text")))).alias("clean_md5"), F.length(book_body(F.col("text"))).alias("body_chars"))
+
+
+@query()
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Marked text of every page."""
+    return _t(spark, folder, "pages").select("page_id", html_to_text("html").alias("text"))
+
+
+# -- monitoring and relational forms ---------------------------------------------
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    """events as turns: value is the cost, the id gives tokens and seconds."""
+    e = _t(spark, folder, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("value").alias("cost"), (F.col("event_id") % 7 / 2).alias("response_time"), (F.col("event_id") % 100 + F.col("user_id") % 10).alias("total_tokens"), (F.col("event_id") % 100).alias("prompt_tokens"), (F.col("user_id") % 10).alias("completion_tokens"))
+
+
+_TURNS = "t AS (SELECT event_id AS id, ts AS timestamp, value AS cost, (event_id % 7) / 2.0 AS response_time, event_id % 100 + user_id % 10 AS total_tokens, event_id % 100 AS prompt_tokens, user_id % 10 AS completion_tokens FROM events)"
+
+
+@query(f"WITH {_TURNS} SELECT count(*) AS n_conversations, round(coalesce(sum(cost), 0), 4) AS total_cost, round(coalesce(avg(response_time), 0), 6) AS avg_latency, round(coalesce(avg(total_tokens), 0), 6) AS avg_tokens, round(coalesce(avg(prompt_tokens), 0), 6) AS avg_prompt_tokens, round(coalesce(avg(completion_tokens), 0), 6) AS avg_completion_tokens FROM t")
+def overview_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    o = M.overview(_turns(spark, folder))
+    return o.select("n_conversations", F.round("total_cost", 4).alias("total_cost"), *(F.round(c, 6).alias(c) for c in o.columns[2:]))
+
+
+@query(f"WITH {_TURNS} SELECT id, CAST(epoch_us(timestamp) AS BIGINT) AS micros, CAST(cost AS DOUBLE) AS cost, CAST(response_time AS DOUBLE) AS response_time, total_tokens, prompt_tokens, completion_tokens FROM t")
+def timeseries(spark: SparkSession, folder: str) -> DataFrame:
+    t = M.timeseries(_turns(spark, folder))
+    return t.select("id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("micros"), "cost", "response_time", "total_tokens", "prompt_tokens", "completion_tokens")
+
+
+def _feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels as feedback: judge rows give a verdict, user rows (the left-over documents) a score or none."""
+    d, lab = _t(spark, folder, "documents").select("doc_id"), _t(spark, folder, "labels")
+    both = d.join(lab, "doc_id", "left")
+    label = F.when(F.col("toxic") == 1, "NON_RELEVANT").when(F.col("quality") == 1, "RELEVANT").when(F.col("quality") == 0, "PARTLY_RELEVANT")
+    score = F.when(F.col("quality") == 1, 1).when(F.col("toxic") == 0, -1).when(F.col("toxic") == 1, 0)
+    source = F.when(F.col("doc_id") % 2 == 0, "judge").otherwise("user")
+    return both.select(F.col("doc_id").alias("id"), (F.col("doc_id") / 3).cast("long").alias("conversation_id"), source.alias("source"), label.alias("relevance"), score.alias("score"))
+
+
+_FEEDBACK = """f AS (SELECT d.doc_id AS id, d.doc_id // 3 AS conversation_id, CASE WHEN d.doc_id % 2 = 0 THEN 'judge' ELSE 'user' END AS source,
+ CASE WHEN toxic = 1 THEN 'NON_RELEVANT' WHEN quality = 1 THEN 'RELEVANT' WHEN quality = 0 THEN 'PARTLY_RELEVANT' END AS relevance,
+ CASE WHEN quality = 1 THEN 1 WHEN toxic = 0 THEN -1 WHEN toxic = 1 THEN 0 END AS score
+ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+@query(f"""WITH {_FEEDBACK} SELECT CAST(c.place AS INTEGER) AS place, c.relevance, count(f.id) AS n
+FROM (VALUES (0, 'RELEVANT'), (1, 'PARTLY_RELEVANT'), (2, 'NON_RELEVANT')) c(place, relevance) LEFT JOIN f ON f.relevance = c.relevance AND f.source = 'judge' GROUP BY ALL""")
+def judge_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return M.judge_distribution(_feedback(spark, folder))
+
+
+@query(f"WITH {_FEEDBACK} SELECT CASE WHEN score > 0 THEN 'up' WHEN score < 0 THEN 'down' ELSE 'neutral' END AS kind, count(*) AS n FROM f WHERE source = 'user' GROUP BY kind")
+def feedback_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return M.user_feedback(_feedback(spark, folder))
+
+
+@query(f"""WITH {_FEEDBACK}, j AS (SELECT CASE WHEN id % 4 = 0 THEN 'a' ELSE 'b' END AS config, coalesce(relevance, 'UNPARSEABLE') AS r, id % 50 AS tok FROM f WHERE source = 'judge')
+SELECT config, count(*) AS sample_size, count(*) FILTER (r = 'NON_RELEVANT') AS non_relevant, count(*) FILTER (r = 'PARTLY_RELEVANT') AS partly_relevant, count(*) FILTER (r = 'RELEVANT') AS relevant, count(*) FILTER (r = 'UNPARSEABLE') AS unparseable,
+ round(count(*) FILTER (r = 'NON_RELEVANT') / CAST(count(*) AS DOUBLE), 6) AS bad_rate, round(count(*) FILTER (r = 'RELEVANT') / CAST(count(*) AS DOUBLE), 6) AS relevant_rate FROM j GROUP BY config""")
+def ab_summary(spark: SparkSession, folder: str) -> DataFrame:
+    f = _feedback(spark, folder).filter("source = 'judge'")
+    config = F.when(F.col("id") % 4 == 0, "a").otherwise("b")
+    s = E.summarise(f.select(config.alias("config"), F.coalesce("relevance", F.lit(models.UNPARSEABLE)).alias("relevance"), (F.col("id") % 50).alias("answer_tokens"), F.lit(0.0).alias("latency_seconds")))
+    return s.drop("avg_answer_tokens", "avg_latency_seconds").withColumns({c: F.round(c, 6) for c in ("bad_rate", "relevant_rate")})
+
+
+@query(f"""WITH {_FEEDBACK}, j AS (SELECT CASE WHEN id % 4 = 0 THEN 'a' ELSE 'b' END AS config, relevance AS r FROM f WHERE source = 'judge')
+SELECT config FROM (SELECT config, count(*) FILTER (r = 'RELEVANT') / CAST(count(*) AS DOUBLE) AS g, count(*) FILTER (r = 'NON_RELEVANT') / CAST(count(*) AS DOUBLE) AS b FROM j GROUP BY config) ORDER BY g DESC, b, config LIMIT 1""")
+def ab_winner(spark: SparkSession, folder: str) -> DataFrame:
+    return E.winner(ab_summary(spark, folder)).select("config")
+
+
+@query(f"WITH {_FEEDBACK} SELECT conversation_id, min(id) AS id FROM f WHERE source = 'user' AND conversation_id % 5 <> 0 GROUP BY conversation_id")
+def new_feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each conversation without feedback; every fifth counts as having some."""
+    f = _feedback(spark, folder).filter("source = 'user'").withColumn("timestamp", F.lit(0))
+    return M.new_feedback(f, f.filter("conversation_id % 5 = 0")).select("conversation_id", "id")
+
+
+_SPEECH = r"c AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE n END) AS p, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS a FROM (SELECT conv_id, role, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')), 0) AS n FROM conversations) GROUP BY conv_id)"
+
+
+def _speech(spark: SparkSession, folder: str) -> DataFrame:
+    c = _t(spark, folder, "conversations").withColumn("n", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))), F.lit(0)))
+    said = F.col("role") == "assistant"
+    return c.groupBy("conv_id").agg(F.sum(F.when(said, 0).otherwise(F.col("n"))).alias("prompt_tokens"), F.sum(F.when(said, F.col("n")).otherwise(0)).alias("completion_tokens"))
+
+
+@query(f"WITH {_SPEECH} SELECT conv_id AS id, 'prompt_tokens' AS kind, CAST(p AS BIGINT) AS tokens FROM c UNION ALL SELECT conv_id, 'completion_tokens', CAST(a AS BIGINT) FROM c")
+def token_unpivot(spark: SparkSession, folder: str) -> DataFrame:
+    return M.long_tokens(_speech(spark, folder).withColumnRenamed("conv_id", "id"))
+
+
+@query(f"""WITH {_SPEECH}, m AS (SELECT conv_id, CAST(p AS BIGINT) AS prompt_tokens, CAST(a AS BIGINT) AS completion_tokens, ['gpt-5.6-luna', 'gpt-5.6-terra', 'gpt-5.6-sol', 'unlisted'][CAST(conv_id % 4 + 1 AS INTEGER)] AS model FROM c)
+SELECT conv_id, m.model, round(coalesce((prompt_tokens * i + completion_tokens * o) / 1e6, 0), 9) AS cost
+FROM m LEFT JOIN (VALUES ('gpt-5.6-luna', 0.20::DOUBLE, 1.20::DOUBLE), ('gpt-5.6-terra', 2.00, 12.00), ('gpt-5.6-sol', 5.00, 30.00)) t(model, i, o) ON t.model = m.model""")
+def estimate_cost(spark: SparkSession, folder: str) -> DataFrame:
+    names = F.array(*(F.lit(m) for m in ("gpt-5.6-luna", "gpt-5.6-terra", "gpt-5.6-sol", "unlisted")))
+    t = _speech(spark, folder).withColumn("model", names[(F.col("conv_id") % 4).cast("int")])
+    return M.with_cost(t).select("conv_id", "model", F.round("cost", 9).alias("cost"))
+
+
+@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, sum(length(text)) FILTER (role = 'user') AS user_chars, avg(length(text)) AS mean_chars FROM conversations GROUP BY conv_id")
+def conversation_stats(spark: SparkSession, folder: str) -> DataFrame:
+    c = _t(spark, folder, "conversations")
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("turn").alias("last_turn"), F.sum(F.when(F.col("role") == "user", F.length("text"))).alias("user_chars"), F.avg(F.length("text")).alias("mean_chars"))
+
+
+@query("""WITH o AS (SELECT doc_id AS id, source AS source_ref, lang AS title, n_chars AS raw FROM documents WHERE doc_id % 3 <> 0),
+n AS (SELECT doc_id AS id, 'new' AS source_ref, upper(lang) AS title, n_chars + 1 AS raw FROM documents WHERE doc_id % 2 = 0)
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.source_ref ELSE o.source_ref END AS source_ref, CASE WHEN n.id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.id IS NULL THEN o.raw ELSE n.raw END AS raw FROM o FULL JOIN n ON o.id = n.id""")
+def upsert_documents(spark: SparkSession, folder: str) -> DataFrame:
+    d = _t(spark, folder, "documents")
+    old = d.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("source").alias("source_ref"), F.col("lang").alias("title"), F.col("n_chars").alias("raw"))
+    new = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("new").alias("source_ref"), F.upper("lang").alias("title"), (F.col("n_chars") + 1).alias("raw"))
+    return io.upsert(old, new, "id", ("title", "raw"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def incremental_pending(spark: SparkSession, folder: str) -> DataFrame:
+    return io.pending(_t(spark, folder, "documents").select("doc_id"), _t(spark, folder, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, toxic FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphaned_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return orphans(_t(spark, folder, "labels").select("doc_id", "toxic"), _t(spark, folder, "embeddings"), "doc_id", "vec_id")
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de') GROUP BY lang")
+def enum_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return unknown_values(_t(spark, folder, "documents"), "lang", ("en", "de"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 150")
+def sample_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    """A sample of 150 that no partitioning changes."""
+    return E.fixed_sample(_t(spark, folder, "documents").select("doc_id"), F.col("doc_id"))
+
+
+@query("""SELECT event_id, CASE WHEN upper(trim(event_type)) IN ('CLICK', 'VIEW', 'PURCHASE') THEN upper(trim(event_type)) ELSE 'UNPARSEABLE' END AS label, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_defensive_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """A field of the JSON column, null where it does not parse, and labels of an enumeration."""
+    e = _t(spark, folder, "events")
+    label = F.upper(strip(F.col("event_type")))
+    return e.select("event_id", F.when(label.isin("CLICK", "VIEW", "PURCHASE"), label).otherwise(models.UNPARSEABLE).alias("label"), F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT row_number() OVER (ORDER BY source, doc_id) AS id, doc_id FROM documents")
+def dense_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids in key order."""
+    return io.dense_ids(_t(spark, folder, "documents").select("source", "doc_id"), "source", "doc_id").select(F.col("id").cast("long").alias("id"), "doc_id")
+
+
+# -- models (offline stand-ins) ----------------------------------------------------
+
+def _model_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kb = _kb(spark, folder)
+    split = sections(kb)
+    chunks = C.chunk(split, "structure").withColumn("id", F.xxhash64("section_id", "chunk_index"))
+    return kb, split, chunks.join(models.embed(chunks.select("id", "text")).select("id", "vector"), "id")
+
+
+@query()
+def generated_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of every section."""
+    return models.generate_questions(sections(_kb(spark, folder)))
+
+
+@query()
+def answers_judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item asked, answered, and judged."""
+    kb, split, chunks = _model_chunks(spark, folder)
+    told = K.answer(_items(spark, folder), chunks, kb, split, "gpt-5.6-luna")
+    return K.judged(M.with_cost(told))
+
+
+@query()
+def retrieval_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Hit rate and reciprocal rank of three methods, items as questions and the sections that hold all their words as targets."""
+    _, split, chunks = _model_chunks(spark, folder)
+    items = _items(spark, folder)
+    holds = S.containing_all(split.select("id", F.col("raw_text").alias("text")), items).groupBy("qid").agg(F.min("id").alias("target"))
+    vectors = models.embed(items.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "vector")
+    return E.evaluate(chunks, items.join(holds, "qid").join(vectors, "qid"), ("structure",))
