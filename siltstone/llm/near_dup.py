@@ -7,11 +7,10 @@ bits, corrected for chance collisions, estimates the similarity by bit counts.
 Pairs whose estimate is within reach of the threshold are confirmed on full
 sets, and links give components.
 
-Documents with equal sets are one class from the start.  Within a bucket each
-member first meets the smallest only; then classes of different components meet
-their likeliest partners, and last whatever candidates remain between different
-components.  So a bucket of n linked documents costs about n pairs, and no link
-between different components goes untested.
+Documents with equal sets are one class from the start.  A bucket yields only a
+spanning forest of its candidate pairs, never the pairs themselves; the forests'
+components are families, and no link leaves a family.  Families are compared on
+full sets, block by block, and again yield spanning forests, now of links.
 """
 
 from __future__ import annotations
@@ -122,86 +121,29 @@ def sketch(docs: DataFrame, params: NearDupParams) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
-def unequal(a: str, b: str, params: NearDupParams):
-    """Column: minima whose low bits differ, by bit counts over two packed signatures."""
-    ones = sum(1 << i for i in range(0, 64, params.bits))
-    mask = ones - (1 << 64) if ones >> 63 else ones
-    parts = []
-    for i in range(params.longs):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        k = 1
-        while k < params.bits:
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-            k *= 2
-        parts.append(F.bit_count(x.bitwiseAND(F.lit(mask))))
-    return reduce(lambda p, q: p + q, parts)
-
-
-def _close_pairs(members: DataFrame, params: NearDupParams, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket whose components differ and whose estimate is within reach.
-
-    `members` has bucket, id, component, bits.  Buckets of more than a block are
-    dealt out as pairs of blocks, so no task holds more than two.  `best_only`
-    keeps, for each member and each other component, the likeliest partner.
-    """
-    limit, bits = params.most_unequal, params.bits
-    ones = np.uint64(sum(1 << i for i in range(0, 64, bits)))
+def _dealt(members: DataFrame, unit: str, columns: tuple[str, ...], block: int) -> DataFrame:
+    """Rows of each unit that has two rows or more, as pairs of blocks: sorted by unit, i, j, with each row's own block."""
+    sizes = members.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = members.join(sizes.select(unit, blocks.alias("blocks")), unit).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col(unit).alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", *columns)
+    return dealt.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
-    def differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(x), len(y)), np.int32)
-        for i in range(x.shape[1]):
-            z = x[:, None, i] ^ y[None, :, i]
-            k = 1
-            while k < bits:
-                z |= z >> np.uint64(k)
-                k *= 2
-            total += np.bitwise_count(z & ones)
-        return total
-
-    def pairs(ids: np.ndarray, group: np.ndarray, sig: np.ndarray, block: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
-        one, two = (np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min())) if apart else (np.arange(len(ids)),) * 2
-        if not len(one) or not len(two):
-            return ids[:0], ids[:0]
-        d = differ(sig[one], sig[two])
-        d[group[one][:, None] == group[two][None, :]] = limit + 1
-        i, j = np.nonzero(d <= limit)
-        a, b, w = one[i], two[j], d[i, j]
-        if best_only and len(a):
-            keep = np.zeros(len(a), bool)
-            for left, other in ((a, group[b]), (b, group[a])):
-                order = np.lexsort((w, other, left))
-                first = np.append(True, (np.diff(left[order]) != 0) | (np.diff(other[order]) != 0))
-                keep[order[first]] = True
-            a, b = a[keep], b[keep]
-        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in _with_end(source):
-            whole = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if whole is None or not whole.num_rows:
-                continue
-            unit = np.stack([whole.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            cuts = np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1
-            edges = [0, *cuts.tolist(), *([len(unit)] if b is None else [])]
-            rest = None if b is None else whole.slice(edges[-1])
-            if len(edges) < 2:
-                continue
-            ids, group, block = (whole.column(c).to_numpy() for c in ("id", "component", "block"))
-            sig = np.array(whole.column("bits").combine_chunks().flatten()).astype(np.int64).view(np.uint64).reshape(-1, params.longs)
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                x, y = pairs(ids[lo:hi], group[lo:hi], sig[lo:hi], block[lo:hi], unit[lo, 1] != unit[lo, 2])
-                if len(x):
-                    both = np.unique(np.stack((x, y), 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    blocks = F.ceil(F.col("n") / params.block).cast("int")
-    placed = members.join(sizes.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "bits")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _by_unit(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """Tables of one unit each, from rows sorted by unit, i, j; and whether it pairs two blocks."""
+    rest: pa.Table | None = None
+    for b in _with_end(source):
+        whole = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if whole is None or not whole.num_rows:
+            continue
+        unit = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("unit", "i", "j")], 1)
+        cuts = np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1
+        edges = [0, *cuts.tolist(), *([len(unit)] if b is None else [])]
+        rest = None if b is None else whole.slice(edges[-1])
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield bool(unit[lo, 1] != unit[lo, 2]), whole.slice(lo, hi - lo)
 
 
 def _with_end(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -209,23 +151,107 @@ def _with_end(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, params: NearDupParams) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _sides(block: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two sides that a unit compares; both are the whole for a unit of one block."""
+    if apart:
+        return np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min())
+    return (np.arange(len(block)),) * 2
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of pairs (a, b) that make a spanning forest of n nodes."""
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep, left = [], n
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+            left -= 1
+            if left == 1:
+                break
+    return keep
+
+
+def _edges(ids: np.ndarray, one: np.ndarray, two: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
+    i, j = np.nonzero(linked)
+    a, b = one[i], two[j]
+    keep = _forest(len(ids), a, b)
+    if not keep:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], ["a", "b"])
+
+
+def likely(members: DataFrame, params: NearDupParams) -> DataFrame:
+    """A spanning forest (a, b) of each bucket's pairs whose estimated similarity is within reach.
+
+    `members` has bucket, id, bits (the packed signature).  The estimate is the
+    share of equal low bits, corrected for chance, and so a bound on the count
+    of unequal ones.  A task holds two blocks of a bucket at most.
+    """
+    limit, bits = params.most_unequal, params.bits
+    ones = np.uint64(sum(1 << i for i in range(0, 64, bits)))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                n, m = len(x) // 8, len(y) // 8
-                both = n + m - len(np.unique(np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))))
-                keep.append(100 * both >= params.percent * (n + m - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for apart, unit in _by_unit(source):
+            sig = np.array(unit.column("bits").combine_chunks().flatten()).astype(np.int64).view(np.uint64).reshape(-1, params.longs)
+            one, two = _sides(unit.column("block").to_numpy(), apart)
+            unequal = np.zeros((len(one), len(two)), np.int32)
+            for i in range(params.longs):
+                z = sig[one, None, i] ^ sig[None, two, i]
+                k = 1
+                while k < bits:
+                    z |= z >> np.uint64(k)
+                    k *= 2
+                unequal += np.bitwise_count(z & ones)
+            near = unequal <= limit
+            if not apart:
+                near &= ~np.tri(len(one), dtype=bool)
+            got = _edges(unit.column("id").to_numpy(), one, two, near)
+            if got is not None:
+                yield got
+
+    return _dealt(members, "bucket", ("bits",), params.block).mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(families: DataFrame, params: NearDupParams) -> DataFrame:
+    """A spanning forest (a, b) of each family's links, judged on full sets.
+
+    `families` has family, id, shingles.  The intersections of one row with all
+    of the other block come from that block's postings at once.
+    """
 
-    size = lambda c: F.octet_length(c)
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(one, "a").join(two, "b").filter((100 * size("x") >= params.percent * size("y")) & (100 * size("y") >= params.percent * size("x")))
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for apart, unit in _by_unit(source):
+            sets = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
+            one, two = _sides(unit.column("block").to_numpy(), apart)
+            if not len(one) or not len(two):
+                continue
+            size = np.array([len(x) for x in sets])
+            everything = np.concatenate([sets[k] for k in two])
+            order = np.argsort(everything, kind="stable")
+            values, owner = everything[order], np.repeat(np.arange(len(two)), size[two])[order]
+            linked = np.zeros((len(one), len(two)), bool)
+            for r, k in enumerate(one):
+                lo, hi = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+                run_length = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(run_length)[:-1])), run_length) + np.arange(run_length.sum())
+                both = np.bincount(owner[at], minlength=len(two))
+                linked[r] = 100 * both >= params.percent * (size[k] + size[two] - both)
+            if not apart:
+                linked &= ~np.tri(len(one), dtype=bool)
+            got = _edges(unit.column("id").to_numpy(), one, two, linked)
+            if got is not None:
+                yield got
+
+    return _dealt(families, "family", ("shingles",), params.block).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
@@ -242,36 +268,20 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     classes = settle(usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
 
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last").select("bucket", "head")
-    members = settle(rows.join(heads, "bucket"))
-    bits = classes.select("id", "bits")
-    first = members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("q")), "b")
-    tested = settle(first.filter(unequal("p", "q", params) <= params.most_unequal).select("a", "b"))
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket")
+    members = rows.join(shared, "bucket").join(classes.select("id", "bits"), "id")
+    families = settle(components(likely(members, params)).select(F.col("node").alias("id"), F.col("component").alias("family")))
 
     def collect(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), params.shingle)], pa.binary())], ["id", "shingles"])
-
-    met = members.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(met, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = settle(texts.mapInArrow(collect, "id long, shingles binary"))
-    links = settle(confirm(tested, sets, params))
-    found = settle(components(links))
-    with_bits = members.select("bucket", "id").join(bits, "id")
-    for best_only in (True, False):
-        placed = with_bits.join(found, with_bits["id"] == found["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("component"), "bits")
-        more = settle(_close_pairs(placed, params, best_only).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tested = tested.unionByName(more)
-        extra = settle(confirm(more, sets, params))
-        if extra.isEmpty():
-            continue
-        links = links.unionByName(extra)
-        found = settle(components(links))
+                sets = [s.tobytes() for s in shingle_sets(part.column(2).to_pylist(), params.shingle)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "family", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(families, "id").groupBy("id", "family").agg(F.min("text").alias("text"))
+    sets = settle(texts.mapInArrow(collect, "id long, family long, shingles binary"))
+    found = components(confirmed(sets, params))
     of_class = classes.select("set_key", F.col("id")).join(found, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = drawn.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
