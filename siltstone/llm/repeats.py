@@ -139,7 +139,7 @@ def shard_of(doc: int, shards: int) -> int:
     return xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) % shards
 
 
-_RUNS = "doc_id long, first_window int, last_window int, phrase long, key1 long, key2 long, windows array<struct<h1:long,h2:long,at:int>>"
+_RUNS = "doc_id long, first_window int, last_window int, phrase long, key1 long, key2 long, windows array<struct<h1:long,h2:long,at:array<int>>>"
 
 
 def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
@@ -187,7 +187,10 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
                         out.append((*row, None))
                         continue
                     w = np.arange(s, e + 1)
-                    own = [{"h1": x, "h2": y, "at": z} for x, y, z in zip(h1(w, w + p.window).view(np.int64).tolist(), h2(w, w + p.window).view(np.int64).tolist(), (w + at).tolist(), strict=True)]
+                    places: dict[tuple[int, int], list[int]] = {}
+                    for x, y, z in zip(h1(w, w + p.window).view(np.int64).tolist(), h2(w, w + p.window).view(np.int64).tolist(), (w + at).tolist(), strict=True):
+                        places.setdefault((x, y), []).append(z)
+                    own = [{"h1": x, "h2": y, "at": z} for (x, y), z in places.items()]
                     if not salted and not known:
                         known[a, c] = (*row, own)
                         out.append((*row, None))
@@ -198,7 +201,7 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
                             known[other] = None
                     known[a, c] = None
                     out.append((*row, own))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32())])))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.list_(pa.int32()))])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "first_window", "last_window", "phrase", "key1", "key2", "windows"])
 
     load = pieces.filter("kind = 1").groupBy("shard").agg(F.sum("words").alias("load"))
@@ -221,11 +224,11 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, p: RepeatParams) -> Dat
 
     key = ["phrase", "key1", "key2"]
     first = found.groupBy(*key).agg(F.min("doc_id").alias("first"))
-    placed = settle(found.join(first, key))
-    whole = placed.filter("doc_id > first").select("doc_id", F.col("first_window").alias("start"), (F.col("last_window") + p.window).alias("end"))
-    single = placed.filter("doc_id = first AND windows IS NOT NULL").select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.h1", "w.h2", "w.at")
+    spans = found.select("doc_id", "first_window", "last_window", *key).join(first, key).filter("doc_id > first")
+    whole = spans.select("doc_id", F.col("first_window").alias("start"), (F.col("last_window") + p.window).alias("end"))
+    single = found.filter("windows IS NOT NULL").select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.h1", "w.h2", "w.at")
     earliest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    each = single.join(earliest, ["h1", "h2"]).filter("doc_id > first").select("doc_id", F.col("at").alias("start"), (F.col("at") + p.window).alias("end"))
+    each = single.join(earliest, ["h1", "h2"]).filter("doc_id > first").select("doc_id", F.explode("at").alias("start")).withColumn("end", F.col("start") + p.window)
     return whole.union(each).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
