@@ -102,7 +102,7 @@ def merge_tiny_column(chunks: Column) -> Column:
     """merge_tiny as one fold, for chunks made by built-in functions."""
     last = lambda a: F.element_at(a, -1)
     absorb = lambda a, c: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(last(a), F.lit("\n\n"), c)))
-    tiny = lambda a, c: (F.size(a) > 0) & ((F.length(c) < TINY_CHARS) | (F.size(a) == 1) & (F.length(a[0]) < TINY_CHARS))
+    tiny = lambda a, c: (F.size(a) > 0) & ((F.length(c) < TINY_CHARS) | (F.size(a) == 1) & (F.length(F.get(a, F.lit(0))) < TINY_CHARS))
     return F.aggregate(chunks, F.array().cast("array<string>"), lambda a, c: F.when(tiny(a, c), absorb(a, c)).otherwise(F.concat(a, F.array(c))))
 
 

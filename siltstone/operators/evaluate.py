@@ -35,7 +35,9 @@ def evaluate(chunks: DataFrame, questions: DataFrame, strategies: tuple[str, ...
 
 
 def best_first(results: DataFrame) -> DataFrame:
-    return results.orderBy(F.desc("mrr"), F.desc("hit_rate"), "strategy", "method")
+    """Combinations by quality, with the label that names each."""
+    named = results.withColumn("label", F.concat_ws(" · ", "strategy", "method"))
+    return named.orderBy(F.desc("mrr"), F.desc("hit_rate"), "strategy", "method")
 
 
 def summarise(records: DataFrame) -> DataFrame:

@@ -73,17 +73,17 @@ def search(method: str, chunks: DataFrame, questions: DataFrame, k: int = TOP_K)
 def containing_all(texts: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, id of unstemmed matches: the text has every distinct word of the query.
 
-    Texts meet a query on its word of fewest texts, and are then checked for the
-    others; the words of a query travel with it.
+    Texts meet a query on its word of fewest texts, as bare pairs, and only the
+    pairs are then given their words and checked for the others.
     """
     has = texts.select("id", F.array_distinct(words(F.col("text"))).alias("have"))
     want = queries.select("qid", F.array_distinct(words(F.col("text"))).alias("want")).filter(F.size("want") > 0)
     vocabulary = want.select(F.explode("want").alias("word")).distinct()
     counts = has.select(F.explode("have").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = want.select("qid", F.explode("want").alias("word")).join(counts, "word", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))["word"].alias("word"))
-    keyed = rarest.join(want, "qid")
-    met = has.select("id", "have", F.explode("have").alias("word")).join(keyed, "word")
-    return met.filter(F.size(F.array_except("want", "have")) == 0).select("qid", "id")
+    met = has.select("id", F.explode("have").alias("word")).join(rarest, "word").select("qid", "id")
+    both = met.join(want, "qid").join(has, "id")
+    return both.filter(F.size(F.array_except("want", "have")) == 0).select("qid", "id")
 
 
 def with_citations(hits: DataFrame, chunks: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:

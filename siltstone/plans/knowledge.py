@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.functions import models
@@ -13,6 +13,7 @@ from siltstone.functions.models import OFFLINE, Models
 from siltstone.functions.text import book_body, tokens
 from siltstone.operators.chunks import chunk_all
 from siltstone.operators.evaluate import summarise
+from siltstone.operators.monitor import with_cost
 from siltstone.operators.search import TOP_K, context, hybrid, ordered_sources, with_citations
 from siltstone.operators.sections import sections
 
@@ -75,3 +76,19 @@ def compare(by_config: dict[str, DataFrame]) -> DataFrame:
     """Summary rows of judged answers, one for each configuration over the same questions."""
     rows = [d.select(F.lit(c).alias("config"), "relevance", F.col("completion_tokens").alias("answer_tokens"), F.lit(0.0).alias("latency_seconds")) for c, d in by_config.items()]
     return summarise(reduce(DataFrame.unionByName, rows))
+
+
+def counted(df: DataFrame, failed: Column | None = None) -> tuple[DataFrame, Observation]:
+    """`df`, and its row and failure counts, which are there once something has read it through: no second pass."""
+    seen = Observation()
+    failures = F.count_if(failed) if failed is not None else F.lit(0).cast("long")
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), (failures if failed is not None else F.max(failures)).alias("failed")), seen
+
+
+def chat(questions: DataFrame, chunks: DataFrame, documents: DataFrame, split: DataFrame, model: str, by: Models = OFFLINE) -> tuple[DataFrame, DataFrame]:
+    """Turn rows and judge feedback rows of a batch of questions; a turn's id is its question's."""
+    told = with_cost(judged(answer(questions, chunks, documents, split, model, by=by), by))
+    now = F.current_timestamp().alias("timestamp")
+    turns = told.select(F.col("qid").alias("id"), "question", "answer", "model", "instructions", "prompt", F.lit("structure").alias("search_strategy"), F.lit("hybrid").alias("search_method"), "prompt_tokens", "completion_tokens", "total_tokens", F.lit(0.0).alias("response_time"), "cost", now)
+    feedback = told.select(F.col("qid").alias("id"), F.col("qid").alias("conversation_id"), F.lit("judge").alias("source"), "relevance", "explanation", F.lit(None).cast("int").alias("score"), now)
+    return turns, feedback

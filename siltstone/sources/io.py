@@ -22,7 +22,7 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 def read_factsheets(spark: SparkSession, path: str) -> DataFrame:
     """Payloads are arrays of posts, of which the first counts; a file without one gives no row."""
-    posts = spark.read.text(path, wholetext=True).select(F.from_json("value", FACTSHEETS)[0].alias("p")).filter("p IS NOT NULL")
+    posts = spark.read.text(path, wholetext=True).select(F.get(F.from_json("value", FACTSHEETS), F.lit(0)).alias("p")).filter("p IS NOT NULL")
     return posts.select(F.col("p.slug").alias("slug"), F.col("p.link").alias("source_ref"), F.col("p.title.rendered").alias("title"), F.col("p.content.rendered").alias("html"))
 
 
@@ -75,3 +75,16 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException:
         found = spark.createDataFrame([], EVALUATION)
     return found.select(F.explode("results").alias("r")).select("r.*")
+
+
+def source_list(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short list of sources to fetch, such as book numbers with titles, or page slugs."""
+    return spark.createDataFrame(rows, schema)
+
+
+def write_comparison(records: DataFrame, summaries: DataFrame, seed: int, winner: str, path: str) -> None:
+    """Answer comparison as JSON: one object with the summaries, and the judged records as lines beside it."""
+    packed = summaries.agg(F.sort_array(F.collect_list(F.struct("config", *[c for c in summaries.columns if c != "config"]))).alias("configs"))
+    head = packed.select(F.lit(seed).alias("seed"), F.lit(winner).alias("winner"), "configs")
+    head.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    records.write.mode("overwrite").json(f"{path}/records")

@@ -151,6 +151,22 @@ def test_answering(spark):
     assert none.answer == K.NO_RESULT and none.total_tokens == 0
 
 
+def test_chat_and_counts(spark, tmp_path):
+    kb = spark.createDataFrame([("d1", "book", "Soil", "clay soil holds water well in spring")], "id string, source_type string, title string, raw_text string")
+    split, chunks = K.knowledge(kb)
+    own = chunks.filter("strategy = 'structure'")
+    own = own.join(M.embed(own.select("id", "text")).select("id", "vector"), "id")
+    asked = spark.createDataFrame([(1, "clay soil water"), (2, "soil")], "qid long, text string")
+    turns, feedback = K.chat(asked, own, kb, split, "gpt-5.6-luna")
+    assert schemas.violations(schemas.conform(turns, "turns"), "turns").count() == schemas.violations(schemas.conform(feedback, "feedback"), "feedback").count() == 0
+    df, seen = K.counted(feedback, F.col("relevance") == "UNPARSEABLE")
+    df.write.parquet(str(tmp_path / "f"))
+    assert seen.get == {"rows": 2, "failed": 0}
+    rec = feedback.select(F.lit("a").alias("config"), "relevance", F.lit(1).alias("answer_tokens"), F.lit(0.0).alias("latency_seconds"))
+    io.write_comparison(rec, E.summarise(rec), 42, "a", str(tmp_path / "cmp"))
+    assert spark.read.json(str(tmp_path / "cmp/summary")).first().winner == "a"
+
+
 def test_incremental_stream(spark, tmp_path):
     from siltstone.streaming.live import embed_arrivals
 
