@@ -31,10 +31,10 @@ from siltstone.llm.near_dup import _forest
 class VectorDupParams:
     cosine: float = 0.9
     #: Vectors of a block, and bounds of the centres and the blocks, both of which every task holds.
-    block: int = 2048
+    block: int = 4096
     most_centres: int = 1024
     most_blocks: int = 20_000
-    radii: tuple[float, ...] = (1.0, 0.5, 0.25, 0.125)
+    radii: tuple[float, ...] = (0.5, 0.25, 0.125)
     seed: int = 5
 
     @property
@@ -45,7 +45,7 @@ class VectorDupParams:
 _EPS = 1e-9
 
 
-def _unit(rows: list[list[float]]) -> np.ndarray:
+def _unit(rows: list[list[float]] | np.ndarray) -> np.ndarray:
     x = np.array(rows, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -82,7 +82,8 @@ def _net(x: np.ndarray, radius: float) -> np.ndarray:
 class CoverTree:
     """Vectors in tree order; for each level the nodes' first and last rows, centre row, covering radius and first child."""
 
-    def __init__(self, ids: np.ndarray, mult: np.ndarray, x: np.ndarray, radii: tuple[float, ...]):
+    def __init__(self, ids: np.ndarray, mult: np.ndarray, given: np.ndarray, radii: tuple[float, ...]):
+        x = _unit(given)
         order, edges = np.arange(len(x)), np.array([0, len(x)])
         starts = []
         for radius in radii:
@@ -100,7 +101,7 @@ class CoverTree:
             order = order[inner]
             edges = np.append(np.searchsorted(label[inner], np.arange(base)), len(x))
             starts = [*starts, edges]
-        self.ids, self.mult, self.x = ids[order], mult[order], x[order]
+        self.ids, self.mult, self.given, self.x = ids[order], mult[order], given[order], x[order]
         self.levels = []
         for edges in [*starts, np.arange(len(x) + 1)]:
             first = edges[:-1]
@@ -111,7 +112,7 @@ class CoverTree:
 
     def dump(self) -> bytes:
         head = struct.pack("<III", len(self.ids), self.x.shape[1], len(self.levels))
-        body = [head, self.ids.astype("<i8").tobytes(), self.mult.astype("<i8").tobytes(), self.x.astype("<f8").tobytes()]
+        body = [head, self.ids.astype("<i8").tobytes(), self.mult.astype("<i8").tobytes(), self.given.astype("<f4").tobytes()]
         for edges, radius in self.levels:
             body += [struct.pack("<I", len(radius)), edges.astype("<i8").tobytes(), radius.astype("<f8").tobytes()]
         return b"".join(body)
@@ -122,8 +123,9 @@ class CoverTree:
         n, dim, levels = struct.unpack_from("<III", raw)
         at = 12
         tree.ids, tree.mult = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i8", n, at + 8 * n)
-        tree.x = np.frombuffer(raw, "<f8", n * dim, at + 16 * n).reshape(n, dim)
-        at += 16 * n + 8 * n * dim
+        tree.given = np.frombuffer(raw, "<f4", n * dim, at + 16 * n).reshape(n, dim)
+        tree.x = _unit(tree.given)
+        at += 16 * n + 4 * n * dim
         tree.levels = []
         for _ in range(levels):
             (k,) = struct.unpack_from("<I", raw, at)
@@ -138,6 +140,29 @@ def _children(edges: np.ndarray, below: np.ndarray, node: np.ndarray) -> tuple[n
     return lo, hi - lo
 
 
+def _meeting(one: CoverTree, two: CoverTree, reach: float, tight: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of top nodes that their radii don't keep apart.
+
+    Most nodes of scattered vectors are tight, so for those one bound serves
+    all; single precision with some slack does here, as the pairs are judged
+    again further down.
+    """
+    (ea, ra), (eb, rb) = one.levels[0], two.levels[0]
+    xa, xb = one.x[ea[:-1]].astype(np.float32), two.x[eb[:-1]].astype(np.float32)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for tight_a in (True, False):
+        for tight_b in (True, False):
+            rows, columns = np.flatnonzero((ra <= tight) == tight_a), np.flatnonzero((rb <= tight) == tight_b)
+            other = np.ascontiguousarray(xb[columns].T)
+            for lo in range(0, len(rows) if len(columns) else 0, 512):
+                part = rows[lo : lo + 512]
+                spread = 2 * tight if tight_a and tight_b else ra[part, None] + rb[None, columns]
+                bound = np.float32(1 - (spread + reach) ** 2 / 2 - 1e-4) if np.isscalar(spread) else (1 - (spread + reach) ** 2 / 2 - 1e-4).astype(np.float32)
+                i, j = np.nonzero(xa[part] @ other >= bound)
+                found.append((part[i], columns[j]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+
+
 def dual(one: CoverTree, two: CoverTree, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each vector of both trees with the other's vectors (counting copies), and a spanning forest of the links."""
     reach = math.sqrt(2 - 2 * cosine)
@@ -148,14 +173,7 @@ def dual(one: CoverTree, two: CoverTree, cosine: float) -> tuple[np.ndarray, np.
     pairs_a: list[np.ndarray] = []
     pairs_b: list[np.ndarray] = []
     last = len(one.levels) - 1
-    # top level against top level, in strips
-    (ea, ra), (eb, rb) = one.levels[0], two.levels[0]
-    found = []
-    for lo in range(0, len(ra), 512):
-        d = _distance(one.x[ea[lo : min(lo + 512, len(ra))]] @ two.x[eb[:-1]].T)
-        i, j = np.nonzero(d <= ra[lo : lo + 512, None] + rb[None] + reach + _EPS)
-        found.append((i + lo, j))
-    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    a, b = _meeting(one, two, reach)
     for level in range(last + 1):
         (ea, ra), (eb, rb) = one.levels[level], two.levels[level]
         if not len(a):
@@ -200,7 +218,8 @@ def dual(one: CoverTree, two: CoverTree, cosine: float) -> tuple[np.ndarray, np.
     left, right = np.cumsum(count_a)[:-1], np.cumsum(count_b)[:-1]
     if same:  # a node that met itself and was taken whole has counted each row with itself
         left = left - one.mult * np.cumsum(itself)[:-1]
-    p, q = np.concatenate(pairs_a), np.concatenate(pairs_b) + (0 if same else len(one.ids))
+    none = np.empty(0, np.int64)
+    p, q = np.concatenate([none, *pairs_a]), np.concatenate([none, *pairs_b]) + (0 if same else len(one.ids))
     ids = one.ids if same else np.concatenate((one.ids, two.ids))
     differ = p != q
     p, q = p[differ], q[differ]
@@ -254,7 +273,7 @@ def near_vectors(vectors: DataFrame, params: VectorDupParams = VectorDupParams()
 
         def grown() -> pa.RecordBatch:
             ids, mult = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            tree = CoverTree(ids, mult, _unit([h[2] for h in held]), params.radii)
+            tree = CoverTree(ids, mult, np.array([h[2] for h in held], np.float32), params.radii)
             centre = tree.x.mean(0)
             centre = centre / max(float(np.linalg.norm(centre)), 1e-12)
             radius = float(_distance(tree.x @ centre).max())
