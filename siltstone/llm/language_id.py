@@ -30,8 +30,10 @@ class LanguageIdParams:
     filters: int = 16
     #: Bound of the training sample: documents per language, windows of each.
     docs_per_language: int = 1500
-    windows_per_doc: int = 2
-    epochs: int = 6
+    windows_per_doc: int = 4
+    #: Passes over the sample, and steps that even a small sample gets.
+    epochs: int = 4
+    least_steps: int = 400
     batch: int = 128
     rate: float = 0.01
     seed: int = 7
@@ -67,7 +69,8 @@ class ByteNet:
         weights = [*self.filters, self.dense, self.bias]
         m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         codes, step = self.classes[windows], 0
-        for _ in range(p.epochs):
+        each = -(-len(codes) // p.batch)
+        for _ in range(max(p.epochs, -(-p.least_steps // each))):
             order = rng.permutation(len(codes))
             for lo in range(0, len(order), p.batch):
                 rows = order[lo : lo + p.batch]
