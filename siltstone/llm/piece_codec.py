@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _CHUNK = re.compile(rf"{MARK}*[^{MARK}]*")
-_CACHE_ENTRIES, _PAIR_ENTRIES = 600_000, 2_000_000
+_CACHE_ENTRIES, _PAIR_ENTRIES = 250_000, 400_000  # some 50 MB each
 _NORMAL, _BYTE, _UNKNOWN, _UNIGRAM = 1, 6, 2, 1  # fixed values of the model format
 
 
@@ -66,7 +66,7 @@ class PieceTransducer:
             node[0] = i
         #: Neighbouring characters inside pieces; no piece, and so no merge, reaches over any other pair.
         self.bridged = {(a, b) for p in self.piece for a, b in zip(p, p[1:], strict=False)}
-        self.size = len(self.text)
+        self.size, self.longest = len(self.text), max(map(len, self.piece), default=1)
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -118,14 +118,14 @@ class PieceTransducer:
         Merging a beginning of the text has one result, so one finite path at
         most leads to each place; a place that led nowhere is not tried again.
         """
-        n, size, pair, trie = len(chunk), self.size, self.pairs.get, self.trie
+        n, size, longest, pair, trie = len(chunk), self.size, self.longest, self.pairs.get, self.trie
         path: list[int] = []
         stack: list[tuple[int, int, list[tuple[int, int]]]] = []
         dead: set[int] = set()
         i, before = 0, 0
         while i < n:
             arcs, j, options = trie, i, []
-            for c in chunk[i:] if i else chunk:
+            for c in chunk[i : i + longest]:
                 state = arcs.get(c)
                 if state is None:
                     break
@@ -170,7 +170,7 @@ class PieceTransducer:
         last, back, best = [-1] * (n + 1), [0] * (n + 1), [0.0] + [math.inf] * n
         for i in range(n):
             here, arcs, j = best[i], self.trie, i
-            for c in chunk[i:]:
+            for c in chunk[i : i + self.longest]:
                 state = arcs.get(c)
                 if state is None:
                     break
@@ -207,6 +207,11 @@ class PieceTransducer:
         self.known[chunk] = raw
         return raw
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds the machines alone."""
+        self.known.clear()
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> bytes:
         """Piece ids of a whole text as native unsigned 32-bit integers."""
         if not text:
@@ -257,6 +262,7 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True, check: bool = Tru
                 if keep_ids:
                     columns.append(pa.array([x for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip", "piece_ids"][: len(columns)])
+        machine.forget()
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", piece_ids binary" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
