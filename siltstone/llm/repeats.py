@@ -147,12 +147,13 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
 
     Rows of a shard come phrases first, then parts by ascending doc_id.  A run
     unlike an earlier one of the same phrase also brings its windows, and so
-    does that earlier one.
+    does that earlier one.  An equal run needs none in a later document, which
+    loses it whole; in the document that brought the windows it brings its own.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, salted, automaton, ready = None, False, None, False
-        seen: dict[int, dict[tuple[int, int], tuple | None]] = {}
+        seen: dict[int, dict[tuple[int, int], tuple[int, tuple | None]]] = {}
         for b in source:
             out: list[tuple] = []
             for shard, salt, salts, kind, doc, at, phrase, body in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
@@ -183,7 +184,7 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
                         continue
                     row = (doc, at + s, at + e, v, a, c)
                     known = seen.setdefault(v, {})
-                    if (a, c) in known:
+                    if (a, c) in known and (known[a, c][0] != doc or known[a, c][1]):  # the smallest document of a phrase loses none of it
                         out.append((*row, None))
                         continue
                     w = np.arange(s, e + 1)
@@ -192,14 +193,14 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
                         places.setdefault((x, y), []).append(z)
                     own = [{"h1": x, "h2": y, "at": z} for (x, y), z in places.items()]
                     if not salted and not known:
-                        known[a, c] = (*row, own)
+                        known[a, c] = (doc, (*row, own))
                         out.append((*row, None))
                         continue
-                    for other, held in known.items():
+                    for other, (holder, held) in known.items():
                         if held:
                             out.append(held)
-                            known[other] = None
-                    known[a, c] = None
+                            known[other] = (holder, None)
+                    known[a, c] = (doc, None)
                     out.append((*row, own))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.list_(pa.int32()))])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "first_window", "last_window", "phrase", "key1", "key2", "windows"])

@@ -324,6 +324,16 @@ def test_repeats(spark, texts, params):
     assert all(r.n_removed == r.n_words - len(r.kept.split()) or "\x85" in r.kept for r in got.values() if r.kept.isascii())
 
 
+@pytest.mark.parametrize("load", [1_000_000, 200])
+def test_repeats_within_a_document(spark, load):
+    """Passages of an earlier document that a later one has several times in equal surroundings."""
+    rng = random.Random(11)
+    u, a, p, b, y, z = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(70)) for c in "uapbyz")
+    rows = [(1, f"{u} {p} {u}"), (2, f"{a} {p} {b} {y} {a} {p} {b} {z}"), (3, f"{z} {a} {p} {b} {u} {a} {p} {b}"), (4, f"{b} {p} {b} {p} {b} {p} {y}")]
+    got = {r.doc_id: r.kept for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), repeats.RepeatParams(shard_words=load)).collect()}
+    assert got == brute_repeats(rows, 50)
+
+
 def test_repeat_rows(awkward, empty):
     rows = repeats.remove_repeats(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r.n_removed == 0 for r in rows)
