@@ -14,7 +14,8 @@ with weights 0 and infinity, composed into the lattice; its weights are worked
 out when first needed and kept.
 
 No piece spans a space that follows another character, so texts are cut there
-and each distinct cut is solved once per worker, in a bounded cache.
+and each distinct cut is solved once per worker, in a bounded cache; in a merge
+model so is each part of it between neighbours that no piece holds together.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _CHUNK = re.compile(rf"{MARK}*[^{MARK}]*")
 _CACHE_ENTRIES, _PAIR_ENTRIES = 250_000, 400_000  # some 50 MB each
+_CACHED_CHARS = 100  # longer chunks seldom recur
 _NORMAL, _BYTE, _UNKNOWN, _UNIGRAM = 1, 6, 2, 1  # fixed values of the model format
 
 
@@ -194,14 +196,20 @@ class PieceTransducer:
             ids = []
             for s in self.merge(chunk):
                 ids += [self.piece[s]] if s in self.piece else self._bytes(s)
-        elif len(chunk) > 2 and (chunk[-2], chunk[-1]) not in self.bridged:
-            raw = self.known.get(chunk[:-1]) or self._solve(chunk[:-1])
-            return self._keep(chunk, raw + (self.known.get(chunk[-1]) or self._solve(chunk[-1])))
         else:
+            cuts = [k for k, two in enumerate(zip(chunk, chunk[1:], strict=False), 1) if two not in self.bridged]
+            if cuts:
+                return self._keep(chunk, b"".join(self._segment(chunk[i:j]) for i, j in zip([0, *cuts], [*cuts, len(chunk)], strict=True)))
             ids = self.shortest(chunk)
         return self._keep(chunk, array("I", ids).tobytes())
 
+    def _segment(self, segment: str) -> bytes:
+        """A part of a chunk between two pairs that no piece reaches over."""
+        return self.known.get(segment) or self._keep(segment, array("I", self.shortest(segment)).tobytes())
+
     def _keep(self, chunk: str, raw: bytes) -> bytes:
+        if len(chunk) > _CACHED_CHARS:
+            return raw
         if len(self.known) >= _CACHE_ENTRIES:
             self.known.clear()
         self.known[chunk] = raw

@@ -104,6 +104,20 @@ def test_pieces_match_library(texts):
         assert own.decode(ids) == library.decode(library.encode(t))
 
 
+def test_long_runs_without_a_space():
+    """Neighbours inside no piece, thousands in a row: numbers, CJK, Hangul, Thai, emoji."""
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceTransducer(PIECES)
+    rng = random.Random(3)
+    for lo, hi in ((0x30, 0x39), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xE01, 0xE30), (0x1F600, 0x1F64F)):
+        t = "".join(chr(rng.randint(lo, hi)) for _ in range(5000))
+        for text in (t, f"see {t[:2500]}, {t[2500:]}.", " " * 1500 + t):
+            ids = own.encode(text)
+            assert library.encode(text) == list(array.array("I", ids)) and own.decode(ids) == text
+    assert sum(map(len, own.known)) < 100_000
+
+
 def test_unigram_path_is_cheapest():
     own = piece_codec.PieceTransducer(PIECES)
     own.merging = False
