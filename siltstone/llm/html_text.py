@@ -1,11 +1,13 @@
 """Main text of web pages by composite text density.
 
 Every node of a page's tree gets a density: its characters per tag, corrected by
-how many of both belong to links.  The body's own density sets a threshold along
-the path to the densest block; the ancestor-or-self of that block on the path
-whose children's densities sum highest, among those above the threshold, is the
-main content.  Nodes that can't be article text (scripts, menus, footers, forms,
-adverts, notices, comments) are taken out first.
+how many of both belong to links.  The least density on the path from the body
+to the node whose children's densities sum highest is the threshold; in every
+subtree that reaches it, the node of the highest sum is main content.  Nodes that
+can't be article text (scripts, menus, footers, forms, adverts, notices,
+comments) are taken out first; a class name or id alone takes none out that
+holds half of the text.  <article> and <main> bound the content where they hold
+the densest part.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SIBLING_END = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMATTING = frozenset("a abbr b big cite code em font i mark q s small span strong sub sup tt u".split())
 ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
@@ -49,27 +52,29 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False):
-        self.tag, self.parent, self.aside = tag, parent, aside
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, named: bool = False):
+        self.tag, self.parent, self.aside, self.named = tag, parent, aside, named
         self.kids: list[Node | str] = []
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+def _is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether a tag is an aside for certain, and whether its class or id names one."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return False, False
+    named = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and ASIDE_NAMES.search(value):
-            return True
+            named = True
         if name == "hidden" or name == "role" and value.lower() in ASIDE_ROLES:
-            return True
+            return True, named
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -97,7 +102,7 @@ def parse(page: str) -> Node:
                 top = node.parent
             continue
         if tag in ("html", "body") and not m[3]:
-            if tag == "body" and top.aside:
+            if tag == "body" and (top.aside or top.named):
                 while top is not root:
                     top = top.parent
             continue
@@ -114,7 +119,7 @@ def parse(page: str) -> Node:
         if tag == "body":
             while top is not root:
                 top = top.parent
-        node = Node(tag, top, _is_aside(tag, m[3]))
+        node = Node(tag, top, *_is_aside(tag, m[3]))
         top.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -164,38 +169,79 @@ def density(root: Node) -> list[Node]:
     return order
 
 
-def select(root: Node) -> Node:
-    """The content subtree.
+def _drop_named(root: Node) -> None:
+    """Take out what class names or ids call an aside, unless it holds half of the text outside links."""
+    order = _measure(root)
+    half = (root.chars - root.link_chars) / 2
+    for n in order:
+        n.aside = n.aside or n.named and n.chars - n.link_chars < max(half, 1)
+
+
+def select(root: Node) -> list[Node]:
+    """The content subtrees, in page order.
 
-    The threshold is the least density on the path from the body to the densest
-    node; among that path's nodes at or above it, the one of the largest density
-    sum is taken, then widened to the block that holds it.
+    The threshold is the least density on the path from the body to the node of
+    the largest density sum.  Of every subtree below the body that reaches it,
+    the node of the largest sum is content, or the one around it with as much
+    text of its own; what lies beside that node is judged in the same way.  Where
+    <article> or <main> tags hold the node of the largest sum, or a quarter of
+    what it has, the content is the tagged subtrees that reach the threshold.
     """
+    _drop_named(root)
     order = density(root)
     body = next((n for n in order if n.tag == "body"), root)
     inside = [n for n in order if n.chars]
     if not inside:
-        return body
-    marked = next((n for n in inside if n.tag in ("article", "main")), None)
-    best = max(inside, key=lambda n: (n.total, n.density))
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        node = node.parent
-    threshold = min(n.density for n in path)
-    chosen = max((n for n in path if n.density >= threshold), key=lambda n: n.total)
-    while chosen.tag not in BLOCKS and chosen.parent is not None:
-        chosen = chosen.parent
-    if marked is not None:  # a marked article on the path, or around it, bounds the content
-        node = chosen
-        while node is not None and node is not marked:
+        return [body]
+    rank = lambda n: (n.total, n.tag in ("article", "main"), n.density)
+    best = max(inside, key=rank)
+    threshold = min(n.density for n in _ancestors(best))
+    tagged = [n for n in inside if n.tag in ("article", "main") and not any(x.tag in ("article", "main") for x in _ancestors(n.parent))]
+    over = set(_ancestors(best))
+    if any(n in over for n in tagged) or 4 * sum(n.chars for n in tagged if best in _ancestors(n)) > best.chars:
+        return [n for n in tagged if n.density >= threshold or n in over or best in _ancestors(n)]
+    top: dict[Node, Node] = {}  # the node of the largest sum in each subtree
+    for n in reversed(order):
+        top[n] = max((n, *(top[k] for k in n.kids if k in top)), key=rank)
+    around = body if any(n is body for n in _ancestors(best)) else root
+    chosen: set[Node] = set()
+    todo = [around] if _loose(around) >= max(threshold, 1) else [k for k in around.kids if k in top]
+    while todo:
+        n = todo.pop()
+        if n.density < threshold or not n.chars:
+            todo += [k for k in n.kids if k in top]
+            continue
+        pick = node = top[n]
+        while node is not n:
             node = node.parent
-        if node is marked or any(n is chosen for n in _ancestors(marked)):
-            return marked
-    return chosen
+            if node.tag in BLOCKS and pick.tag not in BLOCKS or _loose(node) >= max(threshold, 1):
+                pick = node
+        chosen.add(pick)
+        while pick is not n:
+            todo += [k for k in pick.parent.kids if k in top and k is not pick]
+            pick = pick.parent
+    if not chosen:
+        return [around]
+    for n in order:  # a heading goes with the content after it
+        kids = [k for k in n.kids if k in top and k.chars]
+        for k, after in zip(kids[-2::-1], kids[:0:-1], strict=True):
+            if k.tag in HEADINGS and (after in chosen or any(x in chosen for x in _first_blocks(after))):
+                chosen.add(k)
+    return [n for n in order if n in chosen and not any(x in chosen for x in _ancestors(n.parent))]
+
+
+def _loose(node: Node) -> int:
+    """Characters of a node's own text."""
+    return sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+
+
+def _first_blocks(node: Node) -> Iterator[Node]:
+    """The first subtree with text below a node, and the first below that."""
+    while (node := next((k for k in node.kids if isinstance(k, Node) and not k.aside and k.chars), None)) is not None:
+        yield node
 
 
-def _ancestors(node: Node) -> Iterator[Node]:
+def _ancestors(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node
         node = node.parent
@@ -228,7 +274,7 @@ def text_of(node: Node) -> str:
 
 
 def main_text(page: str | None) -> str:
-    return text_of(select(parse(page))) if page else ""
+    return " ".join(t for n in select(parse(page)) if (t := text_of(n))) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

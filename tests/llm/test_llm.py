@@ -369,6 +369,19 @@ def test_main_text():
     assert html_text.main_text("plain <text") == "plain" and "deep" in html_text.main_text("<div>" * 3000 + "deep")
 
 
+def test_main_text_without_one_article():
+    """Content in several subtrees, with and without tags and names that give it away."""
+    body = lambda c: " ".join(f"{c}{i}" for i in range(75))
+    block = lambda c, tag="div": f"<{tag}>" + "".join(f"<p>{body(c + str(i) + 'x')}</p>" for i in range(6)) + f"</{tag}>"
+    want = lambda *cs: " ".join(body(c + str(i) + "x") for c in cs for i in range(6))
+    links = "<div>" + "".join(f"<a href=/{i}>link {i}</a> " for i in range(9)) + "</div>"
+    assert html_text.main_text(f"<body>{links}{block('a')}{block('b')}{block('c')}{links}</body>") == want("a", "b", "c")
+    assert html_text.main_text(f"<body><div>{links}<div>{block('a')}<h2>Next</h2>{block('b')}</div></div></body>") == f"{want('a')} Next {want('b')}"
+    assert html_text.main_text(f"<body>{links}{block('a', 'article')}{block('b', 'article')}{block('c', 'article')}</body>") == want("a", "b", "c")
+    assert html_text.main_text(f"<body>{links}<div class='content no-sidebar widget'>{block('a')}{block('b')}</div><div class=cookie>We use cookies</div></body>") == want("a", "b")
+    assert html_text.main_text(f"<body>{block('a')}{block('b')}<article><a href=/x>Read on</a></article></body>") == want("a", "b")
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = html_text.extract(pages).collect()
