@@ -11,10 +11,17 @@ from siltstone.llm.common import fold, settle, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without a letter go."""
+    """Documents with a language: null texts and texts without a letter go, and no others.
+
+    Those are the texts of score 0.  No other score and no predicted language
+    rejects a text; without labels to learn from there are no scores, and the
+    rule is read off the text.
+    """
     net = language_id.train(docs.filter(fold("doc_id", 4) != 2))
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs, net, "_language", "_language_score")
-    return found.filter(F.col("_language") != language_id.UNDETERMINED).select(*docs.columns)
+    return found.filter("_language_score > 0").select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -540,3 +540,14 @@ def test_pipeline(spark, small, texts, docs):
             break
         assert out.columns == docs.columns
         now = spark.createDataFrame([tuple(r) for r in got.values()], docs.schema)
+
+
+@pytest.mark.parametrize("label", [None, language_id.UNDETERMINED])
+def test_pipeline_language_labels(spark, small, label):
+    """No labels, or one that reads undetermined: texts with a letter stay."""
+    import corpus_pipeline as P
+
+    texts = ["some words here", "日本", "123 ...", "", None, "more of the words"]
+    frame = spark.createDataFrame([(i, t, label) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    out = P.language(spark, frame, small)
+    assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 5]
