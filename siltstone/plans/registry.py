@@ -435,8 +435,11 @@ def dense_ids(spark: SparkSession, folder: str) -> DataFrame:
 def _model_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     kb = _kb(spark, folder)
     split = sections(kb)
-    chunks = C.chunk(split, "structure").withColumn("id", F.xxhash64("section_id", "chunk_index"))
-    return kb, split, chunks.join(models.embed(chunks.select("id", "text")).select("id", "vector"), "id")
+    return kb, split, _embedded(C.chunk(split, "structure").withColumn("id", F.xxhash64("section_id", "chunk_index")))
+
+
+def _embedded(chunks: DataFrame) -> DataFrame:
+    return chunks.join(models.embed(chunks.select("id", "text")).select("id", "vector"), "id")
 
 
 @query()
@@ -455,9 +458,10 @@ def answers_judged(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def retrieval_evaluation(spark: SparkSession, folder: str) -> DataFrame:
-    """Hit rate and reciprocal rank of three methods, items as questions and the sections that hold all their words as targets."""
-    _, split, chunks = _model_chunks(spark, folder)
+    """Hit rate and reciprocal rank of three strategies by three methods, items as questions and the sections that hold all their words as targets."""
+    split = sections(_kb(spark, folder))
+    chunks = _embedded(C.chunk_all(split).withColumn("id", F.xxhash64("strategy", "section_id", "chunk_index")))
     items = _items(spark, folder)
     holds = S.containing_all(split.select("id", F.col("raw_text").alias("text")), items).groupBy("qid").agg(F.min("id").alias("target"))
     vectors = models.embed(items.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "vector")
-    return E.evaluate(chunks, items.join(holds, "qid").join(vectors, "qid"), ("structure",))
+    return E.evaluate(chunks, items.join(holds, "qid").join(vectors, "qid"), C.STRATEGIES)

@@ -194,3 +194,12 @@ def test_registered_queries_match_sql(spark, small, tmp_path):
             c = ", ".join(sorted(x[0] for x in db.execute("DESCRIBE o").fetchall()))
             assert c == ", ".join(sorted(x[0] for x in db.execute("DESCRIBE r").fetchall())), name
             assert db.execute(f"SELECT (SELECT count(*) FROM (SELECT {c} FROM o EXCEPT ALL SELECT {c} FROM r)), (SELECT count(*) FROM (SELECT {c} FROM r EXCEPT ALL SELECT {c} FROM o))").fetchall() == [(0, 0)], name
+
+
+def test_retrieval_evaluation_is_whole(spark, small):
+    """Three strategies by three methods, all over the same questions."""
+    from siltstone.plans.registry import retrieval_evaluation
+
+    rows = retrieval_evaluation(spark, small).collect()
+    assert sorted((r.strategy, r.method) for r in rows) == sorted((s, m) for s in ("fixed", "structure", "recursive") for m in ("keyword", "vector", "hybrid"))
+    assert len({r.n_questions for r in rows}) == 1 and all(0 <= r.mrr <= r.hit_rate <= 1 for r in rows)
