@@ -277,11 +277,15 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sets = [s.tobytes() for s in shingle_sets(part.column(2).to_pylist(), params.shingle)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "family", "shingles"])
+                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "family", "shingles"])
+                yield made.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(families, "id").groupBy("id", "family").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(families, "id").filter("text IS NOT NULL").select("id", "family", "text").distinct()
     sets = settle(texts.mapInArrow(collect, "id long, family long, shingles binary"))
-    found = components(confirmed(sets, params))
+    several = usable.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).filter("least <> most").select("doc_id")
+    held = usable.join(several, "doc_id").select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key")
+    same_id = held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    found = components(confirmed(sets, params).union(same_id).filter("a <> b").distinct())
     of_class = classes.select("set_key", F.col("id")).join(found, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = drawn.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

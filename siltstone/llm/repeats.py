@@ -89,7 +89,7 @@ def _scan(docs: DataFrame, p: RepeatParams) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, sequence binary, phrases array<long>")
 
 
-_PIECES = "shard int, kind int, doc_id long, at int, phrase long, body string, words int"
+_PIECES = "shard int, kind int, doc_id long, sequence binary, at int, phrase long, body string, words int"
 
 
 def _pieces(docs: DataFrame, routes: DataFrame, shards: int, p: RepeatParams) -> DataFrame:
@@ -98,9 +98,11 @@ def _pieces(docs: DataFrame, routes: DataFrame, shards: int, p: RepeatParams) ->
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             out: list[tuple] = []
-            for doc, text, found, firsts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, text, sequence, found, firsts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 split = text.encode("utf-8", "replace").split()
                 words = hash_words([b" ".join(split)])[0]
+                if xxhash.xxh3_128_digest(words.tobytes()) != sequence:  # another text of this doc_id
+                    continue
                 phrases, stand, lo, hi = runs(words, p)
                 owner = dict(zip(found, firsts, strict=True))
                 parts: dict[int, list[list[int]]] = {}
@@ -116,19 +118,19 @@ def _pieces(docs: DataFrame, routes: DataFrame, shards: int, p: RepeatParams) ->
                 where = {v: i for i, v in reversed(list(enumerate(phrases.view(np.int64).tolist())))} if mine else {}
                 for v in mine:
                     i = where[v]
-                    out.append((shard_of(doc, shards), 0, doc, i, v, " ".join(w.decode() for w in split[i : i + p.phrase]), p.phrase))
+                    out.append((shard_of(doc, shards), 0, doc, sequence, i, v, " ".join(w.decode() for w in split[i : i + p.phrase]), p.phrase))
                 for shard, spans in parts.items():
-                    out += [(shard, 1, doc, s, 0, b" ".join(split[s:e]).decode(), e - s) for s, e in spans]
+                    out += [(shard, 1, doc, sequence, s, 0, b" ".join(split[s:e]).decode(), e - s) for s, e in spans]
                 if len(out) > 2000:
                     yield _rows(out)
                     out = []
             yield _rows(out)
 
-    joined = docs.join(routes, "doc_id").select("doc_id", "text", "phrases", "firsts")
+    joined = docs.join(routes, "doc_id").select("doc_id", "text", "sequence", "phrases", "firsts")
     return joined.mapInArrow(run, _PIECES)
 
 
-_KINDS = (("shard", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("phrase", pa.int64()), ("body", pa.string()), ("words", pa.int32()))
+_KINDS = (("shard", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("sequence", pa.binary()), ("at", pa.int32()), ("phrase", pa.int64()), ("body", pa.string()), ("words", pa.int32()))
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -139,7 +141,7 @@ def shard_of(doc: int, shards: int) -> int:
     return xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) % shards
 
 
-_RUNS = "doc_id long, first_window int, last_window int, phrase long, key1 long, key2 long, windows array<struct<h1:long,h2:long,at:array<int>>>"
+_RUNS = "doc_id long, sequence binary, first_window int, last_window int, phrase long, key1 long, key2 long, windows array<struct<h1:long,h2:long,at:array<int>>>"
 
 
 def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
@@ -156,7 +158,7 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
         seen: dict[int, dict[tuple[int, int], tuple[int, tuple | None]]] = {}
         for b in source:
             out: list[tuple] = []
-            for shard, salt, salts, kind, doc, at, phrase, body in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            for shard, salt, salts, kind, doc, sequence, at, phrase, body in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 if (shard, salt) != unit:
                     unit, salted, automaton, ready, seen = (shard, salt), salts > 1, ahocorasick.Automaton(), False, {}
                 if kind == 0:
@@ -182,7 +184,7 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
                 for v, s, e, a, c in zip(stand.view(np.int64).tolist(), lo.tolist(), hi.tolist(), k1, k2, strict=True):
                     if not any(s <= i <= e + p.window - p.phrase for i in found.get(v, ())):
                         continue
-                    row = (doc, at + s, at + e, v, a, c)
+                    row = (doc, sequence, at + s, at + e, v, a, c)
                     known = seen.setdefault(v, {})
                     if (a, c) in known and (known[a, c][0] != doc or known[a, c][1]):  # the smallest document of a phrase loses none of it
                         out.append((*row, None))
@@ -202,35 +204,35 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
                             known[other] = (holder, None)
                     known[a, c] = (doc, None)
                     out.append((*row, own))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.list_(pa.int32()))])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "first_window", "last_window", "phrase", "key1", "key2", "windows"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.list_(pa.int32()))])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "sequence", "first_window", "last_window", "phrase", "key1", "key2", "windows"])
 
     load = pieces.filter("kind = 1").groupBy("shard").agg(F.sum("words").alias("load"))
     salts = load.select("shard", F.ceil(F.col("load") / p.shard_words).cast("int").alias("salts"))
     parts = pieces.filter("kind = 1").join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     keys = pieces.filter("kind = 0").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    columns = ("shard", "salt", "salts", "kind", "doc_id", "at", "phrase", "body")
+    columns = ("shard", "salt", "salts", "kind", "doc_id", "sequence", "at", "phrase", "body")
     dealt = parts.select(*columns).union(keys.select(*columns))
     return dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id", "at").mapInArrow(run, _RUNS)
 
 
 def repeated_ranges(docs: DataFrame, scanned: DataFrame, p: RepeatParams) -> DataFrame:
-    """doc_id and ranges (start, end: words) that windows of earlier documents cover, for the smallest document of each class."""
+    """doc_id, sequence and ranges (start, end: words) that windows of earlier documents cover, for the smallest document of each class."""
     classes = scanned.filter(F.col("n_words") >= p.window).groupBy("sequence").agg(F.min("doc_id").alias("doc_id"), F.first("phrases").alias("phrases"))
-    phrases = settle(classes.select("doc_id", F.explode("phrases").alias("phrase")))
+    phrases = settle(classes.select("doc_id", "sequence", F.explode("phrases").alias("phrase")))
     recurring = settle(phrases.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("phrase", "first"))
     shards = max(1, -(-recurring.count() // p.shard_phrases))
-    routes = phrases.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_list("phrase").alias("phrases"), F.collect_list("first").alias("firsts"))
+    routes = phrases.join(recurring, "phrase").groupBy("doc_id", "sequence").agg(F.collect_list("phrase").alias("phrases"), F.collect_list("first").alias("firsts"))
     found = settle(_locate(settle(_pieces(docs, routes, shards, p)), p))
 
     key = ["phrase", "key1", "key2"]
     first = found.groupBy(*key).agg(F.min("doc_id").alias("first"))
-    spans = found.select("doc_id", "first_window", "last_window", *key).join(first, key).filter("doc_id > first")
-    whole = spans.select("doc_id", F.col("first_window").alias("start"), (F.col("last_window") + p.window).alias("end"))
-    single = found.filter("windows IS NOT NULL").select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.h1", "w.h2", "w.at")
+    spans = found.select("doc_id", "sequence", "first_window", "last_window", *key).join(first, key).filter("doc_id > first")
+    whole = spans.select("doc_id", "sequence", F.col("first_window").alias("start"), (F.col("last_window") + p.window).alias("end"))
+    single = found.filter("windows IS NOT NULL").select("doc_id", "sequence", F.explode("windows").alias("w")).select("doc_id", "sequence", "w.h1", "w.h2", "w.at")
     earliest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    each = single.join(earliest, ["h1", "h2"]).filter("doc_id > first").select("doc_id", F.explode("at").alias("start")).withColumn("end", F.col("start") + p.window)
-    return whole.union(each).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    each = single.join(earliest, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "sequence", F.explode("at").alias("start")).withColumn("end", F.col("start") + p.window)
+    return whole.union(each).groupBy("doc_id", "sequence").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
@@ -238,7 +240,8 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFra
 
     A word goes if a window that covers it also starts in a document of smaller
     doc_id; windows are judged on the input.  Null, empty and short texts keep
-    all they have.  Rows that repeat a doc_id are not earlier than one another.
+    all they have.  Rows that repeat a doc_id are not earlier than one another
+    and may have different texts.
     A row with a null doc_id takes no part: it keeps its words and takes none
     from others.  Other columns are ignored.
     """
@@ -247,17 +250,22 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFra
     scanned = settle(_scan(usable, p))
     ranges = repeated_ranges(usable, scanned, p)
     firsts = scanned.filter(F.col("n_words") >= p.window).groupBy("sequence").agg(F.min("doc_id").alias("first"))
-    copies = scanned.filter(F.col("n_words") >= p.window).join(firsts, "sequence").filter("doc_id > first").select("doc_id").distinct()
-    fate = settle(ranges.select("doc_id", "ranges").unionByName(copies.select("doc_id", F.expr("array(struct(0 AS start, 2147483647 AS end))").alias("ranges"))))
+    copies = scanned.filter(F.col("n_words") >= p.window).join(firsts, "sequence").filter("doc_id > first").select("doc_id", "sequence").distinct()
+    lost = ranges.unionByName(copies.withColumn("ranges", F.expr("array(struct(0 AS start, 2147483647 AS end))")))
+    fate = settle(lost.groupBy("doc_id").agg(F.collect_list(F.struct("sequence", "ranges")).alias("fates")))
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 n, gone, kept = [], [], []
-                for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text, fates in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = (text or "").encode("utf-8", "replace").split()
                     n.append(len(words))
+                    ranges = None
+                    if fates:  # of all texts with this doc_id
+                        key = xxhash.xxh3_128_digest(hash_words([b" ".join(words)])[0].tobytes())
+                        ranges = next((f["ranges"] for f in fates if f["sequence"] == key), None)
                     if ranges:
                         drop = np.zeros(len(words) + 1, np.int64)
                         for r in ranges:
@@ -268,4 +276,4 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFra
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(fate, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.join(fate, "doc_id", "left").select("doc_id", "text", "fates").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")

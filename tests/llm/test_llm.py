@@ -193,6 +193,18 @@ def test_near_duplicates(spark, texts):
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    rng = random.Random(13)
+    a, b, c = (" ".join(f"{k}{rng.randint(0, 10**6)}" for _ in range(120)) for k in "abc")
+    for rows, want in (
+        ([(1, a), (1, b), (2, b + " end"), (3, c)], {1: 1, 2: 1, 3: 3}),
+        ([(1, b), (1, a), (2, a + " end"), (4, "  "), (4, c), (5, " "), (5, b + " end")], {1: 1, 2: 1, 4: 4, 5: 1}),
+        ([(1, a), (3, a), (3, c), (4, c)], {1: 1, 3: 1, 4: 1}),
+    ):
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_shingles > 0").collect()
+        assert {r.doc_id: r.component_id for r in got} == want and len(got) == sum(bool(t.strip()) for _, t in rows)
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(1)
     p = near_dup.NearDupParams()
@@ -348,6 +360,14 @@ def test_repeats_within_a_document(spark, load):
     assert got == brute_repeats(rows, 50)
 
 
+def test_repeats_of_one_id_with_several_texts(spark):
+    rng = random.Random(12)
+    p, q, u, v = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(70)) for c in "pquv")
+    rows = [(1, f"{p} {u}"), (1, f"{v} {q}"), (1, "few words"), (2, f"{q} x {p} y"), (2, f"y {p}"), (2, "z z"), (3, f"{v} {q}"), (3, f"{u} tail"), (4, f"w {p} w"), (4, u)]
+    got = sorted((r.doc_id, r.kept) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([*rows[:3], (2, "x y"), (2, "y"), (2, "z z"), (3, ""), (3, "tail"), (4, "w w"), (4, "")])
+
+
 def test_repeat_rows(awkward, empty):
     rows = repeats.remove_repeats(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r.n_removed == 0 for r in rows)
