@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVALUATION = "top_k int, n_questions int, results array<struct<strategy:string,method:string,hit_rate:double,mrr:double>>"
@@ -11,6 +15,64 @@ FACTSHEETS = "array<struct<slug:string,link:string,title:struct<rendered:string>
 UPDATED = ("title", "author", "raw_text", "fetched_at")
 
 
+_own_dir: str | None = None
+_made: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder name under the cluster's shared checkpoint folder.
+
+    The folder is read from `spark.checkpoint.dir`.  Without that setting a
+    session on one machine (tests) gets a temporary folder, any other an error:
+    executors don't see each other's disks.
+    """
+    global _own_dir
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        base = _own_dir
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder that now exists deleted when the application ends, or by `forget`."""
+    folder, fs = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    _made.append(path)
+
+
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it back.
+
+    Cuts the lineage, so that a lost executor never sends work back past this
+    point, and lets several readers share what was computed once.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    passing(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time, for `forget`."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the folders made since `since`, but for the last `keep`; only for tables that nothing will read again."""
+    for path in _made[since : len(_made) - keep]:
+        folder, fs = _folder(spark, path)
+        fs.delete(folder, True)
+    del _made[since : len(_made) - keep]
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -52,13 +114,23 @@ def append(df: DataFrame, path: str) -> None:
 def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
     """Ids 1, 2, ... in key order, without one task for all rows: sorted parts, then an offset for each part.
 
-    The parts are written order first, so equal keys must not occur.
+    The keys must be unique.  They alone are dealt into parts, numbered within
+    each and written once, so that the parts' sizes and the rows' numbers come
+    from the same parts; the other columns join the ids by key.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    keys = df.select(*order).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    placed = settle(keys.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
+    counts = placed.groupBy("_part").agg(F.max("_place").cast("long").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(F.broadcast(before), "_part").withColumn(name, place + F.col("_before")).drop("_part", "_before")
+    ids = placed.join(F.broadcast(before), "_part").select(*(F.col(c).alias(f"_key_{c}") for c in order), (F.col("_place") + F.col("_before")).alias(name))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in order))
+    return df.join(ids, same).drop(*(f"_key_{c}" for c in order))
+
+
+def next_ids(existing: DataFrame, incoming: DataFrame, *order: str, name: str = "id") -> DataFrame:
+    """`incoming` with ids that go on after the largest of `existing`, in the given order."""
+    last = existing.agg(F.coalesce(F.max(name), F.lit(0)).cast("long")).first()[0]
+    return dense_ids(incoming.drop(name), *order, name=name).withColumn(name, F.col(name) + last)
 
 
 def write_evaluation(results: DataFrame, top_k: int, n_questions: int, path: str) -> None:
@@ -69,10 +141,12 @@ def write_evaluation(results: DataFrame, top_k: int, n_questions: int, path: str
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a written evaluation; none if there is no file."""
+    """Rows of a written evaluation; none if there is no file.  Anything else that is wrong with it is an error."""
     try:
         found = spark.read.schema(EVALUATION).json(path, multiLine=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         found = spark.createDataFrame([], EVALUATION)
     return found.select(F.explode("results").alias("r")).select("r.*")
 
