@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
+from siltstone.sources.io import forget, mark, passing, settle, shared_dir
 
+__all__ = ["bounded_sample", "fold", "forget", "fresh", "in_arrow", "mark", "passing", "settle", "shared_dir", "table", "tidy", "unit_hash"]
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+_DEFAULT_BYTES = 64 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under the cluster's shared checkpoint folder.
 
-    The folder is read from `spark.checkpoint.dir`; only a session without
-    that setting (tests) gets a folder of its own.
-    """
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        base = _own_dir
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def tidy() -> None:
+    """Hand memory that Arrow's pool and the allocator hold back to the system, for workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back.
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:  # noqa: ANN001
+    """mapInArrow in batches of 8 MB, where the session has not set another size, and with memory given back after each partition."""
 
-    Cuts the lineage, so that a lost executor never sends work back past this
-    point, and lets several readers share what was computed once.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def whole(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(source)
+        tidy()
+
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, str(_DEFAULT_BYTES)).rstrip("b") == str(_DEFAULT_BYTES):
+        conf.set(_BATCH, str(_BATCH_BYTES))
+    return df.mapInArrow(whole, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_sample
+from siltstone.llm.common import bounded_sample, in_arrow
 
 UNDETERMINED = "und"
 CLASSES = 64  # byte classes, 0 is padding
@@ -181,7 +181,7 @@ def train(labelled: DataFrame, params: LanguageIdParams = LanguageIdParams()) ->
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "raw"])
 
-    got = chosen.mapInArrow(cut, "lang string, raw binary").toArrow()
+    got = in_arrow(chosen, cut, "lang string, raw binary").toArrow()
     if not got.num_rows:
         return None
     pairs = sorted(zip(got.column("lang").to_pylist(), got.column("raw").to_pylist(), strict=True))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settle
+from siltstone.llm.common import in_arrow, settle
 from siltstone.llm.graph import components
 from siltstone.llm.words import batches, hash_words, mix
 
@@ -33,7 +33,7 @@ from siltstone.llm.words import batches, hash_words, mix
 @dataclass(frozen=True)
 class NearDupParams:
     #: Words of a shingle, and the threshold on intersection / union in hundredths.
-    shingle: int = 4
+    shingle: int = 5
     percent: int = 80
     #: bands * rows minima; a pair of similarity 0.8 shares a band with probability 1 - 5e-8.
     bands: int = 32
@@ -94,7 +94,7 @@ def minima(shingles: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, params: NearDupParams) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set; null if empty), bands, bits."""
+    """doc_id, text_key, n_shingles, set_key (of the whole set; null if empty), bands, bits."""
     n, rows, per_long = params.minima, params.rows, 64 // params.bits
     places = (np.arange(per_long, dtype=np.uint64) * np.uint64(params.bits))[None, :]
 
@@ -103,7 +103,7 @@ def sketch(docs: DataFrame, params: NearDupParams) -> DataFrame:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 size, key, bands, bits = [], [], [], []
-                for s in shingle_sets(part.column(1).to_pylist(), params.shingle):
+                for s in shingle_sets(part.column(2).to_pylist(), params.shingle):
                     size.append(len(s))
                     if not len(s):
                         key.append(None)
@@ -116,15 +116,20 @@ def sketch(docs: DataFrame, params: NearDupParams) -> DataFrame:
                     bands.append(group.view(np.int64))
                     bits.append(((low.astype(np.uint64) & np.uint64((1 << params.bits) - 1)).reshape(-1, per_long) << places).sum(1).view(np.int64))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)], ["doc_id", "n_shingles", "set_key", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)], ["doc_id", "text_key", "n_shingles", "set_key", "bands", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
+    return in_arrow(docs.select("doc_id", "text_key", "text"), run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
-def _dealt(members: DataFrame, unit: str, columns: tuple[str, ...], block: int) -> DataFrame:
-    """Rows of each unit that has two rows or more, as pairs of blocks: sorted by unit, i, j, with each row's own block."""
-    sizes = members.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+def _dealt(members: DataFrame, unit: str, columns: tuple[str, ...], block: int, weight: str = "") -> DataFrame:
+    """Rows of each unit that has two rows or more, as pairs of blocks: sorted by unit, i, j, with each row's own block.
+
+    A block has about `block` rows, and about a million of `weight` if that is
+    given.  The sizes are stored first, so that the join can split a hot unit.
+    """
+    load = F.sum(weight) if weight else F.lit(0)
+    sizes = settle(members.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), load.alias("load")).filter("n > 1"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("load") / 1e6)).cast("int")
     placed = members.join(sizes.select(unit, blocks.alias("blocks")), unit).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.col(unit).alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", *columns)
@@ -218,13 +223,13 @@ def likely(members: DataFrame, params: NearDupParams) -> DataFrame:
             if got is not None:
                 yield got
 
-    return _dealt(members, "bucket", ("bits",), params.block).mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(_dealt(members, "bucket", ("bits",), params.block), run, "a long, b long").distinct()
 
 
 def confirmed(families: DataFrame, params: NearDupParams) -> DataFrame:
     """A spanning forest (a, b) of each family's links, judged on full sets.
 
-    `families` has family, id, shingles.  The intersections of one row with all
+    `families` has family, id, n_shingles, shingles.  The intersections of one row with all
     of the other block come from that block's postings at once.
     """
 
@@ -251,7 +256,7 @@ def confirmed(families: DataFrame, params: NearDupParams) -> DataFrame:
             if got is not None:
                 yield got
 
-    return _dealt(families, "family", ("shingles",), params.block).mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(_dealt(families, "family", ("shingles",), params.block, "n_shingles"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
@@ -259,34 +264,42 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
 
     component_id is the smallest doc_id reachable over links; kept marks it.
     Null, empty and wordless texts have no shingles, no links, and stay alone.
-    Rows that repeat a doc_id or a text fall into one component.  Rows with a
-    null doc_id link with nothing and are kept, with a null component.  An
-    empty table gives an empty result; other columns are ignored.
+    Rows that repeat a doc_id or a text fall into one component, also where one
+    doc_id has several texts.  Rows with a null doc_id link with nothing and are
+    kept, with a null component.  Whole texts of any length are read.  An empty
+    table gives an empty result; other columns are ignored.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     drawn = settle(sketch(docs, params))
     usable = drawn.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = settle(usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    # a class is one set, by a number of its own; one of its rows lends it a text
+    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "row.doc_id", "row.text_key", "bands", "bits"))
 
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket")
-    members = rows.join(shared, "bucket").join(classes.select("id", "bits"), "id")
-    families = settle(components(likely(members, params)).select(F.col("node").alias("id"), F.col("component").alias("family")))
+    shared = settle(rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket"))
+    members = settle(rows.join(shared, "bucket").join(classes.select("id", "bits"), "id"))
+    families = components(likely(members, params)).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    named = settle(families.join(classes.select("id", "doc_id", "text_key"), "id"))
 
     def collect(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                sets = [s.tobytes() for s in shingle_sets(part.column(2).to_pylist(), params.shingle)]
-                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "family", "shingles"])
-                yield made.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
+                sets = shingle_sets(part.column(2).to_pylist(), params.shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "family", "n_shingles", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(families, "id").filter("text IS NOT NULL").select("id", "family", "text").distinct()
-    sets = settle(texts.mapInArrow(collect, "id long, family long, shingles binary"))
+    texts = docs.join(named, ["doc_id", "text_key"]).select("id", "family", "text").distinct()
+    sets = settle(in_arrow(texts, collect, "id long, family long, n_shingles long, shingles binary"))
     several = usable.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).filter("least <> most").select("doc_id")
-    held = usable.join(several, "doc_id").select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key")
-    same_id = held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    held = settle(usable.select("doc_id", "set_key").join(several, "doc_id").distinct().join(classes.select("set_key", "id"), "set_key").select("doc_id", "id"))
+    same_id = held.join(settle(held.groupBy("doc_id").agg(F.min("id").alias("a"))), "doc_id").select("a", F.col("id").alias("b"))
     found = components(confirmed(sets, params).union(same_id).filter("a <> b").distinct())
-    of_class = classes.select("set_key", F.col("id")).join(found, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = drawn.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    joined = classes.select("id", "doc_id", "set_key").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    linked = settle(joined.filter("component IS NOT NULL"))
+    low = settle(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    # every copy of a text shares its class: stored, so that the join with the rows can split a hot one
+    of_class = settle(linked.join(low, "component").select("set_key", "component_id").union(joined.filter("component IS NULL").select("set_key", F.col("doc_id").alias("component_id"))))
+    out = usable.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key").select("doc_id", "n_shingles", "component_id")
+    alone = drawn.filter("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import in_arrow
+
 MARK = "▁"
 _CHUNK = re.compile(rf"{MARK}*[^{MARK}]*")
 _CACHE_ENTRIES, _PAIR_ENTRIES = 250_000, 400_000  # some 50 MB each
@@ -273,7 +275,7 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True, check: bool = Tru
         machine.forget()
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", piece_ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -284,4 +286,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([machine.decode(x or b"") for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "piece_ids").mapInArrow(run, "doc_id long, text string")
+    return in_arrow(encoded.select("doc_id", "piece_ids"), run, "doc_id long, text string")

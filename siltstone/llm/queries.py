@@ -31,7 +31,7 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all whole texts: four-word shingles, similarity 0.8."""
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.NearDupParams(shingle=4))
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import in_arrow
+
 
 class SpanEncoder:
     """A byte-level vocabulary whose tokens are the text's bytes in order, so spans follow from token lengths."""
@@ -110,4 +112,4 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, fields: tuple[s
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, long) for x in out[:4]), *(pa.array(x, pa.list_(long)) for x in out[4:])], ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f).cast("string").alias(f"_{i}") for i, f in enumerate(fields)))
-    return picked.mapInArrow(count, f"doc_id long, {SCHEMA}")
+    return in_arrow(picked, count, f"doc_id long, {SCHEMA}")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settle, shared_dir
+from siltstone.llm.common import in_arrow, passing, settle, shared_dir
 
 MAGIC = b"PFR1"
 BLOCK, HEAD, FOOT = 4096, struct.Struct("<IBII"), struct.Struct("<QQQI4s")
@@ -214,6 +214,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None
     tasks are in the manifest, so a lost executor leaves no half file behind it.
     Null text counts as empty; equal doc_ids keep all their rows, by text.
     """
+    own = folder is None
     folder = folder or shared_dir(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,10 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([len(sink.docs)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return settle(ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long"))
+    manifest = settle(in_arrow(ordered, write, "part int, path string, n_docs long, n_tokens long"))
+    if own and not manifest.isEmpty():
+        passing(docs.sparkSession, folder)
+    return manifest
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -270,4 +274,4 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                         )
 
     spread = placed.select("path", "before").repartition(max(1, files))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return in_arrow(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

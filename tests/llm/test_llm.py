@@ -144,9 +144,9 @@ def test_piece_rows(awkward, empty):
 # -- 3: near duplicates -----------------------------------------------------------
 
 
-def shingles(text):
+def shingles(text, width=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(AZ))
-    return {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
 
 
 def classes(sets):
@@ -185,9 +185,9 @@ def near_copies(seed=5, groups=4, size=25):
 def test_near_duplicates(spark, texts):
     every = {**texts, **near_copies()}
     frame = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(5)
-    sets = {i: shingles(t) for i, t in every.items()}
-    want = classes(sets)
-    for params in (near_dup.NearDupParams(), near_dup.NearDupParams(block=16)):
+    for params in (near_dup.NearDupParams(), near_dup.NearDupParams(shingle=4), near_dup.NearDupParams(shingle=4, block=16)):
+        sets = {i: shingles(t, params.shingle) for i, t in every.items()}
+        want = classes(sets)
         got = {r.doc_id: r for r in near_dup.near_duplicates(frame, params).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
         assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
@@ -201,7 +201,7 @@ def test_near_duplicates_of_one_id_with_several_texts(spark):
         ([(1, b), (1, a), (2, a + " end"), (4, "  "), (4, c), (5, " "), (5, b + " end")], {1: 1, 2: 1, 4: 4, 5: 1}),
         ([(1, a), (3, a), (3, c), (4, c)], {1: 1, 3: 1, 4: 1}),
     ):
-        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_shingles > 0").collect()
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dup.NearDupParams(shingle=4)).filter("n_shingles > 0").collect()
         assert {r.doc_id: r.component_id for r in got} == want and len(got) == sum(bool(t.strip()) for _, t in rows)
 
 
@@ -216,7 +216,7 @@ def test_estimate_follows_similarity():
 
 
 def test_near_duplicate_rows(awkward, empty):
-    rows = near_dup.near_duplicates(awkward).collect()
+    rows = near_dup.near_duplicates(awkward, near_dup.NearDupParams(shingle=4)).collect()
     assert len(rows) == len(AWKWARD)
     by = collections.defaultdict(set)
     for r in rows:
@@ -547,7 +547,7 @@ def test_pipeline(spark, small, texts, docs):
         if name == "language":
             assert set(got) == {i for i, t in rows.items() if t and re.search(r"[^\W\d_]", t)}
         elif name == "near_duplicate":
-            assert set(got) == set(classes({i: shingles(t) for i, t in rows.items()}).values())
+            assert set(got) == set(classes({i: shingles(t, 5) for i, t in rows.items()}).values())
         elif name == "substring":
             want = brute_repeats(list(rows.items()), 50)
             kept = {i: t if want[i].split() == t.split() else want[i] for i, t in rows.items() if want[i] or not t.split()}
