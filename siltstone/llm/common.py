@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.io import forget, mark, passing, settle, shared_dir
 
-__all__ = ["bounded_sample", "fold", "forget", "fresh", "in_arrow", "mark", "passing", "settle", "shared_dir", "table", "tidy", "unit_hash"]
+__all__ = ["bounded_sample", "fold", "forget", "fresh", "in_arrow", "join_anew", "mark", "passing", "settle", "shared_dir", "table", "tidy", "unit_hash"]
 _BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _DEFAULT_BYTES = 64 << 20
 
@@ -38,6 +38,16 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(whole, schema)
 
 
+def join_anew(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join that shuffles both sides for itself, also where one is an aggregate by the same keys and so lies there already.
+
+    Only then can a hot key's rows be split over tasks.  A hash of the keys as one
+    more key is what has Spark deal both sides anew.
+    """
+    deal = F.xxhash64(*keys)
+    return left.withColumn("_deal", deal).join(right.withColumn("_deal", deal), [*keys, "_deal"]).drop("_deal")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like `names` that no column of `df` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

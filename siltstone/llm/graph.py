@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import forget, mark, settle
+from siltstone.llm.common import forget, join_anew, mark, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,21 +14,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. until the
     edges are stars around their smallest nodes.  A node's neighbours are never
     gathered: each step is a minimum by key, which combines before the shuffle,
-    and a join.  The minima are written out before they are joined, so that both
-    sides of the join come from a shuffle of their own and a node of very many
-    edges can be split.  So is every round, which keeps lineage short; a lost
-    executor repeats one step at most.
+    and a join that can split a node of very many edges.  Every round is written
+    out, so lineage stays short and a lost executor repeats one round at most.
     """
     spark = edges.sparkSession
     now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         since = mark() - 1
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = settle(large.filter("a <> b").distinct())
-        down = settle(large.groupBy("a").agg(F.min("b").alias("m")))
-        moved = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = join_anew(both.filter("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.filter("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = join_anew(large, down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = settle(moved.union(down.select("a", F.col("m").alias("b"))).distinct())
         forget(spark, since, keep=1)
         # done when no node is both a centre and a leaf, and no leaf has two centres

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import in_arrow, settle
+from siltstone.llm.common import in_arrow, join_anew, settle
 from siltstone.llm.graph import components
 from siltstone.llm.words import batches, hash_words, mix
 
@@ -124,13 +124,12 @@ def sketch(docs: DataFrame, params: NearDupParams) -> DataFrame:
 def _dealt(members: DataFrame, unit: str, columns: tuple[str, ...], block: int, weight: str = "") -> DataFrame:
     """Rows of each unit that has two rows or more, as pairs of blocks: sorted by unit, i, j, with each row's own block.
 
-    A block has about `block` rows, and about a million of `weight` if that is
-    given.  The sizes are stored first, so that the join can split a hot unit.
+    A block has about `block` rows, and about a million of `weight` if that is given.
     """
     load = F.sum(weight) if weight else F.lit(0)
-    sizes = settle(members.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), load.alias("load")).filter("n > 1"))
+    sizes = members.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), load.alias("load")).filter("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("load") / 1e6)).cast("int")
-    placed = members.join(sizes.select(unit, blocks.alias("blocks")), unit).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = join_anew(members, sizes.select(unit, blocks.alias("blocks")), unit).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.col(unit).alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", *columns)
     return dealt.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
@@ -277,10 +276,10 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     classes = settle(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "row.doc_id", "row.text_key", "bands", "bits"))
 
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = settle(rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket"))
-    members = settle(rows.join(shared, "bucket").join(classes.select("id", "bits"), "id"))
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket")
+    members = settle(join_anew(rows, shared, "bucket").join(classes.select("id", "bits"), "id"))
     families = components(likely(members, params)).select(F.col("node").alias("id"), F.col("component").alias("family"))
-    named = settle(families.join(classes.select("id", "doc_id", "text_key"), "id"))
+    lent = families.join(classes.select("id", "doc_id", "text_key"), "id")
 
     def collect(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
@@ -289,17 +288,16 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
                 sets = shingle_sets(part.column(2).to_pylist(), params.shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "family", "n_shingles", "shingles"])
 
-    texts = docs.join(named, ["doc_id", "text_key"]).select("id", "family", "text").distinct()
+    texts = docs.join(lent, ["doc_id", "text_key"]).select("id", "family", "text").distinct()
     sets = settle(in_arrow(texts, collect, "id long, family long, n_shingles long, shingles binary"))
     several = usable.groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).filter("least <> most").select("doc_id")
-    held = settle(usable.select("doc_id", "set_key").join(several, "doc_id").distinct().join(classes.select("set_key", "id"), "set_key").select("doc_id", "id"))
-    same_id = held.join(settle(held.groupBy("doc_id").agg(F.min("id").alias("a"))), "doc_id").select("a", F.col("id").alias("b"))
+    held = usable.select("doc_id", "set_key").join(several, "doc_id").distinct().join(classes.select("set_key", "id"), "set_key").select("doc_id", "id")
+    same_id = join_anew(held, held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
     found = components(confirmed(sets, params).union(same_id).filter("a <> b").distinct())
-    joined = classes.select("id", "doc_id", "set_key").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-    linked = settle(joined.filter("component IS NOT NULL"))
-    low = settle(linked.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    # every copy of a text shares its class: stored, so that the join with the rows can split a hot one
-    of_class = settle(linked.join(low, "component").select("set_key", "component_id").union(joined.filter("component IS NULL").select("set_key", F.col("doc_id").alias("component_id"))))
-    out = usable.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key").select("doc_id", "n_shingles", "component_id")
+    joined = settle(classes.select("id", "doc_id", "set_key").join(found.select(F.col("node").alias("id"), "component"), "id", "left"))
+    linked = joined.filter("component IS NOT NULL")
+    named = join_anew(linked, linked.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("set_key", "component_id")
+    of_class = named.union(joined.filter("component IS NULL").select("set_key", F.col("doc_id").alias("component_id")))
+    out = join_anew(usable.select("doc_id", "n_shingles", "set_key"), of_class, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = drawn.filter("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

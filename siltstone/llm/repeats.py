@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import in_arrow, settle
+from siltstone.llm.common import in_arrow, join_anew, settle
 from siltstone.llm.words import batches, hash_words, mix, power_at, powers
 
 
@@ -224,9 +224,9 @@ def _locate(pieces: DataFrame, p: RepeatParams) -> DataFrame:
 
 
 def _shared(rows: DataFrame, *key: str) -> DataFrame:
-    """The smallest doc_id (`first`) of each key that several documents have, stored: joined with the rows, it lets a hot key be split."""
+    """The smallest doc_id (`first`) of each key that several documents have."""
     both = rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return settle(both.filter("first < last").select(*key, "first"))
+    return both.filter("first < last").select(*key, "first")
 
 
 def repeated_ranges(docs: DataFrame, scanned: DataFrame, p: RepeatParams) -> DataFrame:
@@ -234,17 +234,18 @@ def repeated_ranges(docs: DataFrame, scanned: DataFrame, p: RepeatParams) -> Dat
     least = F.min(F.struct("doc_id", "text_key"))
     classes = scanned.filter(F.col("n_words") >= p.window).groupBy("sequence").agg(least.alias("row"), F.first("phrases").alias("phrases"))
     phrases = settle(classes.select("row.doc_id", "row.text_key", F.explode("phrases").alias("phrase")))
-    recurring = _shared(phrases, "phrase")
+    recurring = settle(_shared(phrases, "phrase"))
     shards = max(1, -(-recurring.count() // p.shard_phrases))
     routes = phrases.join(recurring, "phrase").groupBy("doc_id", "text_key").agg(F.collect_list("phrase").alias("phrases"), F.collect_list("first").alias("firsts"))
     found = settle(_locate(settle(_pieces(docs, routes, shards, p)), p))
 
     key = ["phrase", "key1", "key2"]
-    spans = found.select("doc_id", "text_key", "first_window", "last_window", *key).join(_shared(found, *key), key).filter("doc_id > first")
+    spans = found.select("doc_id", "text_key", "first_window", "last_window", *key)
+    spans = join_anew(spans, _shared(found, *key), *key).filter("doc_id > first")
     whole = spans.select("doc_id", "text_key", F.col("first_window").alias("start"), (F.col("last_window") + p.window).alias("end"))
     each = found.filter("w1 IS NOT NULL").select("doc_id", "text_key", "first_window", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w"))
     each = each.select("doc_id", "text_key", (F.col("first_window") + F.col("k")).alias("start"), "w.w1", "w.w2")
-    lost = each.join(_shared(each, "w1", "w2"), ["w1", "w2"]).filter("doc_id > first").select("doc_id", "text_key", "start", (F.col("start") + p.window).alias("end"))
+    lost = join_anew(each, _shared(each, "w1", "w2"), "w1", "w2").filter("doc_id > first").select("doc_id", "text_key", "start", (F.col("start") + p.window).alias("end"))
     return whole.union(lost).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
@@ -266,12 +267,12 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), carry: boo
     scanned = settle(_scan(usable, p))
     ranges = settle(repeated_ranges(usable, scanned, p))
     long = scanned.filter(F.col("n_words") >= p.window).select("doc_id", "text_key", "sequence")
-    copies = long.join(_shared(long, "sequence"), "sequence").filter("doc_id > first").select("doc_id", "text_key").distinct()
+    copies = join_anew(long, _shared(long, "sequence"), "sequence").filter("doc_id > first").select("doc_id", "text_key").distinct()
     # rows of one id whose texts differ in white space alone share what the smallest of them loses
-    alike = settle(long.groupBy("doc_id", "sequence").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).filter("least < most"))
-    twins = long.join(alike, ["doc_id", "sequence"]).filter("text_key > least").select("doc_id", "text_key", "least").distinct()
+    alike = long.groupBy("doc_id", "sequence").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")).filter("least < most")
+    twins = join_anew(long, alike, "doc_id", "sequence").filter("text_key > least").select("doc_id", "text_key", "least").distinct()
     twins = twins.join(ranges.withColumnRenamed("text_key", "least"), ["doc_id", "least"]).select("doc_id", "text_key", "ranges")
-    fate = settle(ranges.union(twins).union(copies.withColumn("ranges", F.expr("array(struct(0 AS start, 2147483647 AS end))"))))
+    fate = ranges.union(twins).union(copies.withColumn("ranges", F.expr("array(struct(0 AS start, 2147483647 AS end))")))
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
