@@ -1,17 +1,29 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Three machines are compiled from a model file: the normaliser (white space to
-its visible mark, the mark in front), the pieces (a trie whose final states emit
-a piece at its cost) and the byte fallback (a character without a piece becomes
-its bytes' pieces).  A text is composed with them and the cheapest path in the
-tropical semiring is its encoding.
-
-For a unigram model the arc costs are the negative scores and nothing else.  For
-a merge (BPE) model a path must also be one that merging can reach: a sequence
-of pieces is what merging gives exactly when every two neighbours are what
-merging gives for their joined text.  That is an acceptor over pairs of pieces
-with weights 0 and infinity, composed into the lattice; its weights are worked
-out when first needed and kept.
+Four machines are compiled from a model file:
+
+* the normaliser rewrites symbols (a space becomes its visible mark) and emits
+  the mark in front when it leaves its start state;
+* the pieces, a trie as one transition table: a state is the string read so far,
+  its entry the piece it accepts, if any;
+* byte fallback reads a symbol that is no piece and emits its bytes' pieces, at a
+  weight no path of pieces comes near;
+* for a merge (BPE) model the neighbours, an acceptor whose states are pieces and
+  whose weight between two is 0 or infinite.
+
+A text is run through the normaliser and composed with the rest: a state of the
+composition is a place in the text with the piece that ends there.  Its shortest
+path in the tropical semiring (least sum of weights) is the encoding.
+
+The arc weights are the negative scores for a unigram model.  In a merge model
+the scores are an order of merging, not costs, so pieces weigh nothing and the
+neighbours decide: a sequence of pieces is what merging gives exactly when every
+two neighbours are what merging gives for their joined text.  Whether they are
+is read off their derivations.  At the joint a piece shows a growing string, its
+own last (or first) symbol, then what that was merged into, and so on, each from
+a certain step of the order on; two neighbours stay apart if at no time the two
+strings then at the joint are a piece that comes before either's next growth.
+Pieces of equal score (those of marks alone) merge from the left.
 
 No piece spans a space that follows another character, so texts are cut there
 and each distinct cut is solved once per worker, in a bounded cache; in a merge
@@ -36,9 +48,22 @@ from siltstone.llm.common import in_arrow
 
 MARK = "▁"
 _CHUNK = re.compile(rf"{MARK}*[^{MARK}]*")
-_CACHE_ENTRIES, _PAIR_ENTRIES = 250_000, 400_000  # some 50 MB each
+_CACHE_ENTRIES, _PAIR_ENTRIES = 200_000, 400_000  # some 40 MB each
 _CACHED_CHARS = 100  # longer chunks seldom recur
 _NORMAL, _BYTE, _UNKNOWN, _UNIGRAM = 1, 6, 2, 1  # fixed values of the model format
+_FALLBACK = 1e6  # weight of byte fallback, beyond any path of pieces through one symbol
+
+
+class Normaliser:
+    """A transducer of two states: the start emits `prefix`, and then each symbol is read and written."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.table = prefix, {" ": MARK}
+
+    def __call__(self, text: str) -> str:
+        for read, written in self.table.items():
+            text = text.replace(read, written)
+        return self.prefix + text
 
 
 class PieceTransducer:
@@ -51,35 +76,37 @@ class PieceTransducer:
         rules = model.normalizer_spec
         if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
             raise ValueError("only identity normalisers that keep white space are compiled")
-        self.prefix = MARK if rules.add_dummy_prefix else ""
+        self.normalise = Normaliser(MARK if rules.add_dummy_prefix else "")
         self.merging = model.trainer_spec.model_type != _UNIGRAM
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN)
         self.piece = {p.piece: i for i, p in enumerate(model.pieces) if p.type == _NORMAL}
         self.text = [p.piece for p in model.pieces]
         self.cost = [-p.score for p in model.pieces]
-        self.byte = {int(p.piece[3:-1], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
+        byte = {int(p.piece[3:-1], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
+        self.byte = [byte.get(b, self.unknown) for b in range(256)] if byte else []
         self.raw = [bytes([int(p.piece[3:-1], 16)]) if p.type == _BYTE else p.piece.replace(MARK, " ").encode() if p.type == _NORMAL else b" \xe2\x81\x87 " if p.type == _UNKNOWN else b"" for p in model.pieces]
         if any(MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("a piece spans words")
-        #: A state is [piece or -1, {character: state}].
-        self.trie: dict = {}
-        for p, i in self.piece.items():
-            node = [-1, self.trie]
-            for c in p:
-                node = node[1].setdefault(c, [-1, {}])
-            node[0] = i
+        #: The trie: every beginning of a piece, with the piece it is or -1.
+        self.trie: dict[str, int] = {}
+        for p in self.piece:
+            for k in range(1, len(p)):
+                self.trie.setdefault(p[:k], -1)
+        self.trie |= self.piece
         #: Neighbouring characters inside pieces; no piece, and so no merge, reaches over any other pair.
         self.bridged = {(a, b) for p in self.piece for a, b in zip(p, p[1:], strict=False)}
-        self.size, self.longest = len(self.text), max(map(len, self.piece), default=1)
-        self.pairs: dict[int, bool] = {}
+        self.size = len(self.text)
+        self.pairs: dict[int, float] = {}
         self.known: dict[str, bytes] = {}
+        self.grown: dict[int, tuple[list[tuple[float, str]], list[tuple[float, str]]] | None] = {}
 
-    # -- the pair acceptor ---------------------------------------------------
+    # -- the acceptor of neighbours -------------------------------------------
 
-    def merge(self, text: str) -> list[str]:
-        """Merge the best-scored neighbours first, the leftmost of equals, until none can be merged."""
+    def _merge(self, text: str) -> list[tuple[float, int, str]]:
+        """The merges of a text in order: cost, place, and the string that comes of it; the best score first, the leftmost of equals."""
         n, left, right, symbol = len(text), list(range(-1, len(text) - 1)), list(range(1, len(text) + 1)), list(text)
         heap: list[tuple[float, int, str]] = []
+        done = []
 
         def offer(i: int) -> None:
             if i >= 0 and right[i] < n and (joined := symbol[i] + symbol[right[i]]) in self.piece:
@@ -88,23 +115,55 @@ class PieceTransducer:
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, joined = heapq.heappop(heap)
+            _, i, joined = step = heapq.heappop(heap)
             if not symbol[i] or right[i] >= n or symbol[i] + symbol[right[i]] != joined:
                 continue
+            done.append(step)
             gone = right[i]
             symbol[i], symbol[gone], right[i] = joined, "", right[gone]
             if right[i] < n:
                 left[right[i]] = i
             offer(left[i])
             offer(i)
-        return [s for s in symbol if s]
+        return done
+
+    def _growth(self, piece: int) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        """The strings at a piece's right and left end, each with the time it appears; None for a piece that merging can't make."""
+        if piece in self.grown:
+            return self.grown[piece]
+        text = self.text[piece]
+        steps, time = self._merge(text), -math.inf
+        last, first = [(time, text[-1])], [(time, text[0])]
+        for cost, at, joined in steps:
+            time = max(time, cost)  # a merge that waited for another happens right after it
+            if at + len(joined) == len(text):
+                last.append((time, joined))
+            if at == 0:
+                first.append((time, joined))
+        found = (last, first) if last[-1][1] == text else None
+        self.grown[piece] = found
+        return found
 
-    def _allowed(self, key: int) -> bool:
-        """Whether merging leaves this pair (or, at the start, this piece) as it is."""
+    def _weight(self, key: int) -> float:
+        """0 if merging leaves this pair of pieces (or this piece, at the start) as it is, else infinite."""
         before, piece = divmod(key, self.size)
-        pieces = [self.text[before - 1]] * (before > 0) + [self.text[piece]]
-        text = "".join(pieces)
-        found = (len(pieces) == 1 or text not in self.piece) and self.merge(text) == pieces
+        two = self._growth(piece)
+        found = 0.0 if two else math.inf
+        if before and two:
+            ends, starts, i, j = self._growth(before - 1)[0], two[1], 0, 0
+            while True:
+                grow_left = ends[i + 1][0] if i + 1 < len(ends) else math.inf
+                grow_right = starts[j + 1][0] if j + 1 < len(starts) else math.inf
+                joined = self.piece.get(ends[i][1] + starts[j][1])
+                if joined is not None and self.cost[joined] < grow_left and self.cost[joined] <= grow_right:
+                    found = math.inf
+                    break
+                if grow_left is math.inf and grow_right is math.inf:
+                    break
+                if grow_left <= grow_right:
+                    i += 1
+                else:
+                    j += 1
         if len(self.pairs) >= _PAIR_ENTRIES:
             self.pairs.clear()
         self.pairs[key] = found
@@ -113,77 +172,46 @@ class PieceTransducer:
     # -- composition and shortest path ----------------------------------------
 
     def shortest(self, chunk: str) -> list[int]:
-        """Pieces of the cheapest path through the lattice of `chunk`."""
-        return self._finite(chunk) if self.merging else self._cheapest(chunk)
-
-    def _finite(self, chunk: str) -> list[int]:
-        """The one path of finite weight in a merge model, searched depth first with the longest arcs first.
-
-        Merging a beginning of the text has one result, so one finite path at
-        most leads to each place; a place that led nowhere is not tried again.
+        """Pieces on the shortest path through the composition of `chunk` with the machines.
+
+        Arcs wait in order of their path's weight, of equal ones the one that
+        reaches furthest first, and the first to reach a place settles it; the
+        weight between two neighbours, which is 0 or infinite, is asked for only
+        when an arc's turn comes.  In a unigram model the piece that ends at a
+        place says nothing about what may follow; in a merge model merging a
+        beginning of the text has one result, so one path of finite weight leads
+        to each place.  Either way a place is one state.
         """
-        n, size, longest, pair, trie = len(chunk), self.size, self.longest, self.pairs.get, self.trie
-        path: list[int] = []
-        stack: list[tuple[int, int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        i, before = 0, 0
+        n, size, pair, trie, cost, merging = len(chunk), self.size, self.pairs.get, self.trie.get, self.cost, self.merging
+        last, back = [-2] * (n + 1), [0] * (n + 1)
+        waiting: list[tuple[float, int, int, int]] = []
+        push, pop = heapq.heappush, heapq.heappop
+        here, i = 0.0, 0
         while i < n:
-            arcs, j, options = trie, i, []
-            for c in chunk[i : i + longest]:
-                state = arcs.get(c)
-                if state is None:
-                    break
-                piece, arcs = state
+            j = i
+            while j < n:
                 j += 1
-                if piece >= 0:
-                    options.append((j, piece))
-            if not options:
-                options.append((i + 1, -1))  # no piece: bytes, and nothing merges over them
+                piece = trie(chunk[i:j])
+                if piece is None:
+                    break
+                if piece >= 0 and last[j] == -2:
+                    push(waiting, (here if merging else here + cost[piece], -j, i, piece))
+            if chunk[i] not in self.piece:
+                push(waiting, (here + _FALLBACK, -i - 1, i, -1))
             while True:
-                while options:
-                    j, piece = options.pop()
-                    if j in dead:
-                        continue
-                    if piece < 0:
-                        ok = True
-                    else:
-                        key = before * size + piece
-                        ok = pair(key)
-                        if ok is None:
-                            ok = self._allowed(key)
-                    if ok:
-                        break
-                else:
-                    dead.add(i)
-                    i, before, options = stack.pop()
-                    path.pop()
+                here, j, i, piece = pop(waiting)
+                if last[-j] != -2:
                     continue
-                stack.append((i, before, options))
-                path.append(piece)
-                i, before = j, piece + 1
+                if merging and piece >= 0:
+                    before = (last[i] + 1) * size if i else 0
+                    weight = pair(before + piece)
+                    if weight is None:
+                        weight = self._weight(before + piece)
+                    if weight:
+                        continue
+                last[-j], back[-j] = piece, i
+                i = -j
                 break
-        if -1 not in path:
-            return path
-        out: list[int] = []
-        for (at, _, _), piece in zip(stack, path, strict=True):
-            out += [piece] if piece >= 0 else self._bytes(chunk[at])
-        return out
-
-    def _cheapest(self, chunk: str) -> list[int]:
-        n, cost = len(chunk), self.cost
-        last, back, best = [-1] * (n + 1), [0] * (n + 1), [0.0] + [math.inf] * n
-        for i in range(n):
-            here, arcs, j = best[i], self.trie, i
-            for c in chunk[i : i + self.longest]:
-                state = arcs.get(c)
-                if state is None:
-                    break
-                piece, arcs = state
-                j += 1
-                if piece >= 0 and here + cost[piece] < best[j]:
-                    best[j], last[j], back[j] = here + cost[piece], piece, i
-            if chunk[i] not in self.piece and here + 1e6 < best[i + 1]:
-                best[i + 1], last[i + 1], back[i + 1] = here + 1e6, -1, i
         path: list[int] = []
         while n:
             path += [last[n]] if last[n] >= 0 else self._bytes(chunk[back[n]])[::-1]
@@ -191,19 +219,14 @@ class PieceTransducer:
         return path[::-1]
 
     def _bytes(self, char: str) -> list[int]:
-        return [self.byte.get(b, self.unknown) for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
+        return [self.byte[b] for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
 
     def _solve(self, chunk: str) -> bytes:
-        if self.merging and chunk.startswith(MARK * 2):  # pieces of spaces alone tie in score, which no arc weight can order
-            ids = []
-            for s in self.merge(chunk):
-                ids += [self.piece[s]] if s in self.piece else self._bytes(s)
-        else:
+        if self.merging and (len(chunk) > _CACHED_CHARS or not chunk[1:].isalpha()):
             cuts = [k for k, two in enumerate(zip(chunk, chunk[1:], strict=False), 1) if two not in self.bridged]
             if cuts:
                 return self._keep(chunk, b"".join(self._segment(chunk[i:j]) for i, j in zip([0, *cuts], [*cuts, len(chunk)], strict=True)))
-            ids = self.shortest(chunk)
-        return self._keep(chunk, array("I", ids).tobytes())
+        return self._segment(chunk)
 
     def _segment(self, segment: str) -> bytes:
         """A part of a chunk between two pairs that no piece reaches over."""
@@ -221,18 +244,17 @@ class PieceTransducer:
         """Empty the caches, so that an idle worker holds the machines alone."""
         self.known.clear()
         self.pairs.clear()
+        self.grown.clear()
 
     def encode(self, text: str | None) -> bytes:
         """Piece ids of a whole text as native unsigned 32-bit integers."""
         if not text:
             return b""
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        known, out = self.known, []
-        if not self.prefix or text[0] == " " or "  " in text:
-            chunks = [c for c in _CHUNK.findall(self.prefix + text.replace(" ", MARK)) if c]
+        known, out, symbols = self.known, [], self.normalise(text)
+        if MARK * 2 in symbols or not symbols.startswith(MARK):
+            chunks = [c for c in _CHUNK.findall(symbols) if c]
         else:
-            chunks = (MARK + text.replace(" ", " " + MARK)).split(" ")
+            chunks = [MARK + c for c in symbols[1:].split(MARK)]
         for c in chunks:
             out.append(known.get(c) or self._solve(c))
         return b"".join(out)
@@ -240,7 +262,7 @@ class PieceTransducer:
     def decode(self, ids: bytes) -> str:
         """The inverse machine: pieces to bytes, the mark to a space, the prefix taken off."""
         raw = b"".join(map(self.raw.__getitem__, array("I", ids)))
-        if self.prefix and raw.startswith(b" "):
+        if self.normalise.prefix and raw.startswith(b" "):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 

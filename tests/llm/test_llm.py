@@ -98,6 +98,9 @@ def test_pieces_match_library(texts):
     library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceTransducer(PIECES)
     rng = random.Random(2)
     odd = ["".join(rng.choice("ab  é日😀\nth.,▁") for _ in range(rng.randint(1, 40))) for _ in range(500)] + ["   a  b ", "\n\n  x", "    " * 20 + "x", "<s> <0x41>"]
+    odd += ["".join(rng.choice([" ", "  ", "   ", "a", "the", "ing"]) for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    pieces = [p.replace("▁", " ") for p in own.piece]
+    odd += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(500)]
     for t in [*list(texts.values())[:60], *odd]:
         ids = own.encode(t)
         assert library.encode(t) == list(array.array("I", ids))
@@ -112,12 +115,30 @@ def test_long_runs_without_a_space():
     rng = random.Random(3)
     for lo, hi in ((0x30, 0x39), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xE01, 0xE30), (0x1F600, 0x1F64F)):
         t = "".join(chr(rng.randint(lo, hi)) for _ in range(5000))
-        for text in (t, f"see {t[:2500]}, {t[2500:]}.", " " * 1500 + t):
+        for text in (t, f"see {t[:2500]}, {t[2500:]}.", " " * 1500 + t, " " * 20_000):
             ids = own.encode(text)
             assert library.encode(text) == list(array.array("I", ids)) and own.decode(ids) == text
     assert sum(map(len, own.known)) < 100_000
 
 
+def test_neighbours_are_those_of_merging():
+    """The weight between two pieces, read off their derivations, against merging their joined text."""
+    own, rng = piece_codec.PieceTransducer(PIECES), random.Random(4)
+    some = list(own.piece.items())
+
+    def merged(text):
+        parts = list(text)
+        while found := min(((own.cost[own.piece[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in own.piece), default=None):
+            k = found[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    for _ in range(3000):
+        (a, i), (b, k) = rng.choice(some), rng.choice(some)
+        if merged(a) == [a] and merged(b) == [b]:
+            assert (own._weight((i + 1) * own.size + k) == 0) == (merged(a + b) == [a, b])
+
+
 def test_unigram_path_is_cheapest():
     own = piece_codec.PieceTransducer(PIECES)
     own.merging = False
