@@ -1,13 +1,16 @@
 """Main text of web pages by composite text density.
 
-Every node of a page's tree gets a density: its characters per tag, corrected by
-how many of both belong to links.  The least density on the path from the body
-to the node whose children's densities sum highest is the threshold; in every
-subtree that reaches it, the node of the highest sum is main content.  Nodes that
-can't be article text (scripts, menus, footers, forms, adverts, notices,
-comments) are taken out first; a class name or id alone takes none out that
-holds half of the text.  <article> and <main> bound the content where they hold
-the densest part.
+Every element of a page's tree gets a density: its characters per tag, corrected
+by how many of both belong to links.  Formatting (bold, line breaks) is text of
+the element around it and has no density.  The node whose children's densities
+sum highest is looked for first; the least density on the path from the body to
+it is the threshold.  In every subtree that reaches the threshold the node of
+the highest sum is main content; a subtree that doesn't is only looked through.
+
+Nodes that can't be article text (scripts, menus, footers, forms, adverts,
+notices, comments) are taken out first: by tag, role or attribute, or by a class
+name or id that as a whole names one.  A name takes nothing out that holds half
+of the text in several blocks, or all of it.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from siltstone.llm.common import in_arrow
 # Fixed values of HTML and of page conventions.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript iframe template xmp noembed noframes head nav header footer aside form button select svg canvas object dialog menu figure".split())
+DROPPED = frozenset("script style textarea title noscript iframe template xmp noembed noframes head nav header footer aside form button select svg canvas object dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "option", "html", "body", "legend", "summary", "figcaption"}
 SIBLING_END = {
@@ -40,27 +43,42 @@ SIBLING_END = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMATTING = frozenset("a abbr b big cite code em font i mark q s small span strong sub sup tt u".split())
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
-    r"sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|comment-list|disqus|replies|"
-    r"share|sharing|social|related|recommended|pagination|pager|login|signup|toolbar|skip-link)(?:$|[\s_-])",
-    re.I,
+#: Parts of names: those of asides, those that say nothing, and whole names of content.
+ASIDE_PART = re.compile(
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|widgets?|menu|nav|navbar|"
+    r"navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|pagination|pager|login|signup|toolbar|skip"
 )
+PLAIN_PARTS = frozenset("area bar block bottom box buttons column container form group inner items left link links list main outer panel posts primary respond right row secondary section side site thread top wrap wrapper".split())
+CONTENT_NAMES = frozenset("article body content entry hentry post story text".split())
+INLINE = (FORMATTING - {"a"}) | {"br", "wbr"}
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "aside", "named", "inline", "chars", "loose", "tags", "blocks", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool = False, named: bool = False):
-        self.tag, self.parent, self.aside, self.named = tag, parent, aside, named
+        self.tag, self.parent, self.aside, self.named, self.inline = tag, parent, aside, named, tag in INLINE
         self.kids: list[Node | str] = []
 
 
+def _names_aside(value: str) -> bool:
+    """Whether one of the names of a class or id attribute is an aside's as a whole, and none is the content's."""
+    names = value.lower().split()
+    if CONTENT_NAMES.intersection(names):
+        return False
+    for name in names:
+        parts = [x for x in re.split("[-_]+", name) if x]
+        asides = [bool(ASIDE_PART.fullmatch(x)) for x in parts]
+        if any(asides) and all(a or x in PLAIN_PARTS for a, x in zip(asides, parts, strict=True)):
+            return True
+    return False
+
+
 def _is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether a tag is an aside for certain, and whether its class or id names one."""
     if tag in DROPPED:
@@ -70,7 +88,7 @@ def _is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
     named = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and ASIDE_NAMES.search(value):
+        if name in ("class", "id") and _names_aside(value):
             named = True
         if name == "hidden" or name == "role" and value.lower() in ASIDE_ROLES:
             return True, named
@@ -135,48 +153,60 @@ def parse(page: str) -> Node:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Characters, tags, and those in links, bottom up; the nodes in page order, asides left out."""
+    """Characters, loose ones (outside inner elements), tags, blocks with text, and those in links, bottom up; the nodes in page order, asides left out."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.aside]
     for node in reversed(order):
-        node.chars = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
-        node.tags = node.link_chars = node.link_tags = 0
+        node.chars = node.loose = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        node.tags = node.blocks = node.link_chars = node.link_tags = 0
         for k in node.kids:
             if isinstance(k, Node) and not k.aside:
                 node.chars += k.chars
-                node.tags += k.tags + 1
+                node.loose += k.loose * k.inline
+                node.tags += k.tags + (not k.inline)
+                node.blocks += k.blocks
                 node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
+        node.blocks += node.tag in BLOCKS and node.loose > 0
         if node.tag == "a":
             node.link_chars = node.chars
     return order
 
 
 def density(root: Node) -> list[Node]:
-    """Give every node its link-adjusted characters per tag, and the sum of its children's."""
+    """Give every node its link-adjusted characters per tag, and the sum of its children's; formatting is seen through."""
     order = _measure(root)
     chars, links = max(root.chars, 1), root.link_chars
     for n in order:
         c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, n.link_tags
-        if not c:
+        if not c or n.inline:
             n.density = 0.0
             continue
         base = math.log(c / max(c - lc, 1) * lc + links / chars * c + math.e)
         n.density = max(0.0, c / t * math.log(max(c / max(lc, 1) * (t / max(lt, 1)), 1.0000001)) / base)
-    for n in order:
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.aside)
+    for n in reversed(order):
+        n.total = sum(k.total if k.inline else k.density for k in n.kids if isinstance(k, Node) and not k.aside)
     return order
 
 
 def _drop_named(root: Node) -> None:
-    """Take out what class names or ids call an aside, unless it holds half of the text outside links."""
+    """Take out what a class name or id calls an aside, unless it holds half of the text outside links in several blocks, or all of it."""
     order = _measure(root)
-    half = (root.chars - root.link_chars) / 2
-    for n in order:
-        n.aside = n.aside or n.named and n.chars - n.link_chars < max(half, 1)
+    own = {n: n.chars - n.link_chars for n in order}
+    gone = [n for n in order if n.named and not (2 * own[n] >= own[root] and n.blocks > 2)]
+    for n in gone:
+        n.aside = True
+    if _measure(root) and not root.chars:
+        for n in gone:
+            n.aside = False
+
+
+def _rank(node: Node) -> tuple[float, bool, float]:
+    """Order of candidates: the largest sum; of equal ones what the page calls its article, then the densest."""
+    return (-1.0, False, 0.0) if node.inline or node.tag == "a" else (node.total, node.tag in ("article", "main"), node.density)
 
 
 def select(root: Node) -> list[Node]:
@@ -185,9 +215,7 @@ def select(root: Node) -> list[Node]:
     The threshold is the least density on the path from the body to the node of
     the largest density sum.  Of every subtree below the body that reaches it,
     the node of the largest sum is content, or the one around it with as much
-    text of its own; what lies beside that node is judged in the same way.  Where
-    <article> or <main> tags hold the node of the largest sum, or a quarter of
-    what it has, the content is the tagged subtrees that reach the threshold.
+    text of its own; what lies beside that node is judged in the same way.
     """
     _drop_named(root)
     order = density(root)
@@ -195,19 +223,14 @@ def select(root: Node) -> list[Node]:
     inside = [n for n in order if n.chars]
     if not inside:
         return [body]
-    rank = lambda n: (n.total, n.tag in ("article", "main"), n.density)
-    best = max(inside, key=rank)
-    threshold = min(n.density for n in _ancestors(best))
-    tagged = [n for n in inside if n.tag in ("article", "main") and not any(x.tag in ("article", "main") for x in _ancestors(n.parent))]
-    over = set(_ancestors(best))
-    if any(n in over for n in tagged) or 4 * sum(n.chars for n in tagged if best in _ancestors(n)) > best.chars:
-        return [n for n in tagged if n.density >= threshold or n in over or best in _ancestors(n)]
+    best = max(inside, key=_rank)
+    threshold = min([n.density for n in _ancestors(best) if not n.inline])
     top: dict[Node, Node] = {}  # the node of the largest sum in each subtree
     for n in reversed(order):
-        top[n] = max((n, *(top[k] for k in n.kids if k in top)), key=rank)
+        top[n] = max((n, *(top[k] for k in n.kids if k in top)), key=_rank)
     around = body if any(n is body for n in _ancestors(best)) else root
     chosen: set[Node] = set()
-    todo = [around] if _loose(around) >= max(threshold, 1) else [k for k in around.kids if k in top]
+    todo = [around] if around.loose >= max(threshold, 1) else [k for k in around.kids if k in top]
     while todo:
         n = todo.pop()
         if n.density < threshold or not n.chars:
@@ -216,7 +239,7 @@ def select(root: Node) -> list[Node]:
         pick = node = top[n]
         while node is not n:
             node = node.parent
-            if node.tag in BLOCKS and pick.tag not in BLOCKS or _loose(node) >= max(threshold, 1):
+            if node.tag in BLOCKS and pick.tag not in BLOCKS or node.loose >= max(threshold, 1):
                 pick = node
         chosen.add(pick)
         while pick is not n:
@@ -232,11 +255,6 @@ def select(root: Node) -> list[Node]:
     return [n for n in order if n in chosen and not any(x in chosen for x in _ancestors(n.parent))]
 
 
-def _loose(node: Node) -> int:
-    """Characters of a node's own text."""
-    return sum(len(k.strip()) for k in node.kids if isinstance(k, str))
-
-
 def _first_blocks(node: Node) -> Iterator[Node]:
     """The first subtree with text below a node, and the first below that."""
     while (node := next((k for k in node.kids if isinstance(k, Node) and not k.aside and k.chars), None)) is not None:
@@ -283,8 +301,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages` (page_id, url, html).
 
     Null and empty html, and pages without content, give an empty text.  Markup
-    that is cut off or badly nested is read as far as it goes.  Whole pages are
-    read and nothing is capped; other columns are ignored.
+    that is cut off, badly nested or has a quote left open is read as far as it
+    goes.  Whole pages are read and nothing is capped; repeated rows repeat, an
+    empty table gives an empty result, and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

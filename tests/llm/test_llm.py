@@ -423,10 +423,60 @@ def test_main_text_without_one_article():
     assert html_text.main_text(f"<body>{block('a')}{block('b')}<article><a href=/x>Read on</a></article></body>") == want("a", "b")
 
 
-def test_pages(spark, small):
+def test_names_of_asides():
+    keep = "post comments-on", "content-header", "no-sidebar", "adrift", "article-footer", "main", ""
+    drop = "ad", "Sidebar", "cookie-notice", "comment-list", "site_footer", "main-nav", "widget related-posts"
+    assert not any(map(html_text._names_aside, keep)) and all(map(html_text._names_aside, drop))
+    page = "<body><div class='{}'><h2>Head</h2><p>" + "words of the text " * 20 + "</p></div><div class='{}'>Buy this and that now, it is cheap</div></body>"
+    for one in ("post comments-on", "left-sidebar"):
+        assert html_text.main_text(page.format(one, "ad")) == "Head " + ("words of the text " * 20).strip()
+    assert html_text.main_text("<div class=ad>all there is</div>") == "all there is"
+
+
+def test_captions_and_open_quotes():
+    p = "<p>" + "some of the words " * 12 + "</p>"
+    assert "A caption here" in html_text.main_text(f"<body><div>{p}<figure><img src=x><figcaption>A caption here</figcaption></figure>{p}</div></body>")
+    assert html_text.main_text('hello <a href="x>y z') == "hello y z" and html_text.main_text("<p title='it>one</p><p>two</p>" * 1) == "one two"
+
+
+def test_density_of_small_trees():
+    """Densities and sums against their definition on a tree without formatting."""
+    import math
+
+    root = html_text.parse("<body x=y><div><p>twelve chars</p><p>and more of <a href=/>it</a> here</p></div><ul><li><a href=/>link</a></li><li><a href=/>next</a></li></ul></body>")
+
+    def count(n):
+        own = sum(len(k.strip()) for k in n.kids if isinstance(k, str))
+        kids = [(k, count(k)) for k in n.kids if not isinstance(k, str)]
+        c, t = own + sum(x[0] for _, x in kids), sum(x[1] + 1 for _, x in kids)
+        return c, t, c if n.tag == "a" else sum(x[2] for _, x in kids), sum(x[3] + (k.tag == "a") for k, x in kids)
+
+    every = html_text.density(root)
+    all_c, _, all_l, _ = count(root)
+    for n in every:
+        c, t, lc, lt = count(n)
+        want = c and c / max(t, 1) * math.log(c / max(lc, 1) * (max(t, 1) / max(lt, 1)), c / max(c - lc, 1) * lc + all_l / all_c * c + math.e)
+        assert n.density == pytest.approx(max(want, 0.0), abs=1e-4)
+        assert n.total == pytest.approx(sum(k.density for k in n.kids if not isinstance(k, str)))
+
+
+def test_threshold_prunes():
+    """A list of links beside the article is below the least density on the body's path."""
+    text = "".join(f"<p>{'word after word in a long enough line ' * 4}</p>" for _ in range(5))
+    links = "<div>" + "".join(f"<p><a href=/{i}>read {i}</a> on</p>" for i in range(12)) + "</div>"
+    root = html_text.parse(f"<body><div>{text}</div>{links}</body>")
+    chosen = html_text.select(root)
+    best = max(html_text.density(root), key=html_text._rank)
+    floor = min(n.density for n in html_text._ancestors(best))
+    assert chosen == [best] and all(n.density < floor for n in html_text.density(root) if n.tag == "div" and n is not best)
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_pages(spark, small, tag):
+    """With and without the tag that names the article."""
     pages = spark.read.parquet(f"{small}/pages.parquet")
-    got = html_text.extract(pages).collect()
     raw = {r.page_id: r.html for r in pages.collect()}
+    got = html_text.extract(pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", f"<$1{tag}>"))).collect()
     assert len(got) == len(raw)
     for r in got:
         article = re.search(r"<article>(.*?)(</article>|<footer|$)", raw[r.page_id], re.S)[1]
