@@ -490,28 +490,51 @@ def test_pages(spark, small, tag):
 # -- 8: toxicity --------------------------------------------------------------------
 
 
+def _by_enumeration(e, step):
+    """Marginals of label 1, log of the sum over all labellings over that of no label 1, and expected transitions."""
+    n, total, mass, two = len(e), np.zeros(len(e)), 0.0, np.zeros((2, 2))
+    for code in range(2**n):
+        y = [(code >> k) & 1 for k in range(n)]
+        w = np.exp(sum(e[k] * y[k] for k in range(n)) + sum(step[y[k], y[k + 1]] for k in range(n - 1)))
+        mass += w
+        total += w * np.array(y)
+        for k in range(n - 1):
+            two[y[k], y[k + 1]] += w
+    return total / mass, np.log(mass) - step[0, 0] * (n - 1), two / mass
+
+
 def test_chain_marginals_match_enumeration():
     rng = np.random.default_rng(8)
     chain = toxicity.Chain(["a", "b"], np.array([1.0, 2.0]))
-    chain.step, chain.near = rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2)
-    sizes = [1, 5, 3, 7]
-    ids = rng.integers(0, 3, sum(sizes))
-    first = np.zeros(len(ids), bool)
-    first[np.cumsum([0, *sizes[:-1]])] = True
-    got, at = chain.marginals(ids, first), 0
-    for n in sizes:
-        own = ids[at : at + n]
-        known = (own > 0).astype(float)
-        e = chain.emission[own] + chain.near[0] * np.append(0, known[:-1]) + chain.near[1] * np.append(known[1:], 0)
-        total = np.zeros(n)
-        mass = 0.0
-        for code in range(2**n):
-            y = [(code >> k) & 1 for k in range(n)]
-            w = np.exp(sum(e[k] * y[k] for k in range(n)) + sum(chain.step[y[k], y[k + 1]] for k in range(n - 1)))
-            mass += w
-            total += w * np.array(y)
-        assert np.allclose(got[at : at + n], total / mass)
-        at += n
+    chain.weights[:] = rng.normal(0, 1, len(chain.weights))
+    step = chain.step.reshape(2, 2)
+    texts = ["a", "b C aaa x1 b", "", "zz A b", "a b a b Q q a"]
+    value, edge = chain.emissions(texts)
+    first = np.zeros(len(value), bool)
+    first[[0, 1, 6, 9]] = True
+    got = chain.marginals(value, first)
+    x, size = np.zeros((len(texts), 7, 6), int), np.diff(edge)
+    for i, t in enumerate(texts):
+        f = [chain.features(w) for w in t.split()]
+        for k, (word, *rest) in enumerate(f):
+            x[i, k] = [word, f[k - 1][0] if k else 0, f[k + 1][0] if k + 1 < len(f) else 0, *rest]
+    z, p, joint = chain._pass(x, size)
+    assert np.allclose(chain.emission(x)[1, :5], value[1:6])
+    for i in range(len(texts)):
+        own = slice(edge[i], edge[i + 1])
+        want, load, two = _by_enumeration(value[own], step)
+        assert np.allclose(got[own], want) and np.allclose(p[i, : size[i]], want)
+        if size[i]:
+            two[0, 0] -= size[i] - 1
+            assert np.allclose(z[i], load) and np.allclose(joint[i], two)
+
+
+def test_tags_are_no_word_list():
+    """The same word is tagged in one neighbourhood and not in another."""
+    chain = toxicity.Chain(["rot", "apple", "you"], np.array([3.0, 0.0, 0.0]))
+    chain.before[chain.index["you"]], chain.after[chain.index["apple"]] = 3.0, -3.0
+    _, _, spans = chain.score(["you rot now", "rot apple pie"], spans=True)
+    assert spans == [[(4, 7)], []]
 
 
 def test_toxicity(spark, awkward, empty):
