@@ -73,9 +73,11 @@ def contamination(docs: DataFrame, items: DataFrame, params: DecontaminateParams
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of `docs` (doc_id, text).
 
     `items` has item_id, text.  Null and wordless texts have no words and no
-    hits; null and wordless items have no windows.  Repeated rows are judged
+    hits; null and wordless items have no windows.  An item without an id hits
+    words like any other, but is neither counted nor named.  Repeated rows are judged
     each for itself, whatever their ids; other columns are ignored.  An empty
-    benchmark hits nothing.
+    benchmark hits nothing, an empty table gives an empty result, and texts of
+    any length are read whole.
     """
     drawn = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
     read = settle(drawn.withColumn("n_words", F.size("w").cast("long")))

@@ -2,21 +2,22 @@
 
 File layout (little-endian)::
 
-    magic "PFR1"
-    blocks     each: minimum u32, width u8, ids u32, exceptions u32,
-               packed ids, exception positions u32, exception values u32
+    magic "PFR2"
+    blocks     each: minimum u32, width u8, ids u16, exceptions u16,
+               packed ids, exception positions u16, their higher bits u16 or u32
     index      byte offset of each block, u64
     documents  ids as i64, then a null flag u8 each, then token counts u64
     footer     blocks u64, documents u64, index offset u64, block size u32, magic
 
-A block stores each id minus the block's minimum in as many bits as a chosen
-percentile of its values needs; larger values keep their low bits in place and
-their full value in the exception list.  The index lets a reader start at any
-block.
+A block stores each id minus the block's minimum in as many bits as one of a few
+percentiles of its values needs, whichever makes the block smallest; larger
+values keep their low bits in place and the rest in the exception list.  The
+index lets a reader start at any block.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import in_arrow, passing, settle, shared_dir
 
-MAGIC = b"PFR1"
-BLOCK, HEAD, FOOT = 4096, struct.Struct("<IBII"), struct.Struct("<QQQI4s")
-PERCENTILE = 90
+MAGIC = b"PFR2"
+BLOCK, HEAD, FOOT = 4096, struct.Struct("<IBHH"), struct.Struct("<QQQI4s")
+PERCENTILES = (50, 75, 90, 95, 98, 99, 100)
 
 
 # -- tokenizing ------------------------------------------------------------
@@ -49,12 +50,26 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 _CACHE_ENTRIES = 800_000
 
 
+#: The rules of a vocabulary file under which `_PLAIN` and `_SPLIT` hold: fixed values of the file format.
+_NORMAL_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _known_rules(path: str) -> bool:
+    """Whether the file normalises and splits by the rules that the cached path restates."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    normal, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    rules = [r.get("pattern", {}).get("Regex") for r in split.get("pretokenizers", ()) if r.get("type") == "Split"]
+    return normal.get("normalizers") == _NORMAL_FORM and rules == [_SPLIT_RULE]
+
+
 class CachedEncoder:
     """The tokenizers library, asked once for each distinct pre-token of new words.
 
     Ids are kept as little-endian u32 bytes, so a document is one join.  A text
     outside `_PLAIN`, or one that may hold a special token's string, goes to the
-    library whole.
+    library whole; so does every text if the file has other rules than these.
     """
 
     def __init__(self, path: str):
@@ -68,6 +83,7 @@ class CachedEncoder:
         vocab = self.whole.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cached = _known_rules(path)
         self.known: dict[bytes, bytes] = {}
 
     def _parts(self, tokens: list[str]) -> dict[str, bytes]:
@@ -95,7 +111,7 @@ class CachedEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split, new = [], set()
         for t in texts:
-            if t and _PLAIN.fullmatch(t) and "<|" not in t:
+            if t and self.cached and _PLAIN.fullmatch(t) and "<|" not in t:
                 t = t.lower().encode().split()
                 new.update(t)
             split.append(t)
@@ -115,15 +131,28 @@ def encoder(path: str) -> CachedEncoder:
 # -- blocks ----------------------------------------------------------------
 
 
-def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
-    """One block of u32 ids; `percentile` of them set the packed width."""
+def _rest(width: int) -> tuple[str, int]:
+    """How the bits above `width` are stored, and in how many bytes."""
+    return ("<u2", 2) if width >= 16 else ("<u4", 4)
+
+
+def _width(rest: np.ndarray, percentiles: tuple[int, ...]) -> int:
+    """Bits that a percentile of the values needs, of the percentile that makes the block smallest."""
+    inside = np.cumsum(np.bincount(np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.int64), minlength=33))  # values of so many bits at most
+    need = np.searchsorted(inside, [max(1, int(np.ceil(len(rest) * p / 100))) for p in percentiles])
+    return min((-(-len(rest) * int(w) // 8) + int(inside[-1] - inside[w]) * (2 + _rest(int(w))[1]), int(w)) for w in np.unique(need))[1]
+
+
+def pack_block(ids: np.ndarray, percentiles: tuple[int, ...] = PERCENTILES) -> bytes:
+    """One block of u32 ids, 65,535 at most, packed at the width of one of the percentiles."""
     low = int(ids.min())
     rest = ids.astype("<u4") - np.uint32(low)
-    width = int(np.partition(rest, k := min(len(rest) - 1, int(len(rest) * percentile / 100)))[k]).bit_length()
+    width = _width(rest, percentiles)
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
     packed = np.packbits(bits, bitorder="little").tobytes()
-    return HEAD.pack(low, width, len(ids), len(over)) + packed + over.astype("<u4").tobytes() + rest[over].tobytes()
+    high = (rest[over] >> np.uint32(width)).astype(_rest(width)[0]) if len(over) else np.empty(0, "<u2")
+    return HEAD.pack(low, width, len(ids), len(over)) + packed + over.astype("<u2").tobytes() + high.tobytes()
 
 
 def unpack_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
@@ -136,9 +165,10 @@ def unpack_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     full[:, :width] = bits.reshape(n, width)
     ids = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
     at += size
-    where, what = np.frombuffer(raw, "<u4", odd, at), np.frombuffer(raw, "<u4", odd, at + 4 * odd)
-    ids[where] = what
-    return ids + np.uint32(low), at + 8 * odd
+    kind, each = _rest(width)
+    if odd:
+        ids[np.frombuffer(raw, "<u2", odd, at)] |= np.frombuffer(raw, kind, odd, at + 2 * odd).astype("<u4") << np.uint32(width)
+    return ids + np.uint32(low), at + (2 + each) * odd
 
 
 class BlockWriter:
@@ -212,7 +242,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None
     Returns the manifest, which is itself stored: part, path, n_docs, n_tokens.
     Each attempt of a task writes a file of its own, and only files of finished
     tasks are in the manifest, so a lost executor leaves no half file behind it.
-    Null text counts as empty; equal doc_ids keep all their rows, by text.
+    Null text counts as empty; equal doc_ids keep all their rows, by text.  Rows
+    without a doc_id come first.  Whole texts of any length are encoded, an empty
+    table gives an empty manifest, and other columns are ignored.
     """
     own = folder is None
     folder = folder or shared_dir(docs.sparkSession)

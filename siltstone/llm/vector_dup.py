@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settle, unit_hash
+from siltstone.llm.common import in_arrow, join_anew, settle, unit_hash
 from siltstone.llm.graph import components
 from siltstone.llm.near_dup import _forest
 
@@ -30,6 +30,8 @@ from siltstone.llm.near_dup import _forest
 @dataclass(frozen=True)
 class VectorDupParams:
     cosine: float = 0.9
+    #: Blocks of a side of a tile, of which a task holds two sides.
+    tile: int = 6
     #: Vectors of a block, and bounds of the centres and the blocks, both of which every task holds.
     block: int = 4096
     most_centres: int = 1024
@@ -111,8 +113,9 @@ class CoverTree:
             self.levels.append((edges, np.maximum.reduceat(far, first)))
 
     def dump(self) -> bytes:
-        head = struct.pack("<III", len(self.ids), self.x.shape[1], len(self.levels))
-        body = [head, self.ids.astype("<i8").tobytes(), self.mult.astype("<i8").tobytes(), self.given.astype("<f4").tobytes()]
+        kind = "<f4" if (self.given.astype("<f4") == self.given).all() else "<f8"  # half the bytes where nothing is lost
+        head = struct.pack("<IIII", len(self.ids), self.x.shape[1], len(self.levels), int(kind[-1]))
+        body = [head, self.ids.astype("<i8").tobytes(), self.mult.astype("<i8").tobytes(), self.given.astype(kind).tobytes()]
         for edges, radius in self.levels:
             body += [struct.pack("<I", len(radius)), edges.astype("<i8").tobytes(), radius.astype("<f8").tobytes()]
         return b"".join(body)
@@ -120,12 +123,12 @@ class CoverTree:
     @classmethod
     def load(cls, raw: bytes) -> CoverTree:
         tree = cls.__new__(cls)
-        n, dim, levels = struct.unpack_from("<III", raw)
-        at = 12
+        n, dim, levels, each = struct.unpack_from("<IIII", raw)
+        at = 16
         tree.ids, tree.mult = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i8", n, at + 8 * n)
-        tree.given = np.frombuffer(raw, "<f4", n * dim, at + 16 * n).reshape(n, dim)
+        tree.given = np.frombuffer(raw, f"<f{each}", n * dim, at + 16 * n).reshape(n, dim)
         tree.x = _unit(tree.given)
-        at += 16 * n + 4 * n * dim
+        at += 16 * n + each * n * dim
         tree.levels = []
         for _ in range(levels):
             (k,) = struct.unpack_from("<I", raw, at)
@@ -234,9 +237,10 @@ def near_vectors(vectors: DataFrame, params: VectorDupParams = VectorDupParams()
     link with nothing; so do vectors of different lengths with one another.
     Rows that repeat a vector link with each other.  A row with a null vec_id
     counts as a link but has a null component and is kept.  Whole tables are
-    read; labels and other columns are ignored.
+    read and components compared as doubles; labels and other columns are
+    ignored, and an empty table gives an empty result.
     """
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(finite & F.exists("e", lambda v: v != 0), F.lit(False))
     read = settle(rows.withColumn("e", F.when(usable, F.col("e"))))
@@ -263,7 +267,7 @@ def near_vectors(vectors: DataFrame, params: VectorDupParams = VectorDupParams()
                 cell.append(where)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell) if cell else [], pa.int64()), *b.columns], ["cell", "e", "id", "mult"])
 
-    placed = classes.mapInArrow(assign, "cell long, e array<float>, id long, mult long").withColumn("size", F.size("e"))
+    placed = in_arrow(classes, assign, "cell long, e array<double>, id long, mult long").withColumn("size", F.size("e"))
     placed = settle(placed)
     loads = placed.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = placed.join(loads, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -273,11 +277,11 @@ def near_vectors(vectors: DataFrame, params: VectorDupParams = VectorDupParams()
 
         def grown() -> pa.RecordBatch:
             ids, mult = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            tree = CoverTree(ids, mult, np.array([h[2] for h in held], np.float32), params.radii)
+            tree = CoverTree(ids, mult, np.array([h[2] for h in held], np.float64), params.radii)
             centre = tree.x.mean(0)
             centre = centre / max(float(np.linalg.norm(centre)), 1e-12)
             radius = float(_distance(tree.x @ centre).max())
-            return pa.RecordBatch.from_arrays([pa.array([unit[0]], pa.int32()), pa.array([int(ids.min())]), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([tree.dump()], pa.binary())], ["size", "node", "centre", "radius", "tree"])
+            return pa.RecordBatch.from_arrays([pa.array([unit[0]], pa.int32()), pa.array([unit[1]], pa.int64()), pa.array([int(ids.min())]), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([tree.dump()], pa.binary())], ["size", "cell", "node", "centre", "radius", "tree"])
 
         for b in source:
             for size, cell, at, i, m, e in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
@@ -290,8 +294,9 @@ def near_vectors(vectors: DataFrame, params: VectorDupParams = VectorDupParams()
             yield grown()
 
     units = dealt.select("size", "cell", "block", "id", "mult", "e").repartition("size", "cell", "block").sortWithinPartitions("size", "cell", "block", "id")
-    trees = settle(units.mapInArrow(plant, "size int, node long, centre array<double>, radius double, tree binary"))
-    tops = trees.select("size", "node", "centre", "radius").orderBy("node").collect()  # at most about most_blocks + most_centres rows
+    trees = settle(in_arrow(units, plant, "size int, cell long, node long, centre array<double>, radius double, tree binary"))
+    tops = trees.select("size", "cell", "node", "centre", "radius").orderBy("size", "cell", "node").collect()  # at most about most_blocks + most_centres rows
+    band = {t["node"]: k // params.tile for k, t in enumerate(tops)}  # blocks of one cell stand together
     sizes, nodes = np.array([t["size"] for t in tops]), np.array([t["node"] for t in tops], np.int64)
     balls = {int(s): (np.array([t["centre"] for t in tops if t["size"] == s]), np.array([t["radius"] for t in tops if t["size"] == s])) for s in np.unique(sizes)}
     reach, cosine = params.reach, params.cosine
@@ -302,31 +307,40 @@ def near_vectors(vectors: DataFrame, params: VectorDupParams = VectorDupParams()
                 xs, rs = balls[size]
                 near = (_distance(xs @ np.array(centre)) <= rs + radius + reach + _EPS) & (nodes[sizes == size] >= node)
                 other = nodes[sizes == size][near]
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(other), pa.int64()), pa.array(other)], ["a", "b"])
+                one, two = np.full(len(other), band[node], np.int64), np.array([band[x] for x in other.tolist()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array([node] * len(other), pa.int64()), pa.array(other)], ["i", "j", "a", "b"])
 
     def walk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Trees of a tile come before its pairs."""
+        unit, grove = None, {}
         for b in source:
-            for raw_a, raw_b in zip(b.column(0), b.column(1), strict=True):
-                one = CoverTree.load(raw_a.as_py())
-                two = CoverTree.load(raw_b.as_py()) if raw_b.is_valid else one
+            for k in range(b.num_rows):
+                i, j, node, other = (b.column(c)[k].as_py() for c in range(4))
+                if (i, j) != unit:
+                    unit, grove = (i, j), {}
+                if other is None:
+                    grove[node] = CoverTree.load(b.column(4)[k].as_py())
+                    continue
+                one, two = grove[node], grove[other]
                 left, right, edges = dual(one, two, cosine)
-                got = [(one.ids, left)] if two is one else [(one.ids, left), (two.ids, right)]
-                for ids, count in got:
+                for ids, count in [(one.ids, left)] if two is one else [(one.ids, left), (two.ids, right)]:
                     has = count > 0
                     yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.nulls(int(has.sum()), pa.int64()), pa.array(count[has])], ["a", "b", "n"])
                 if edges:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64()), pa.nulls(len(edges), pa.int64())], ["a", "b", "n"])
 
-    pairs = trees.select("size", "node", "centre", "radius").repartition("node").mapInArrow(meet, "a long, b long")
-    left = trees.select(F.col("node").alias("a"), F.col("tree").alias("left"))
-    right = trees.select(F.col("node").alias("b"), F.col("tree").alias("right"))
-    met = pairs.join(left, "a").join(right, "b").select("left", F.when(F.col("a") != F.col("b"), F.col("right")).alias("right"))
-    walked = settle(met.mapInArrow(walk, "a long, b long, n long"))
+    # pairs of blocks are walked tile by tile, so that a tree is sent once a tile, not once a pair
+    pairs = settle(in_arrow(trees.select("size", "node", "centre", "radius").repartition("node"), meet, "i long, j long, a long, b long"))
+    asked = pairs.select("i", "j", F.col("a").alias("node")).union(pairs.select("i", "j", F.col("b").alias("node"))).distinct()
+    sent = asked.join(trees.select("node", "tree"), "node").select("i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "tree")
+    dealt = sent.union(pairs.select("i", "j", "a", "b", F.lit(None).cast("binary").alias("tree")))
+    met = dealt.repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").isNotNull(), "a", "b")
+    walked = settle(in_arrow(met, walk, "a long, b long, n long"))
     counts = walked.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("id"), "n")
     found = components(walked.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("id"), "component")
     judged = classes.join(counts, "id", "left").join(found, "id", "left").select("e", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    named = settle(read.join(judged, "e", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "row").alias("component")))
-    low = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = named.join(low, "component")
-    component = F.when(F.col("vec_id").isNotNull(), F.col("component_id"))
-    return out.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    some = settle(join_anew(read.filter("e IS NOT NULL"), judged, "e").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component"))
+    low = some.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    out = join_anew(some, low, "component").select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    alone = read.filter("e IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -283,6 +283,29 @@ def test_token_files(spark, docs, awkward, empty):
     assert token_output.read_ids(token_output.write_ids(empty, WORD_BPE, 1)).count() == 0
 
 
+def test_block_width_is_the_cheapest():
+    rng = np.random.default_rng(5)
+    for ids in (rng.integers(0, 50_000, 4096), rng.zipf(1.5, 4096) % 60_000, np.zeros(4096, np.int64), np.append(rng.integers(0, 16, 4000), rng.integers(0, 2**31, 96))):
+        sizes = [len(token_output.pack_block(ids.astype("<u4"), (p,))) for p in token_output.PERCENTILES]
+        assert len(token_output.pack_block(ids.astype("<u4"))) == min(sizes)
+
+
+def test_other_rules_go_to_the_library(tmp_path, texts):
+    """A file that doesn't lower case is encoded by its own rules."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(WORD_BPE, encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    own, library = token_output.CachedEncoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    some = [*list(texts.values())[:20], "It IS", None]
+    assert own.encode(some) == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in some] and not own.cached
+    assert token_output.CachedEncoder(WORD_BPE).cached
+
+
 def test_block_reader_starts_anywhere():
     import pyarrow as pa
 
@@ -327,6 +350,8 @@ def test_decontaminate(spark, awkward, empty, bound):
     want = sorted((i or -1, *brute_windows(t, named)) for i, t in rows)
     flat = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(d, b.filter("item_id IS NOT NULL"), p).collect())
     assert flat == want and len(got) == len(rows)
+    nameless = {r.doc_id: r for r in got}[21]
+    assert nameless.n_hit > dict((w[0], w[2]) for w in want)[21] and nameless.n_items == dict((w[0], w[3]) for w in want)[21]
     assert decontaminate.contamination(empty, b, p).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(d, b.limit(0), p).collect())
 
@@ -563,7 +588,7 @@ def test_toxicity(spark, awkward, empty):
 # -- 9: vectors -----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("params", [vector_dup.VectorDupParams(), vector_dup.VectorDupParams(block=40)])
+@pytest.mark.parametrize("params", [vector_dup.VectorDupParams(), vector_dup.VectorDupParams(block=20, tile=2)])
 def test_vectors(spark, params):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
@@ -584,6 +609,16 @@ def test_vectors(spark, params):
     assert vector_dup.near_vectors(frame.limit(0), params).count() == 0
 
 
+def test_vectors_are_compared_as_doubles(spark):
+    """Two pairs around the threshold that single precision can't tell apart."""
+    import math
+
+    turn = math.acos(0.9)
+    rows = [(1, [1.0, 0.0]), (2, [math.cos(turn - 1e-9), math.sin(turn - 1e-9)]), (3, [0.0, 1.0]), (4, [-math.sin(turn + 1e-9), math.cos(turn + 1e-9)])]
+    got = {r.vec_id: r.n_links for r in vector_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 # -- 10: token counts -------------------------------------------------------------------
 
 
