@@ -92,7 +92,46 @@ QUERIES: dict[str, Query] = {
 }
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+#: Components of `links` (a, b) over `nodes` (id): the smallest id that each reaches.
+_REACH = """
+edge AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, node) AS (SELECT id, id FROM nodes UNION SELECT r.id, b.b FROM reach r JOIN edge b ON b.a = r.node),
+low AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id AS id, md5(array_to_string(w[k:k + 3], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+nodes AS (SELECT id FROM n),
+met AS (SELECT a.id AS a, b.id AS b, count(*) AS both_have FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),{_REACH}
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM d LEFT JOIN n ON n.id = doc_id LEFT JOIN low ON low.id = doc_id
+""",
+    "op6_repeats": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 48 AS BIGINT))) AS s FROM d WHERE len(w) >= 50)),
+first AS (SELECT x, min(doc_id) AS first FROM win GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM win JOIN first USING (x) WHERE doc_id > first),
+lost AS (SELECT doc_id, list(p) AS p FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM lost)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lost.p), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN lost.p IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op9_vector_dup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id AS id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+nodes AS (SELECT id FROM u),
+links AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),{_REACH},
+n AS (SELECT a AS id, count(*) AS n FROM edge GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.id = vec_id LEFT JOIN low ON low.id = vec_id
+""",
     "op5_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
