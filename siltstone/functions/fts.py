@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 
@@ -64,15 +65,24 @@ def cover_density(found: dict[str, list[int]], clauses: list[tuple[bool, list[li
     wanted = [sorted(s + k for p in options for s in _phrase_starts(found, p) for k in range(len(p))) for negated, options in clauses if not negated]
     if not wanted or not all(wanted):
         return 0.0
+    every = sorted({p for own in wanted for p in own})
     total, at = 0.0, 0
+    nxt = [0] * len(wanted)  # each list's first position beyond `at`, and its last within the cover
+    last = [0] * len(wanted)
     while True:
-        ends = [next((p for p in own if p > at), None) for own in wanted]
-        if None in ends:
-            return total
-        end = max(ends)
-        start = min(max(p for p in own if p <= end) for own in wanted)
-        inside = {p for own in wanted for p in own if start <= p <= end}
-        total += weight / (1 + (end - start + 1 - len(inside)))
+        for k, own in enumerate(wanted):
+            while nxt[k] < len(own) and own[nxt[k]] <= at:
+                nxt[k] += 1
+            if nxt[k] == len(own):
+                return total
+        end = max(own[n] for own, n in zip(wanted, nxt, strict=True))
+        for k, own in enumerate(wanted):
+            last[k] = max(last[k], nxt[k])
+            while last[k] + 1 < len(own) and own[last[k] + 1] <= end:
+                last[k] += 1
+        start = min(own[n] for own, n in zip(wanted, last, strict=True))
+        inside = bisect_right(every, end) - bisect_left(every, start)
+        total += weight / (1 + (end - start + 1 - inside))
         at = start
 
 
@@ -81,6 +91,18 @@ def to_lexemes(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"lexeme": k, "positions": v} for k, v in sorted(lexemes(t).items())])
 
 
+@series("string")
+def stem_of(words: pd.Series) -> pd.Series:
+    """The stem of each lower-case word; null for a stop word."""
+    return words.map(lambda w: None if w is None or w in STOP_WORDS else stem(w))
+
+
+@series("array<string>")
+def all_stems(queries: pd.Series) -> pd.Series:
+    """Every stem of a query, negated and optional ones too."""
+    return queries.map(lambda q: sorted({s for _, options in parse_query(q) for o in options for s in o}))
+
+
 @series("array<string>")
 def required_stems(queries: pd.Series) -> pd.Series:
     """Stems that a match must have: those of clauses with one alternative and no minus."""
@@ -88,14 +110,13 @@ def required_stems(queries: pd.Series) -> pd.Series:
 
 
 @series("double")
-def rank_of(texts: pd.Series, queries: pd.Series) -> pd.Series:
-    """Cover-density rank of each text for its query; null where it does not match."""
+def rank_of(stems: pd.Series, positions: pd.Series, queries: pd.Series) -> pd.Series:
+    """Cover-density rank of texts for their queries, from the positions of the query's stems in each; null where it does not match."""
     cache: dict[str, list] = {}
 
-    def one(text: str | None, query: str | None) -> float | None:
+    def one(found: dict[str, list[int]], query: str | None) -> float | None:
         if query not in cache:
             cache[query] = parse_query(query)
-        found = lexemes(text)
         return cover_density(found, cache[query]) if matches(found, cache[query]) else None
 
-    return pd.Series([one(t, q) for t, q in zip(texts, queries, strict=True)], dtype="float64")
+    return pd.Series([one({s: list(p) for s, p in zip(a, b, strict=True)}, q) for a, b, q in zip(stems, positions, queries, strict=True)], dtype="float64")

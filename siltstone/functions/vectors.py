@@ -48,7 +48,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool = Fa
     """qid, rank, id and distance of the k nearest `vectors` (id, vector) to each of `queries` (qid, vector).
 
     Exact: blocks of queries meet blocks of vectors in one matrix product each,
-    keep k a query and block, and a window keeps k of those.  Distances are
+    keep k a query and block, and a window keeps k of those.  Vector blocks are
+    dealt over as many parts as a shuffle has, and query blocks copied to each,
+    so that no part holds all vectors, broadcast or not.  Distances are
     rounded to `places` before ranking, ties go to the smaller id, so a rank
     does not depend on the order of a sum.
     """
@@ -71,6 +73,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool = Fa
 
     q = _blocks(queries.select(F.col("qid").cast("long"), "vector").filter(usable(F.col("vector"))), 512, "q")
     v = _blocks(vectors.select(F.col("id").cast("long"), "vector").filter(usable(F.col("vector"))), 4096, "v")
-    near = v.join(q, "dim").mapInArrow(search, "qid long, id long, distance double")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = v.withColumn("part", F.pmod(F.xxhash64("v_ids"), F.lit(parts)).cast("int"))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    near = v.join(q, ["dim", "part"]).mapInArrow(search, "qid long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")

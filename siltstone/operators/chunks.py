@@ -90,9 +90,11 @@ def _recursive(texts: pd.Series) -> pd.Series:
     return texts.map(recursive)
 
 
-def fixed(text: Column) -> Column:
-    """Windows of 250 tokens, each 200 on from the last, until one reaches the end; all in built-in functions."""
-    t = tokens(text)
+def fixed(t: Column) -> Column:
+    """Windows of 250 of the tokens `t`, each 200 on from the last, until one reaches the end; all in built-in functions.
+
+    `t` should be a column of its own: made here, it would be made for each window.
+    """
     step, n = WINDOW - OVERLAP, F.size(t)
     count = F.when(n == 0, 0).when(n <= WINDOW, 1).otherwise(F.ceil((n - WINDOW) / step).cast("int") + 1)
     return F.when(count == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(t, i * step + 1, WINDOW), "")))
@@ -106,12 +108,17 @@ def merge_tiny_column(chunks: Column) -> Column:
     return F.aggregate(chunks, F.array().cast("array<string>"), lambda a, c: F.when(tiny(a, c), absorb(a, c)).otherwise(F.concat(a, F.array(c))))
 
 
-SPLIT = {"fixed": lambda c: merge_tiny_column(fixed(c)), "structure": _structure, "recursive": _recursive}
+SPLIT = {"fixed": lambda c: merge_tiny_column(c), "structure": _structure, "recursive": _recursive}
 
 
 def chunk(sections: DataFrame, strategy: str) -> DataFrame:
     """Chunk rows of `sections` (id, document_id, raw_text), numbered within each section; none spans two."""
-    split = SPLIT[strategy](F.col("raw_text"))
+    source = F.col("raw_text")
+    if strategy == "fixed":  # generators keep the tokens, and then the windows, from being inlined
+        cut = sections.select("document_id", "id", F.explode(F.array(F.coalesce(tokens(source), F.array().cast("array<string>")))).alias("t"))
+        sections = cut.select("document_id", "id", F.explode(F.array(fixed(F.col("t")))).alias("raw_text"))
+        source = F.col("raw_text")
+    split = SPLIT[strategy](source)
     rows = sections.select("document_id", F.col("id").alias("section_id"), F.posexplode(split).alias("chunk_index", "text"))
     return rows.select("document_id", "section_id", F.lit(strategy).alias("strategy"), "chunk_index", "text", F.size(tokens(F.col("text"))).alias("token_count"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.models import UNPARSEABLE, VERDICTS
-from siltstone.operators.search import TOP_K, search
+from siltstone.operators.search import POOL, TOP_K, keyword, rrf, vector
+from siltstone.sources.io import settle
 
 SAMPLE, SEED = 150, 42
 
@@ -24,12 +25,18 @@ def hit_rate_mrr(ranks: DataFrame, *by: str) -> DataFrame:
 
 
 def evaluate(chunks: DataFrame, questions: DataFrame, strategies: tuple[str, ...], methods: tuple[str, ...] = ("keyword", "vector", "hybrid"), k: int = TOP_K) -> DataFrame:
-    """strategy, method, hit_rate, mrr for every combination, all questions at once; a hit is the question's section."""
+    """strategy, method, hit_rate, mrr for every combination, all questions at once; a hit is the question's section.
+
+    Both rankers' pools are made once a strategy: their first k are the keyword
+    and the vector results, and the fusion of both is the hybrid one.
+    """
     parts = []
     for strategy in strategies:
         own = chunks.filter(F.col("strategy") == strategy)
+        pools = {"keyword": settle(keyword(own, questions, POOL)), "vector": settle(vector(own, questions.select("qid", "vector"), POOL))}
         for method in methods:
-            hits = search(method, own, questions, k).join(own.select("id", F.col("section_id").alias("target")), "id")
+            found = rrf(pools["keyword"], pools["vector"], k) if method == "hybrid" else pools[method].filter(F.col("rank") <= k)
+            hits = found.select("qid", "rank", "id").join(own.select("id", F.col("section_id").alias("target")), "id")
             parts.append(reciprocal_ranks(questions, hits).select(F.lit(strategy).alias("strategy"), F.lit(method).alias("method"), "rr"))
     return hit_rate_mrr(reduce(DataFrame.unionByName, parts), "strategy", "method")
 

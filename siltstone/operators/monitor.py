@@ -26,7 +26,8 @@ def overview(turns: DataFrame) -> DataFrame:
 
 
 def timeseries(turns: DataFrame) -> DataFrame:
-    return turns.select("id", "timestamp", F.col("cost").cast("double"), F.col("response_time").cast("double"), "total_tokens", "prompt_tokens", "completion_tokens")
+    """A row for each turn, in order of time, of equal times by id."""
+    return turns.orderBy("timestamp", "id").select("id", "timestamp", F.col("cost").cast("double"), F.col("response_time").cast("double"), "total_tokens", "prompt_tokens", "completion_tokens")
 
 
 def judge_distribution(feedback: DataFrame) -> DataFrame:
@@ -40,6 +41,16 @@ def thumb(score: Column) -> Column:
     return F.when(score > 0, "up").when(score < 0, "down").otherwise("neutral")
 
 
+def sign(thumb_up: Column) -> Column:
+    """Score of a thumb: 1 for one up (true), -1 for any other."""
+    return F.when(thumb_up, 1).otherwise(-1)
+
+
+def percent(share: Column) -> Column:
+    """A share as a percentage of one place, such as 81.3%."""
+    return F.format_string("%.1f%%", share * 100)
+
+
 def user_feedback(feedback: DataFrame) -> DataFrame:
     return feedback.filter(F.col("source") == "user").groupBy(thumb(F.col("score")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 

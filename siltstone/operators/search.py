@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import fts
 from siltstone.functions.text import first_text, words
 from siltstone.functions.vectors import nearest
+from siltstone.sources.io import settle
 
 # Results, candidates of each ranker, and the rank constant of the fusion.
 TOP_K, POOL, RRF_K = 5, 60, 60
@@ -19,26 +20,58 @@ def ranked(scored: DataFrame, k: int, *order) -> DataFrame:  # noqa: ANN002
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def index(chunks: DataFrame) -> DataFrame:
-    """Postings (lexeme, id) of `chunks` (id, text): the inverted index, to be stored by those who search often."""
-    return chunks.select("id", F.explode(fts.to_lexemes("text")).alias("x")).select(F.col("x.lexeme").alias("lexeme"), "id")
+def _placed(chunks: DataFrame) -> DataFrame:
+    """id, word and position (from 1) of every word of `chunks` (id, text)."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), F.lit(0))
+    return chunks.select("id", F.posexplode(words).alias("at", "word")).select("id", "word", F.least(F.col("at") + 1, F.lit(fts.MOST_POSITION)).alias("at"))
+
+
+def index(chunks: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """Postings (lexeme, id, positions in order) of `chunks` (id, text): the inverted index, to be stored by those who search often.
+
+    Each distinct word is stemmed once.  With `stems` (lexeme) only those
+    lexemes' words are kept, before anything is gathered.
+    """
+    placed = _placed(chunks)
+    spread = chunks.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: else one task would stem them all
+    known = placed.select("word").distinct().repartition(spread).withColumn("lexeme", fts.stem_of("word")).filter("lexeme IS NOT NULL")
+    if stems is not None:
+        known = known.join(stems.select("lexeme").distinct(), "lexeme", "left_semi")
+    return placed.join(known, "word").groupBy("lexeme", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+
+
+def _likely(wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """qid, id of rows that have the three rarest words (or all, if fewer) of a question; `wanted` and `postings` share `word`.
+
+    A common word never builds a large set of candidates beside a rare one, and
+    what is joined is rows of the rarest words alone.
+    """
+    counts = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("qid").orderBy(F.coalesce("n", F.lit(0)), "word")
+    few = wanted.join(counts, "word", "left").withColumn("k", F.row_number().over(w)).filter("k <= 3")
+    few = few.withColumn("most", F.max("k").over(Window.partitionBy("qid"))).select("qid", "word", "most")
+    both = few.join(postings.select("word", "id"), "word").groupBy("qid", "id", "most").agg(F.count(F.lit(1)).alias("found"))
+    return both.filter("found = most").select("qid", "id")
 
 
 def keyword(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, postings: DataFrame | None = None) -> DataFrame:
     """qid, rank, id, score of the k best matches by cover density.
 
     A match must hold all of a question's required stems, so chunks meet a
-    question on its rarest one alone and are then judged on their text.
-    Questions without a required stem (stop words, alternatives or negations
-    alone) find nothing.
+    question on its rarest ones alone; the positions of the question's stems in
+    them, and no text, then say whether and how well they match.  Questions
+    without a required stem (stop words, alternatives or negations alone) find
+    nothing.  `postings` is a stored index; without it the words that the
+    questions ask for are looked up.
     """
-    postings = index(chunks) if postings is None else postings
     asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
     stems = asked.select("qid", F.explode(fts.required_stems("question")).alias("lexeme"))
-    counts = postings.join(stems.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count(F.lit(1)).alias("n"))
-    rarest = stems.join(counts, "lexeme", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "lexeme"))["lexeme"].alias("lexeme"))
-    met = postings.join(rarest, "lexeme").select("qid", "id").join(asked, "qid").join(chunks.select("id", "text"), "id")
-    scored = met.withColumn("score", fts.rank_of("text", "question")).filter("score IS NOT NULL").select("qid", "id", "score")
+    every = asked.select("qid", "question", F.explode(fts.all_stems("question")).alias("lexeme"))
+    postings = settle(index(chunks, every)) if postings is None else postings
+    met = _likely(stems.withColumnRenamed("lexeme", "word"), postings.withColumnRenamed("lexeme", "word"))
+    held = met.join(every, "qid").join(postings, ["lexeme", "id"])
+    found = held.groupBy("qid", "question", "id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x"))
+    scored = found.withColumn("score", fts.rank_of("x.lexeme", "x.positions", "question")).filter("score IS NOT NULL").select("qid", "id", "score")
     return ranked(scored, k, F.desc("score")).select("qid", "rank", "id", "score")
 
 
@@ -71,19 +104,17 @@ def search(method: str, chunks: DataFrame, questions: DataFrame, k: int = TOP_K)
 
 
 def containing_all(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, id of unstemmed matches: the text has every distinct word of the query.
+    """qid, id, score of unstemmed matches: the text has every distinct word of the query, and score counts their occurrences.
 
-    Texts meet a query on its word of fewest texts, as bare pairs, and only the
-    pairs are then given their words and checked for the others.
+    Texts become counts of the words that any query has; those meet a query on
+    its words of fewest texts, and the pairs are then checked for the others.
     """
-    has = texts.select("id", F.array_distinct(words(F.col("text"))).alias("have"))
     want = queries.select("qid", F.array_distinct(words(F.col("text"))).alias("want")).filter(F.size("want") > 0)
-    vocabulary = want.select(F.explode("want").alias("word")).distinct()
-    counts = has.select(F.explode("have").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = want.select("qid", F.explode("want").alias("word")).join(counts, "word", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))["word"].alias("word"))
-    met = has.select("id", F.explode("have").alias("word")).join(rarest, "word").select("qid", "id")
-    both = met.join(want, "qid").join(has, "id")
-    return both.filter(F.size(F.array_except("want", "have")) == 0).select("qid", "id")
+    each = want.select("qid", F.size("want").alias("size"), F.explode("want").alias("word"))
+    said = texts.select("id", F.explode(words(F.col("text"))).alias("word")).join(each.select("word").distinct(), "word", "left_semi")
+    has = settle(said.groupBy("word", "id").agg(F.count(F.lit(1)).alias("n")))
+    both = _likely(each.select("qid", "word"), has).join(each, "qid").join(has, ["word", "id"]).groupBy("qid", "id", "size").agg(F.count(F.lit(1)).alias("found"), F.sum("n").alias("score"))
+    return both.filter("found = size").select("qid", "id", "score")
 
 
 def with_citations(hits: DataFrame, chunks: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:

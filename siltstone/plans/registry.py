@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import models
 from siltstone.functions.html import html_to_text
-from siltstone.functions.text import book_body, collapse, strip, tokens, words
+from siltstone.functions.text import book_body, collapse, strip
 from siltstone.functions.vectors import cosine_distance, nearest
 from siltstone.operators import chunks as C
 from siltstone.operators import evaluate as E
 from siltstone.operators import monitor as M
 from siltstone.operators import search as S
 from siltstone.operators.sections import sections
-from siltstone.plans import knowledge as K
 from siltstone.sources import io
 from siltstone.sources.schemas import orphans, unknown_values
 
@@ -130,14 +129,12 @@ kr AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score
 @query(f"WITH {_ALL} SELECT qid, id FROM m")
 def lexical_match(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold every word of an item."""
-    return S.containing_all(_texts(spark, folder), _items(spark, folder))
+    return S.containing_all(_texts(spark, folder), _items(spark, folder)).select("qid", "id")
 
 
 def _lexical(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    met = S.containing_all(_texts(spark, folder), _items(spark, folder)).join(_texts(spark, folder), "id").join(_items(spark, folder).withColumnRenamed("text", "q"), "qid")
-    want = F.array_distinct(words(F.col("q")))
-    score = F.size(F.filter(words(F.col("text")), lambda w: F.array_contains(want, w))).cast("long")
-    return S.ranked(met.select("qid", "id", score.alias("score")), k, F.desc("score")).select("qid", "rank", "id", "score")
+    met = S.containing_all(_texts(spark, folder), _items(spark, folder))
+    return S.ranked(met, k, F.desc("score")).select("qid", "rank", "id", "score")
 
 
 @query(f"WITH {_ALL} SELECT qid, CAST(rank AS INTEGER) AS rank, id, CAST(score AS BIGINT) AS score FROM kr WHERE rank <= 5")
@@ -218,9 +215,9 @@ fx AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, i, t[200 * i + 1:200 * i +
 
 @query(f"WITH {_FIXED} SELECT document_id, CAST(i AS INTEGER) AS chunk_index, CAST(len(win) AS INTEGER) AS token_count, md5(text) AS text_md5 FROM fx")
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlapping token windows, before tiny ones are merged (only texts under 51 tokens have any)."""
-    rows = _whole(spark, folder).select("document_id", F.posexplode(C.fixed(F.col("raw_text"))).alias("chunk_index", "text"))
-    return rows.select("document_id", "chunk_index", F.size(tokens(F.col("text"))).alias("token_count"), F.md5("text").alias("text_md5"))
+    """Overlapping token windows; the merge of tiny ones finds none beside another, as a later window has 51 tokens or more."""
+    rows = C.chunk(_whole(spark, folder), "fixed")
+    return rows.select("document_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
 
 
 @query()
@@ -349,11 +346,11 @@ def ab_winner(spark: SparkSession, folder: str) -> DataFrame:
     return E.winner(ab_summary(spark, folder)).select("config")
 
 
-@query(f"WITH {_FEEDBACK} SELECT conversation_id, min(id) AS id FROM f WHERE source = 'user' AND conversation_id % 5 <> 0 GROUP BY conversation_id")
+@query(f"WITH {_FEEDBACK} SELECT conversation_id, min(id) AS id FROM f WHERE source = 'user' AND conversation_id NOT IN (SELECT conversation_id FROM f WHERE source = 'judge' AND relevance IS NOT NULL) GROUP BY conversation_id")
 def new_feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each conversation without feedback; every fifth counts as having some."""
-    f = _feedback(spark, folder).filter("source = 'user'").withColumn("timestamp", F.lit(0))
-    return M.new_feedback(f, f.filter("conversation_id % 5 = 0")).select("conversation_id", "id")
+    """The earliest user feedback of each conversation that no judge has given a verdict on."""
+    f = _feedback(spark, folder).withColumn("timestamp", F.lit(0))
+    return M.new_feedback(f.filter("source = 'user'"), f.filter("source = 'judge' AND relevance IS NOT NULL")).select("conversation_id", "id")
 
 
 _SPEECH = r"c AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE n END) AS p, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS a FROM (SELECT conv_id, role, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')), 0) AS n FROM conversations) GROUP BY conv_id)"
@@ -385,14 +382,19 @@ def conversation_stats(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("turn").alias("last_turn"), F.sum(F.when(F.col("role") == "user", F.length("text"))).alias("user_chars"), F.avg(F.length("text")).alias("mean_chars"))
 
 
-@query("""WITH o AS (SELECT doc_id AS id, source AS source_ref, lang AS title, n_chars AS raw FROM documents WHERE doc_id % 3 <> 0),
-n AS (SELECT doc_id AS id, 'new' AS source_ref, upper(lang) AS title, n_chars + 1 AS raw FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH o AS (SELECT doc_id AS id, source AS source_ref, lang AS title, n_chars AS raw FROM documents),
+n AS (SELECT doc_id AS id, 'new' AS source_ref, upper(lang) AS title, n_chars + 1 AS raw FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT DISTINCT vec_id, 'vector', 'v', 0 FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.source_ref ELSE o.source_ref END AS source_ref, CASE WHEN n.id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.id IS NULL THEN o.raw ELSE n.raw END AS raw FROM o FULL JOIN n ON o.id = n.id""")
 def upsert_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, updated by those with a label and joined by vectors without a document."""
     d = _t(spark, folder, "documents")
-    old = d.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("source").alias("source_ref"), F.col("lang").alias("title"), F.col("n_chars").alias("raw"))
-    new = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.lit("new").alias("source_ref"), F.upper("lang").alias("title"), (F.col("n_chars") + 1).alias("raw"))
-    return io.upsert(old, new, "id", ("title", "raw"))
+    old = d.select(F.col("doc_id").alias("id"), F.col("source").alias("source_ref"), F.col("lang").alias("title"), F.col("n_chars").alias("raw"))
+    marked = d.join(_t(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    new = marked.select(F.col("doc_id").alias("id"), F.lit("new").alias("source_ref"), F.upper("lang").alias("title"), (F.col("n_chars") + 1).alias("raw"))
+    loose = _t(spark, folder, "embeddings").select(F.col("vec_id").alias("id")).distinct().join(d.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    added = loose.select("id", F.lit("vector").alias("source_ref"), F.lit("v").alias("title"), F.lit(0).cast("long").alias("raw"))
+    return io.upsert(old, new.union(added), "id", ("title", "raw"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -430,38 +432,20 @@ def dense_ids(spark: SparkSession, folder: str) -> DataFrame:
     return io.dense_ids(_t(spark, folder, "documents").select("source", "doc_id"), "source", "doc_id").select(F.col("id").cast("long").alias("id"), "doc_id")
 
 
-# -- models (offline stand-ins) ----------------------------------------------------
-
-def _model_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    kb = _kb(spark, folder)
-    split = sections(kb)
-    return kb, split, _embedded(C.chunk(split, "structure").withColumn("id", F.xxhash64("section_id", "chunk_index")))
-
-
-def _embedded(chunks: DataFrame) -> DataFrame:
-    return chunks.join(models.embed(chunks.select("id", "text")).select("id", "vector"), "id")
-
-
-@query()
-def generated_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions of every section."""
-    return models.generate_questions(sections(_kb(spark, folder)))
-
-
-@query()
-def answers_judged(spark: SparkSession, folder: str) -> DataFrame:
-    """Every item asked, answered, and judged."""
-    kb, split, chunks = _model_chunks(spark, folder)
-    told = K.answer(_items(spark, folder), chunks, kb, split, "gpt-5.6-luna")
-    return K.judged(M.with_cost(told))
-
+# -- retrieval quality -------------------------------------------------------------
 
 @query()
 def retrieval_evaluation(spark: SparkSession, folder: str) -> DataFrame:
-    """Hit rate and reciprocal rank of three strategies by three methods, items as questions and the sections that hold all their words as targets."""
+    """Hit rate and reciprocal rank of three strategies by three methods.
+
+    Items are the questions, the first section that holds all of an item's words
+    is its target, and a chunk has the vector of its document's id.
+    """
     split = sections(_kb(spark, folder))
-    chunks = _embedded(C.chunk_all(split).withColumn("id", F.xxhash64("strategy", "section_id", "chunk_index")))
+    v = _vectors(spark, folder).select("id", "vector")
+    chunks = C.chunk_all(split).withColumn("id", F.xxhash64("strategy", "section_id", "chunk_index"))
+    chunks = chunks.join(v.select(F.concat(F.lit("d-"), F.col("id").cast("string")).alias("document_id"), "vector"), "document_id", "left")
     items = _items(spark, folder)
     holds = S.containing_all(split.select("id", F.col("raw_text").alias("text")), items).groupBy("qid").agg(F.min("id").alias("target"))
-    vectors = models.embed(items.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "vector")
-    return E.evaluate(chunks, items.join(holds, "qid").join(vectors, "qid"), C.STRATEGIES)
+    asked = items.join(holds, "qid").join(v.withColumnRenamed("id", "qid"), "qid", "left")
+    return E.evaluate(chunks, asked, C.STRATEGIES)

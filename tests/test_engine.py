@@ -97,6 +97,47 @@ def test_dense_ids(spark):
     assert all(r.k + 1 == r.id for r in io.dense_ids(d, "k").collect())
 
 
+def test_dense_ids_of_wide_rows(spark):
+    """Wide rows over many parts: none is lost, and ids have no gap."""
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    d = spark.range(0, 60_000).select((F.col("id") * 7919 % 60_000).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 16).alias("wide"))
+    got = io.dense_ids(d, "k").agg(F.count("wide"), F.min("id"), F.max("id"), F.sum((F.col("id") != F.col("k") + 1).cast("int"))).first()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert tuple(got) == (60_000, 1, 60_000, 0)
+    more = io.next_ids(spark.createDataFrame([(7,)], "id long"), spark.createDataFrame([("b",), ("a",)], "name string"), "name").collect()
+    assert sorted((r.id, r.name) for r in more) == [(8, "a"), (9, "b")]
+
+
+def test_nearest_has_no_single_part(spark):
+    """Without broadcasts the blocks are dealt by part as well."""
+    v = spark.range(40).select("id", F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = nearest(v.withColumnRenamed("id", "qid"), v, 2, skip_self=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "hashpartitioning(dim" in plan and plan.count("part#") > 2 and found.count() == 80
+
+
+def test_small_forms(spark):
+    row = spark.createDataFrame([(True, 0.8133), (False, 0.0)], "up boolean, share double").select(N.sign(F.col("up")), N.percent(F.col("share"))).collect()
+    assert [tuple(r) for r in row] == [(1, "81.3%"), (-1, "0.0%")]
+
+
+def test_stream_forms(spark, tmp_path):
+    """One feedback a conversation, and rates by window, over files that arrive."""
+    from siltstone.streaming.live import one_feedback_each, turn_rates
+
+    t = "timestamp'2026-01-01 00:0{}:00'"
+    spark.sql(f"SELECT 1 AS conversation_id, {t.format(1)} AS timestamp, 0.5D AS cost, 1.0D AS response_time UNION ALL SELECT 1, {t.format(2)}, 1.5D, 3.0D UNION ALL SELECT 2, {t.format(7)}, 1.0D, 2.0D").write.parquet(str(tmp_path / "in"))
+    for name, f in (("one", one_feedback_each), ("rates", turn_rates)):
+        source = spark.readStream.schema("conversation_id int, timestamp timestamp, cost double, response_time double").parquet(str(tmp_path / "in"))
+        mode = "append" if name == "one" else "complete"
+        f(source).writeStream.trigger(availableNow=True).format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    assert sorted(r.conversation_id for r in spark.table("one").collect()) == [1, 2]
+    assert sorted((r.n, r.cost, r.latency) for r in spark.table("rates").collect()) == [(1, 1.0, 2.0), (2, 2.0, 2.0)]
+
+
 def test_costs_and_feedback(spark):
     turns = spark.createDataFrame([("gpt-5.6-luna", 1000, 500), ("other", 9, 9)], "model string, prompt_tokens int, completion_tokens int")
     assert sorted(r.cost for r in N.with_cost(turns).collect()) == [0.0, pytest.approx(0.0008)]

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 
 from siltstone.functions import fts, stemming
 from siltstone.functions.html import structured_text
+from siltstone.functions.text import tokens
 from siltstone.operators import chunks as C
 from siltstone.operators import sections as S
 
@@ -80,7 +81,7 @@ def test_fixed_windows(spark, n, windows):
     from pyspark.sql import functions as F
 
     text = " ".join(f"w{i}" for i in range(n))
-    got = spark.createDataFrame([(text,)], "t string").select(C.fixed(F.col("t"))).first()[0]
+    got = spark.createDataFrame([(text,)], "t string").select(C.fixed(tokens(F.col("t")))).first()[0]
     assert len(got) == windows
     if n:
         rebuilt = got[0] + "".join(" ".join(w.split(" ")[50:]) for w in got[1:])
@@ -118,3 +119,32 @@ def test_queries_and_covers():
     assert fts.cover_density(fts.lexemes("apple pear"), q("apple pear")) == pytest.approx(0.1)
     assert fts.cover_density(fts.lexemes("apple x y pear"), q("apple pear")) == pytest.approx(0.1 / 3)
     assert fts.cover_density(fts.lexemes("apple pear apple"), q("apple pear")) == pytest.approx(0.2)
+
+
+def test_cover_density_against_its_definition():
+    """Minimal covers by trying every pair of ends."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        found = {w: sorted(rng.sample(range(1, 40), rng.randint(1, 8))) for w in "abc"}
+        clauses = [(False, [[w]]) for w in "abc"]
+        spans = [(s, e) for s in range(1, 41) for e in range(s, 41) if all(any(s <= p <= e for p in found[w]) for w in "abc")]
+        least = [x for x in spans if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in spans)]
+        every = {p for own in found.values() for p in own}
+        want = sum(0.1 / (1 + (e - s + 1) - sum(s <= p <= e for p in every)) for s, e in least)
+        assert fts.cover_density(found, clauses) == pytest.approx(want)
+
+
+def test_keyword_is_brute_force(spark, small):
+    """Registered matches and ranks of every item over every document, from whole texts."""
+    from siltstone.plans.registry import fts_english_rank
+
+    docs = {r.doc_id: fts.lexemes(r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    want = []
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        clauses = fts.parse_query(r.text)
+        hits = sorted((-fts.cover_density(x, clauses), i) for i, x in docs.items() if fts.matches(x, clauses))
+        want += [(r.item_id, k, i, round(-d, 9)) for k, (d, i) in enumerate(hits[:5], 1)]
+    got = sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in fts_english_rank(spark, small).collect())
+    assert got == sorted(want) and got
