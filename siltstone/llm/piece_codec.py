@@ -240,12 +240,6 @@ class PieceTransducer:
         self.known[chunk] = raw
         return raw
 
-    def forget(self) -> None:
-        """Empty the caches, so that an idle worker holds the machines alone."""
-        self.known.clear()
-        self.pairs.clear()
-        self.grown.clear()
-
     def encode(self, text: str | None) -> bytes:
         """Piece ids of a whole text as native unsigned 32-bit integers."""
         if not text:
@@ -294,7 +288,6 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True, check: bool = Tru
                 if keep_ids:
                     columns.append(pa.array([x for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_crc32", "round_trip", "piece_ids"][: len(columns)])
-        machine.forget()
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean" + ", piece_ids binary" * keep_ids
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

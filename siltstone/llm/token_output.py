@@ -138,7 +138,7 @@ def _rest(width: int) -> tuple[str, int]:
 
 def _width(rest: np.ndarray, percentiles: tuple[int, ...]) -> int:
     """Bits that a percentile of the values needs, of the percentile that makes the block smallest."""
-    inside = np.cumsum(np.bincount(np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.int64), minlength=33))  # values of so many bits at most
+    inside = np.cumsum(np.bincount(np.frexp(rest.astype(np.float64))[1], minlength=33))  # values of so many bits at most
     need = np.searchsorted(inside, [max(1, int(np.ceil(len(rest) * p / 100))) for p in percentiles])
     return min((-(-len(rest) * int(w) // 8) + int(inside[-1] - inside[w]) * (2 + _rest(int(w))[1]), int(w)) for w in np.unique(need))[1]
 
