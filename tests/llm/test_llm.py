@@ -703,3 +703,23 @@ def test_pipeline_language_labels(spark, small, label):
     frame = spark.createDataFrame([(i, t, label) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     out = P.language(spark, frame, small)
     assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 5]
+
+
+def test_stages_keep_other_columns(spark, small):
+    """Clashing names, repeated ids with different texts, null ids and empty tables, stage by stage."""
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    p, q = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(60)) for c in "pq")
+    rows = [(1, p), (2, f"x {p} y"), (2, q), (3, None), (None, "no id"), (4, ""), (4, "some words")]
+    names = ("_kept", "_gone", "language", "language_score", "row", "kept", "n_words", "gone", "_deal", "text_key")
+    frame = spark.createDataFrame([(i, t, "en", 7, *range(len(names))) for i, t in rows], "doc_id long, text string, lang string, n_chars int, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in P.STAGES[:-1]:
+        out, none = stage(spark, frame, small), stage(spark, frame.limit(0), small)
+        assert out.dtypes == frame.dtypes and none.columns == frame.columns and none.count() == 0, name
+        got = out.collect()
+        assert all(tuple(r)[4:] == tuple(range(len(names))) for r in got)
+        if name == "substring":
+            assert sorted((r.doc_id or 0, r.text or "", r.n_chars) for r in got) == sorted((i or 0, "x y" if t and t.startswith("x ") else t or "", 3 if t and t.startswith("x ") else 7) for i, t in rows)
+        elif name == "near_duplicate":
+            assert sorted(r.doc_id or 0 for r in got) == [0, 1, 3, 4]  # one text of 2 is near that of 1, so 2 goes
