@@ -87,12 +87,15 @@ class PieceTransducer:
         self.raw = [bytes([int(p.piece[3:-1], 16)]) if p.type == _BYTE else p.piece.replace(MARK, " ").encode() if p.type == _NORMAL else b" \xe2\x81\x87 " if p.type == _UNKNOWN else b"" for p in model.pieces]
         if any(MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("a piece spans words")
-        #: The trie: every beginning of a piece, with the piece it is or -1.
-        self.trie: dict[str, int] = {}
-        for p in self.piece:
-            for k in range(1, len(p)):
-                self.trie.setdefault(p[:k], -1)
-        self.trie |= self.piece
+        #: The trie: a state is a table from the symbol read to the next state and the piece accepted there, or -1.
+        self.trie: dict[str, list] = {}
+        for p, i in self.piece.items():
+            state = self.trie
+            for c in p:
+                arc = state.setdefault(c, [{}, -1])
+                state = arc[0]
+            arc[1] = i
+        self.longest = max(map(len, self.piece), default=1)
         #: Neighbouring characters inside pieces; no piece, and so no merge, reaches over any other pair.
         self.bridged = {(a, b) for p in self.piece for a, b in zip(p, p[1:], strict=False)}
         self.size = len(self.text)
@@ -181,19 +184,25 @@ class PieceTransducer:
         place says nothing about what may follow; in a merge model merging a
         beginning of the text has one result, so one path of finite weight leads
         to each place.  Either way a place is one state.
+
+        Where all arcs weigh the same the queue is a stack: arcs from the place
+        just settled reach further than any that wait.
         """
-        n, size, pair, trie, cost, merging = len(chunk), self.size, self.pairs.get, self.trie.get, self.cost, self.merging
+        if self.merging and self.piece.keys() >= set(chunk):
+            return self._furthest(chunk)
+        n, size, pair, cost, merging = len(chunk), self.size, self.pairs.get, self.cost, self.merging
         last, back = [-2] * (n + 1), [0] * (n + 1)
         waiting: list[tuple[float, int, int, int]] = []
         push, pop = heapq.heappush, heapq.heappop
         here, i = 0.0, 0
         while i < n:
-            j = i
+            j, state = i, self.trie
             while j < n:
-                j += 1
-                piece = trie(chunk[i:j])
-                if piece is None:
+                arc = state.get(chunk[j])
+                if arc is None:
                     break
+                j += 1
+                state, piece = arc
                 if piece >= 0 and last[j] == -2:
                     push(waiting, (here if merging else here + cost[piece], -j, i, piece))
             if chunk[i] not in self.piece:
@@ -218,6 +227,37 @@ class PieceTransducer:
             n = back[n]
         return path[::-1]
 
+    def _furthest(self, chunk: str) -> list[int]:
+        """The shortest path where no arc weighs anything but the neighbours' 0 or infinity."""
+        n, size, pair, trie = len(chunk), self.size, self.pairs.get, self.trie
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        waiting: list[tuple[int, int, int]] = []
+        i = 0
+        while i < n:
+            j, state = i, trie
+            for c in chunk[i : i + self.longest]:
+                arc = state.get(c)
+                if arc is None:
+                    break
+                j += 1
+                state, piece = arc
+                if piece >= 0:
+                    waiting.append((j, i, piece))
+            while True:
+                j, i, piece = waiting.pop()
+                if last[j] >= 0:
+                    continue
+                key = (last[i] + 1) * size + piece
+                weight = pair(key)
+                if (self._weight(key) if weight is None else weight) == 0:
+                    last[j], back[j], i = piece, i, j
+                    break
+        path: list[int] = []
+        while n:
+            path.append(last[n])
+            n = back[n]
+        return path[::-1]
+
     def _bytes(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
 
