@@ -652,7 +652,7 @@ def test_oracle(spark, small, tmp_path):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         queries.QUERIES[name](spark, small).write.parquet(out := str(tmp_path / name))
