@@ -1,122 +1,148 @@
-"""English full text: lexemes with positions, web-style queries, and cover-density rank."""
+"""Web-style queries as boolean trees over lexemes, and cover-density rank."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 
 from siltstone.functions.arrow import series
-from siltstone.functions.stemming import STOP_WORDS, stem
+from siltstone.functions.lexer import ENGLISH, lexemes, placed
 
-MOST_POSITION = 16383
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_QUERY = re.compile(r'(-?)(?:"([^"]*)"|(\S+))')
+_QUERY = re.compile(r'(-*)(?:"([^"]*)"?|([^\s"]+))')
+WEIGHT = 0.1
 
+Positions = dict[str, list[int]]
 
-def lexemes(text: str | None) -> dict[str, list[int]]:
-    """Stems and their positions; stop words are left out but take a position."""
-    out: dict[str, list[int]] = {}
-    for i, w in enumerate(_WORD.findall((text or "").lower()), 1):
-        if w not in STOP_WORDS:
-            out.setdefault(stem(w), []).append(min(i, MOST_POSITION))
-    return out
 
+@dataclass(frozen=True)
+class Phrase:
+    """Lexemes at fixed offsets from the first, of which a text must hold the sequence, or, negated, must not."""
 
-def parse_query(text: str | None) -> list[tuple[bool, list[list[str]]]]:
-    """Clauses (negated, alternatives) that must all hold; an alternative is a phrase of one stem or more.
+    lexemes: tuple[str, ...]
+    offsets: tuple[int, ...]
+    negated: bool = False
 
-    Bare words are joined by AND, quoted ones are phrases, `or` joins its
-    neighbours, a leading minus negates.  Nothing is an error; a query of stop
-    words alone has no clauses and matches nothing.
+    def starts(self, found: Positions) -> list[int]:
+        at = set(found.get(self.lexemes[0], ()))
+        for lexeme, k in zip(self.lexemes[1:], self.offsets[1:], strict=True):
+            at &= {p - k for p in found.get(lexeme, ())}
+        return sorted(at)
+
+
+#: Alternatives, each a list of phrases that must all hold.
+Query = tuple[tuple[Phrase, ...], ...]
+
+
+@lru_cache(maxsize=10_000)
+def parse_query(text: str | None, analyser: str = ENGLISH) -> Query:
+    """Alternatives of a web-style query.
+
+    Words side by side must all be there, quoted ones in sequence, `or` parts
+    alternatives and binds less than that, leading minuses negate.  A word of
+    several tokens (a compound, an address, `pg_class`) is a phrase of them, and
+    stop words within a phrase keep their place.  Nothing is an error: an `or`
+    without a neighbour is passed over, stop words drop out, and a query that
+    has nothing else has no alternative and matches nothing.
     """
-    clauses: list[tuple[bool, list[list[str]]]] = []
-    joined = False
+    clauses: list[list[Phrase]] = [[]]
     for minus, quoted, bare in _QUERY.findall(text or ""):
-        if not quoted and bare.lower() == "or" and not minus:
-            joined = bool(clauses)
+        if bare.lower() == "or" and not minus:
+            clauses.append([])
             continue
-        phrase = [stem(w) for w in _WORD.findall((quoted or bare).lower()) if w not in STOP_WORDS]
-        if not phrase:
-            continue
-        if joined and clauses and not minus and not clauses[-1][0]:
-            clauses[-1][1].append(phrase)
-        else:
-            clauses.append((bool(minus), [phrase]))
-        joined = False
-    return clauses
-
-
-def _phrase_starts(found: dict[str, list[int]], phrase: list[str]) -> list[int]:
-    starts = set(found.get(phrase[0], ()))
-    for k, s in enumerate(phrase[1:], 1):
-        starts &= {p - k for p in found.get(s, ())}
-    return sorted(starts)
-
-
-def matches(found: dict[str, list[int]], clauses: list[tuple[bool, list[list[str]]]]) -> bool:
-    """Whether every clause holds; negations alone match what lacks them."""
-    return bool(clauses) and all(any(_phrase_starts(found, p) for p in options) != negated for negated, options in clauses)
-
-
-def cover_density(found: dict[str, list[int]], clauses: list[tuple[bool, list[list[str]]]], weight: float = 0.1) -> float:
-    """Sum over minimal covers of weight / (1 + words of the cover beyond the matched ones)."""
-    wanted = [sorted(s + k for p in options for s in _phrase_starts(found, p) for k in range(len(p))) for negated, options in clauses if not negated]
-    if not wanted or not all(wanted):
-        return 0.0
-    every = sorted({p for own in wanted for p in own})
-    total, at = 0.0, 0
-    nxt = [0] * len(wanted)  # each list's first position beyond `at`, and its last within the cover
-    last = [0] * len(wanted)
-    while True:
-        for k, own in enumerate(wanted):
-            while nxt[k] < len(own) and own[nxt[k]] <= at:
-                nxt[k] += 1
-            if nxt[k] == len(own):
-                return total
-        end = max(own[n] for own, n in zip(wanted, nxt, strict=True))
-        for k, own in enumerate(wanted):
-            last[k] = max(last[k], nxt[k])
-            while last[k] + 1 < len(own) and own[last[k] + 1] <= end:
-                last[k] += 1
-        start = min(own[n] for own, n in zip(wanted, last, strict=True))
+        at = [(k, x) for k, x in enumerate(placed(quoted or bare, analyser)) if x is not None]
+        if at:
+            clauses[-1].append(Phrase(tuple(x for _, x in at), tuple(k - at[0][0] for k, _ in at), len(minus) % 2 == 1))
+    return tuple(tuple(c) for c in clauses if c)
+
+
+def matches(found: Positions, query: Query) -> bool:
+    """Whether all phrases of an alternative hold; one of negations alone holds where they are absent."""
+    return any(all(bool(p.starts(found)) != p.negated for p in clause) for clause in query)
+
+
+def cover_density(found: Positions, query: Query, weight: float = WEIGHT) -> float:
+    """Sum over minimal covers of weight / (1 + positions of the cover that hold no lexeme of the query).
+
+    A cover is a stretch of positions in which the query holds and no shorter
+    one within it does; the search for the next begins after its first lexeme.
+    Negated phrases count by stretch as well.
+    """
+    every = sorted({p for clause in query for phrase in clause for x in phrase.lexemes for p in found.get(x, ())})
+    known = {phrase: phrase.starts(found) for clause in query for phrase in clause}
+    clauses = []
+    for clause in query:
+        need = [(known[p], p.offsets[-1]) for p in clause if not p.negated]
+        if all(own for own, _ in need):
+            clauses.append((need, [(known[p], p.offsets[-1]) for p in clause if p.negated and known[p]]))
+
+    def clear(avoid: list[tuple[list[int], int]], low: int, high: int) -> bool:
+        return all(k == len(own) or own[k] + length > high for own, length in avoid for k in [bisect_left(own, low)])
+
+    total, i = 0.0, 0
+    while i < len(every):
+        at, end = every[i], None
+        for need, avoid in clauses:
+            firsts = [(bisect_left(own, at), own, length) for own, length in need]
+            if all(k < len(own) for k, own, _ in firsts):
+                e = max((own[k] + length for k, own, length in firsts), default=at)
+                if (end is None or e < end) and clear(avoid, at, e):
+                    end = e
+        if end is None:
+            return total
+        start = at
+        for need, avoid in clauses:
+            lasts = [(bisect_right(own, end - length) - 1, own) for own, length in need]
+            if all(k >= 0 for k, _ in lasts):
+                s = min((own[k] for k, own in lasts), default=end)
+                if s > start and clear(avoid, s, end):
+                    start = s
         inside = bisect_right(every, end) - bisect_left(every, start)
         total += weight / (1 + (end - start + 1 - inside))
-        at = start
+        i = bisect_right(every, start)
+    return total
+
+
+def to_lexemes(texts: Column | str, analyser: str = ENGLISH) -> Column:
+    """Lexemes and positions of each text, as a column."""
+
+    def run(given: pd.Series) -> pd.Series:
+        return given.map(lambda t: [{"lexeme": k, "positions": v} for k, v in sorted(lexemes(t, analyser).items())])
+
+    return series("array<struct<lexeme:string,positions:array<int>>>")(run)(texts)
+
 
+def terms(queries: Column | str, analyser: str = ENGLISH) -> Column:
+    """Each lexeme of each alternative of a query: the alternative's number, whether its phrase is negated, and the lexeme."""
 
-@series("array<struct<lexeme:string,positions:array<int>>>")
-def to_lexemes(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"lexeme": k, "positions": v} for k, v in sorted(lexemes(t).items())])
+    def run(given: pd.Series) -> pd.Series:
+        return given.map(lambda q: [{"clause": c, "negated": n, "lexeme": x} for c, clause in enumerate(parse_query(q, analyser)) for n, x in sorted({(p.negated, x) for p in clause for x in p.lexemes})])
 
+    return series("array<struct<clause:int,negated:boolean,lexeme:string>>")(run)(queries)
 
-@series("string")
-def stem_of(words: pd.Series) -> pd.Series:
-    """The stem of each lower-case word; null for a stop word."""
-    return words.map(lambda w: None if w is None or w in STOP_WORDS else stem(w))
 
+def rank_of(found: Column | str, positions: Column | str, queries: Column | str, analyser: str = ENGLISH) -> Column:
+    """Cover-density rank of texts for their queries, from the positions of the query's lexemes in each; null where it does not match."""
 
-@series("array<string>")
-def all_stems(queries: pd.Series) -> pd.Series:
-    """Every stem of a query, negated and optional ones too."""
-    return queries.map(lambda q: sorted({s for _, options in parse_query(q) for o in options for s in o}))
+    def run(stems: pd.Series, places: pd.Series, asked: pd.Series) -> pd.Series:
+        def one(x: Positions, q: str | None) -> float | None:
+            query = parse_query(q, analyser)
+            return cover_density(x, query) if matches(x, query) else None
 
+        return pd.Series([one({s: list(p) for s, p in zip(a, b, strict=True)}, q) for a, b, q in zip(stems, places, asked, strict=True)], dtype="float64")
 
-@series("array<string>")
-def required_stems(queries: pd.Series) -> pd.Series:
-    """Stems that a match must have: those of clauses with one alternative and no minus."""
-    return queries.map(lambda q: sorted({s for negated, options in parse_query(q) if not negated and len(options) == 1 for s in options[0]}))
+    return series("double")(run)(found, positions, queries)
 
 
-@series("double")
-def rank_of(stems: pd.Series, positions: pd.Series, queries: pd.Series) -> pd.Series:
-    """Cover-density rank of texts for their queries, from the positions of the query's stems in each; null where it does not match."""
-    cache: dict[str, list] = {}
+def holds(found: Column | str, positions: Column | str, queries: Column | str, analyser: str = ENGLISH) -> Column:
+    """Whether texts match their queries, from the positions of the query's lexemes in each."""
 
-    def one(found: dict[str, list[int]], query: str | None) -> float | None:
-        if query not in cache:
-            cache[query] = parse_query(query)
-        return cover_density(found, cache[query]) if matches(found, cache[query]) else None
+    def run(stems: pd.Series, places: pd.Series, asked: pd.Series) -> pd.Series:
+        one = lambda a, b, q: matches({s: list(p) for s, p in zip(a, b, strict=True)}, parse_query(q, analyser))
+        return pd.Series([one(*x) for x in zip(stems, places, asked, strict=True)], dtype="bool")
 
-    return pd.Series([one({s: list(p) for s, p in zip(a, b, strict=True)}, q) for a, b, q in zip(stems, positions, queries, strict=True)], dtype="float64")
+    return series("boolean")(run)(found, positions, queries)

@@ -32,9 +32,35 @@ STOP_WORDS = frozenset(
 )
 
 
+_NOT_AFTER = re.compile(r"[aeiouy][^aeiouy]")
+_CONSONANT_Y = re.compile(r"(^|[aeiouy])y")
+_OWNER = re.compile(r"'s'$|'s$|'$")
+_SHORT = re.compile(r"(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$")
+_VOWEL, _VOWEL_BEFORE = re.compile(r"[aeiouy]"), re.compile(r"[aeiouy].")
+
+
+def _endings(pairs: dict[str, str]) -> list[tuple[int, dict[str, str]]]:
+    """Endings by length, longest first."""
+    sizes = sorted({len(e) for e in pairs}, reverse=True)
+    return [(n, {e: r for e, r in pairs.items() if len(e) == n}) for n in sizes]
+
+
+_PAST = _endings(dict.fromkeys(("eed", "eedly", "ed", "edly", "ing", "ingly"), ""))
+_SECOND, _THIRD, _FOURTH = _endings(dict(STEP2)), _endings(dict(STEP3)), _endings(dict.fromkeys(STEP4, ""))
+
+
+def _first(word: str, endings: list[tuple[int, dict[str, str]]]) -> tuple[str, str] | tuple[None, None]:
+    """The longest ending that a word has, and what takes its place."""
+    for n, own in endings:
+        end = word[-n:]
+        if end in own:
+            return end, own[end]
+    return None, None
+
+
 def _regions(word: str) -> tuple[int, int]:
     def after(start: int) -> int:
-        m = re.compile(r"[aeiouy][^aeiouy]").search(word, start)
+        m = _NOT_AFTER.search(word, start)
         return m.end() if m else len(word)
 
     prefix = next((p for p in R1_PREFIXES if word.startswith(p)), None)
@@ -43,36 +69,35 @@ def _regions(word: str) -> tuple[int, int]:
 
 
 def _short_end(w: str) -> bool:
-    return bool(re.search(r"(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$", w))
-
-
-def _first(word: str, endings) -> str | None:  # noqa: ANN001
-    return next((e for e in sorted(endings, key=len, reverse=True) if word.endswith(e)), None)
+    return _SHORT.search(w) is not None
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word
     if word in EXCEPTIONS:
         return EXCEPTIONS[word]
-    w = re.sub(r"(^|[aeiouy])y", r"\1Y", word.lstrip("'"))
+    w = word.lstrip("'")
+    if "y" in w:
+        w = _CONSONANT_Y.sub(r"\1Y", w)
     r1, r2 = _regions(w)
-    w = re.sub(r"'s'$|'s$|'$", "", w)
+    if "'" in w:
+        w = _OWNER.sub("", w)
     # plurals
     if w.endswith("sses"):
         w = w[:-2]
     elif w.endswith(("ied", "ies")):
         w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(r"[aeiouy].", w[:-1]):
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and _VOWEL_BEFORE.search(w[:-1]):
         w = w[:-1]
     if w in AFTER_1A:
         return w
     # past and -ing
-    end = _first(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    end, _ = _first(w, _PAST)
     if end in ("eed", "eedly"):
         w = w[: -len(end)] + "ee" if len(w) - len(end) >= r1 else w
-    elif end and re.search(r"[aeiouy]", w[: -len(end)]):
+    elif end and _VOWEL.search(w[: -len(end)]):
         w = w[: -len(end)]
         if w.endswith(("at", "bl", "iz")):
             w += "e"
@@ -82,15 +107,15 @@ def stem(word: str) -> str:
             w += "e"
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in VOWELS:
         w = w[:-1] + "i"
-    end = _first(w, [e for e, _ in STEP2])
+    end, put = _first(w, _SECOND)
     if end and len(w) - len(end) >= r1:
         before = w[: -len(end)]
         if not (end == "ogi" and not before.endswith("l") or end == "li" and before[-1:] not in LI_ENDINGS):
-            w = before + dict(STEP2)[end]
-    end = _first(w, [e for e, _ in STEP3])
+            w = before + put
+    end, put = _first(w, _THIRD)
     if end and len(w) - len(end) >= r1 and (end != "ative" or len(w) - 5 >= r2):
-        w = w[: -len(end)] + dict(STEP3)[end]
-    end = _first(w, STEP4)
+        w = w[: -len(end)] + put
+    end, _ = _first(w, _FOURTH)
     if end and len(w) - len(end) >= r2 and (end != "ion" or w[: -len(end)].endswith(("s", "t"))):
         w = w[: -len(end)]
     if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not _short_end(w[:-1])):

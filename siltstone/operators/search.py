@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fts
+from siltstone.functions.lexer import ENGLISH
 from siltstone.functions.text import first_text, words
 from siltstone.functions.vectors import nearest
-from siltstone.sources.io import settle
+from siltstone.operators.textindex import Index, TextIndex, built
+from siltstone.sources.io import dense_ids, settle
 
 # Results, candidates of each ranker, and the rank constant of the fusion.
 TOP_K, POOL, RRF_K = 5, 60, 60
@@ -20,61 +22,108 @@ def ranked(scored: DataFrame, k: int, *order) -> DataFrame:  # noqa: ANN002
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _placed(chunks: DataFrame) -> DataFrame:
-    """id, word and position (from 1) of every word of `chunks` (id, text)."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), F.lit(0))
-    return chunks.select("id", F.posexplode(words).alias("at", "word")).select("id", "word", F.least(F.col("at") + 1, F.lit(fts.MOST_POSITION)).alias("at"))
-
-
-def index(chunks: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """Postings (lexeme, id, positions in order) of `chunks` (id, text): the inverted index, to be stored by those who search often.
-
-    Each distinct word is stemmed once.  With `stems` (lexeme) only those
-    lexemes' words are kept, before anything is gathered.
-    """
-    placed = _placed(chunks)
-    spread = chunks.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: else one task would stem them all
-    known = placed.select("word").distinct().repartition(spread).withColumn("lexeme", fts.stem_of("word")).filter("lexeme IS NOT NULL")
-    if stems is not None:
-        known = known.join(stems.select("lexeme").distinct(), "lexeme", "left_semi")
-    return placed.join(known, "word").groupBy("lexeme", "id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-
-
-def _likely(wanted: DataFrame, postings: DataFrame) -> DataFrame:
-    """qid, id of rows that have the three rarest words (or all, if fewer) of a question; `wanted` and `postings` share `word`.
+def _likely(wanted: DataFrame, counts: DataFrame, postings: DataFrame, *keys: str) -> DataFrame:
+    """qid, id of rows that have the three rarest words (or all, if fewer) of a group of `wanted` (qid, other keys, word).
 
     A common word never builds a large set of candidates beside a rare one, and
-    what is joined is rows of the rarest words alone.
+    what is joined is rows of the rarest words alone.  `counts` is (word, n),
+    `postings` (word, id).
     """
-    counts = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("qid").orderBy(F.coalesce("n", F.lit(0)), "word")
+    own = ["qid", *keys]
+    w = Window.partitionBy(*own).orderBy(F.coalesce("n", F.lit(0)), "word")
     few = wanted.join(counts, "word", "left").withColumn("k", F.row_number().over(w)).filter("k <= 3")
-    few = few.withColumn("most", F.max("k").over(Window.partitionBy("qid"))).select("qid", "word", "most")
-    both = few.join(postings.select("word", "id"), "word").groupBy("qid", "id", "most").agg(F.count(F.lit(1)).alias("found"))
+    few = few.withColumn("most", F.max("k").over(Window.partitionBy(*own))).select(*own, "word", "most")
+    both = few.join(postings.select("word", "id"), "word").groupBy(*own, "id", "most").agg(F.count(F.lit(1)).alias("found"))
     return both.filter("found = most").select("qid", "id")
 
 
-def keyword(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, postings: DataFrame | None = None) -> DataFrame:
-    """qid, rank, id, score of the k best matches by cover density.
+def _free(taken: DataFrame, asked: DataFrame, ids: DataFrame, k: int, size: int = 1 << 16) -> DataFrame:
+    """qid and its first k ids that are not in `taken` (qid, id), for each of `asked` (qid).
 
-    A match must hold all of a question's required stems, so chunks meet a
-    question on its rarest ones alone; the positions of the question's stems in
-    them, and no text, then say whether and how well they match.  Questions
-    without a required stem (stop words, alternatives or negations alone) find
-    nothing.  `postings` is a stored index; without it the words that the
-    questions ask for are looked up.
+    Ids are numbered.  The taken ones are counted by stretches of `size` numbers,
+    so that whole stretches are passed over, and only in the stretches where the
+    first k free numbers lie the gaps between taken ones are looked for.  No
+    question meets all ids.
     """
+    numbered = settle(dense_ids(ids.select("id").distinct(), "id", name="at"))
+    most = numbered.agg(F.coalesce(F.max("at"), F.lit(0))).first()[0]
+    placed = settle(taken.join(numbered, "id").select("qid", "at", F.expr(f"cast((at - 1) div {size} as int)").alias("part")))
+    head = asked.select("qid", F.lit(-1).alias("part"), F.lit(size).cast("long").alias("n"))
+    counts = placed.groupBy("qid", "part").agg(F.count(F.lit(1)).alias("n")).unionByName(head)
+    w = Window.partitionBy("qid").orderBy("part")
+    gone = F.sum(F.when(F.col("part") >= 0, F.col("n")).otherwise(0)).over(w)
+    first = (F.col("part").cast("long") + 1) * size + 1  # of the next stretch
+    told = counts.select("qid", "part", "n", gone.alias("gone"), first.alias("next"), F.coalesce((F.lead("part").over(w)).cast("long") * size, F.lit(most)).alias("end"))
+    before = lambda c: c - 1 - F.col("gone")  # noqa: E731  free numbers below c
+    untouched = told.filter((before(F.col("next")) < k) & (F.col("end") >= F.col("next"))).select("qid", F.col("next").alias("low"), F.least(F.col("end"), F.col("next") + (k - before(F.col("next"))) - 1).alias("high"))
+    partly = told.filter((F.col("part") >= 0) & (F.col("next") - size - 1 - (F.col("gone") - F.col("n")) < k) & (F.col("n") < size)).select("qid", "part", (F.col("gone") - F.col("n")).alias("earlier"))
+    inner = placed.join(partly, ["qid", "part"])
+    edge = partly.select("qid", "part", (F.col("part").cast("long") * size).alias("at"), "earlier")  # the number before the stretch
+    v = Window.partitionBy("qid", "part").orderBy("at")
+    stop = F.least((F.col("part").cast("long") + 1) * size, F.lit(most)) + 1
+    gaps = inner.select("qid", "part", "at", "earlier").unionByName(edge).select("qid", F.col("at"), F.coalesce(F.lead("at").over(v), stop).alias("until"), (F.col("at") - F.col("earlier") - (F.row_number().over(v) - 1)).alias("free"))
+    within = gaps.filter((F.col("until") - F.col("at") > 1) & (F.col("free") < k)).select("qid", (F.col("at") + 1).alias("low"), F.least(F.col("until") - 1, F.col("at") + (k - F.col("free"))).alias("high"))
+    found = untouched.unionByName(within).filter("low <= high").select("qid", F.explode(F.sequence("low", "high")).alias("at"))
+    return found.join(numbered, "at").select("qid", "id")
+
+
+def candidates(each: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """qid, id of texts that may match, and the questions (qid) that texts without any of their lexemes match as well.
+
+    `each` (qid, clause, negated, lexeme) are the terms of boolean questions.  An
+    alternative with something to be found is driven by its three rarest
+    lexemes.  One of negations alone matches what lacks them, so the texts with
+    any lexeme of its question are candidates, and all others match.
+    """
+    open_ = each.groupBy("qid", "clause").agg(F.bool_and("negated").alias("none")).filter("none").select("qid").distinct()
+    postings = index.postings.select(F.col("lexeme").alias("word"), "id")
+    driven = each.filter("NOT negated").join(open_, "qid", "left_anti").select("qid", "clause", F.col("lexeme").alias("word"))
+    closed = _likely(driven, index.terms.withColumnRenamed("lexeme", "word"), postings, "clause")
+    loose = each.join(open_, "qid").select("qid", F.col("lexeme").alias("word")).distinct().join(postings, "word").select("qid", "id")
+    return closed.union(loose).distinct(), open_
+
+
+def keyword(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, stored: TextIndex | None = None, analyser: str = ENGLISH) -> DataFrame:
+    """qid, rank, id, score of the k best matches by cover density; equal scores go by id.
+
+    `questions` (qid, text) are web-style: words are joined by AND, `or` parts
+    alternatives, quotes make phrases, a minus negates.  Candidates come from
+    postings of the rarest lexemes of each alternative; the positions of the
+    question's lexemes in them, and no text, then say whether and how well they
+    match.  A question with an alternative of negations alone matches texts with
+    none of its lexemes, too; those have score 0, and the first k of them by id
+    follow what scores more.  Stop words alone find nothing.
+
+    With a `stored` index, `chunks` is not read; without one the lexemes that
+    the questions ask for are looked up in it.
+    """
+    analyser = stored.open().analyser if stored is not None else analyser
     asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
-    stems = asked.select("qid", F.explode(fts.required_stems("question")).alias("lexeme"))
-    every = asked.select("qid", "question", F.explode(fts.all_stems("question")).alias("lexeme"))
-    postings = settle(index(chunks, every)) if postings is None else postings
-    met = _likely(stems.withColumnRenamed("lexeme", "word"), postings.withColumnRenamed("lexeme", "word"))
-    held = met.join(every, "qid").join(postings, ["lexeme", "id"])
-    found = held.groupBy("qid", "question", "id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x"))
-    scored = found.withColumn("score", fts.rank_of("x.lexeme", "x.positions", "question")).filter("score IS NOT NULL").select("qid", "id", "score")
+    each = settle(asked.select("qid", F.explode(fts.terms("question", analyser)).alias("t")).select("qid", "t.*"))
+    index = stored.open(each) if stored is not None else built(chunks, each, analyser)
+    met, open_ = candidates(each, index)
+    terms = each.select("qid", "lexeme").distinct()
+    held = met.join(terms, "qid").join(index.postings, ["lexeme", "id"])
+    found = held.groupBy("qid", "id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x")).join(asked, "qid")
+    scored = found.select("qid", "id", fts.rank_of("x.lexeme", "x.positions", "question", analyser).alias("score")).filter("score IS NOT NULL")
+    if not (rest := settle(open_)).isEmpty():
+        taken = terms.join(rest, "qid", "left_semi").join(index.postings, "lexeme").select("qid", "id").distinct()
+        scored = scored.union(_free(taken, rest, index.ids, k).select("qid", "id", F.lit(0.0)))
     return ranked(scored, k, F.desc("score")).select("qid", "rank", "id", "score")
 
 
+def boolean_matches(chunks: DataFrame, questions: DataFrame, stored: TextIndex | None = None, analyser: str = ENGLISH) -> DataFrame:
+    """qid, id of all matches of web-style questions; those with an alternative of negations alone match as many rows as there are, so they are left to `keyword`."""
+    analyser = stored.open().analyser if stored is not None else analyser
+    asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
+    each = settle(asked.select("qid", F.explode(fts.terms("question", analyser)).alias("t")).select("qid", "t.*"))
+    index = stored.open(each) if stored is not None else built(chunks, each, analyser)
+    met, open_ = candidates(each, index)
+    held = met.join(open_, "qid", "left_anti").join(each.select("qid", "lexeme").distinct(), "qid").join(index.postings, ["lexeme", "id"])
+    found = held.groupBy("qid", "id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x")).join(asked, "qid")
+    return found.filter(fts.holds("x.lexeme", "x.positions", "question", analyser)).select("qid", "id")
+
+
 def vector(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     """qid, rank, id, distance of the k nearest `chunks` (id, vector); chunks without a vector are not found."""
     return nearest(questions, chunks, k)
@@ -113,7 +162,8 @@ def containing_all(texts: DataFrame, queries: DataFrame) -> DataFrame:
     each = want.select("qid", F.size("want").alias("size"), F.explode("want").alias("word"))
     said = texts.select("id", F.explode(words(F.col("text"))).alias("word")).join(each.select("word").distinct(), "word", "left_semi")
     has = settle(said.groupBy("word", "id").agg(F.count(F.lit(1)).alias("n")))
-    both = _likely(each.select("qid", "word"), has).join(each, "qid").join(has, ["word", "id"]).groupBy("qid", "id", "size").agg(F.count(F.lit(1)).alias("found"), F.sum("n").alias("score"))
+    counts = has.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    both = _likely(each.select("qid", "word"), counts, has).join(each, "qid").join(has, ["word", "id"]).groupBy("qid", "id", "size").agg(F.count(F.lit(1)).alias("found"), F.sum("n").alias("score"))
     return both.filter("found = size").select("qid", "id", "score")
 
 

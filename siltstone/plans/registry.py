@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import models
 from siltstone.functions.html import html_to_text
-from siltstone.functions.text import book_body, collapse, strip
+from siltstone.functions.text import book_body, collapse, strip, words
 from siltstone.functions.vectors import cosine_distance, nearest
 from siltstone.operators import chunks as C
 from siltstone.operators import evaluate as E
@@ -47,17 +47,17 @@ def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _kb(spark: SparkSession, folder: str) -> DataFrame:
     """documents as books: id, source_type, title, raw_text."""
-    d = _t(spark, folder, "documents")
+    d = io.spread(_t(spark, folder, "documents").select("doc_id", "source", "lang", "text"))
     return d.select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("id"), F.lit("book").alias("source_type"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("raw_text"))
 
 
 def _whole(spark: SparkSession, folder: str) -> DataFrame:
     """documents as sections of their own."""
-    return _t(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("raw_text"))
+    return io.spread(_t(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("raw_text")))
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _t(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return io.spread(_t(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,6 +143,25 @@ def lexical_rank(spark: SparkSession, folder: str) -> DataFrame:
     return _lexical(spark, folder, S.TOP_K)
 
 
+_BOOLEAN = r"""d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+s AS (SELECT qid, w[1] AS a, w[2] AS b, w[len(w) - 1] AS y, w[len(w)] AS z FROM b WHERE len(w) >= 4),
+t AS (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d)"""
+
+
+@query(rf"""WITH {_BOOLEAN}
+SELECT qid, id FROM s JOIN t ON (list_contains(w, a) AND list_contains(w, z) AND NOT contains(line, ' ' || y || ' ' || z || ' '))
+  OR contains(line, ' ' || a || ' ' || b || ' ') OR (list_contains(w, y) AND NOT list_contains(w, a) AND NOT list_contains(w, b))""")
+def boolean_match(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents that match a boolean question made of each item's first and last two words: `a z -"y z" or "a b" or y -a -b`."""
+    w = words(F.col("text"))
+    items = _items(spark, folder).select("qid", w.alias("w")).filter(F.size("w") >= 4)
+    end = lambda k: F.element_at("w", k)
+    question = F.format_string('%s %s -"%s %s" or "%s %s" or %s -%s -%s', end(1), end(-1), end(-2), end(-1), end(1), end(2), end(-2), end(1), end(2))
+    asked = items.select("qid", F.when(~F.exists("w", lambda x: x == "or"), question).alias("text"))
+    return S.boolean_matches(_texts(spark, folder), asked, analyser="words")
+
+
 @query()
 def fts_english_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Stemmed matches of whole items, by cover density."""

@@ -77,6 +77,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out anew if it has fewer partitions than there are cores (a file of one row group is one task).
+
+    For plain reads: their partitions are known without running anything.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """One row for each whole text file: source_ref, raw_text; line ends are left as they are."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_ref"), F.col("value").alias("raw_text"))

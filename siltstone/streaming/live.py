@@ -1,4 +1,4 @@
-"""Streaming forms of the incremental jobs; extensions, as the batch forms suffice."""
+"""The incremental jobs as batches and streams; the streaming forms are extensions, as the batch forms suffice."""
 
 from __future__ import annotations
 
@@ -7,24 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.functions.models import OFFLINE, Models, embed
-from siltstone.sources.io import pending
 from siltstone.sources.schemas import SCHEMAS
+from siltstone.sources.snapshots import Snapshot, SnapshotTable
 
 
-def embed_arrivals(spark: SparkSession, chunks: str, vectors: str, checkpoint: str, models: Models = OFFLINE) -> StreamingQuery:
-    """Embed chunk files that have come since the last run, then stop; chunks with a vector are left out."""
+def embed_missing(rows: DataFrame, vectors: str, models: Models = OFFLINE, batch: str | None = None) -> Snapshot:
+    """Embed `rows` (id, text) that have no vector yet; each id gets one, whatever runs at once or again.
+
+    Rows that could not be embedded are left for the next run.
+    """
+    table = SnapshotTable(rows.sparkSession, vectors)
+    return table.append_once(lambda todo: embed(todo.select("id", "text"), models).filter("error IS NULL").select("id", "vector"), rows, "id", batch)
 
-    def store(batch: DataFrame, _: int) -> None:
-        from pyspark.errors import AnalysisException
 
-        rows = batch.select("id", "text")
-        try:
-            rows = pending(rows, spark.read.parquet(vectors), "id")
-        except AnalysisException:
-            pass  # nothing has been embedded yet
-        embed(rows, models).filter("error IS NULL").select("id", "vector").write.mode("append").parquet(vectors)
+def embedded(spark: SparkSession, vectors: str) -> DataFrame:
+    """id and vector of what has been embedded."""
+    return SnapshotTable(spark, vectors).read()
 
+
+def embed_arrivals(spark: SparkSession, chunks: str, vectors: str, checkpoint: str, models: Models = OFFLINE) -> StreamingQuery:
+    """Embed chunk files that have come since the last run, then stop; chunks with a vector are left out."""
     source = spark.readStream.schema(SCHEMAS["chunks"]).parquet(chunks)
+    store = lambda rows, number: embed_missing(rows, vectors, models, f"{checkpoint}#{number}")
     return source.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(store).start()
 
 

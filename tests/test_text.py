@@ -113,7 +113,7 @@ def test_queries_and_covers():
     found = fts.lexemes("The quick brown fox; the lazy dogs run. Foxes ran")
     assert found["fox"] == [4, 9] and "the" not in found
     q = fts.parse_query
-    assert q("the of") == [] and not fts.matches(found, q("the"))
+    assert q("the of") == () and not fts.matches(found, q("the"))
     assert fts.matches(found, q('"brown fox" dog')) and not fts.matches(found, q('"fox brown"'))
     assert fts.matches(found, q("cat or dog")) and not fts.matches(found, q("fox -dog")) and fts.matches(found, q("-cat"))
     assert fts.cover_density(fts.lexemes("apple pear"), q("apple pear")) == pytest.approx(0.1)
@@ -128,7 +128,7 @@ def test_cover_density_against_its_definition():
     rng = random.Random(3)
     for _ in range(300):
         found = {w: sorted(rng.sample(range(1, 40), rng.randint(1, 8))) for w in "abc"}
-        clauses = [(False, [[w]]) for w in "abc"]
+        clauses = fts.parse_query("a b c", "words")
         spans = [(s, e) for s in range(1, 41) for e in range(s, 41) if all(any(s <= p <= e for p in found[w]) for w in "abc")]
         least = [x for x in spans if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in spans)]
         every = {p for own in found.values() for p in own}
