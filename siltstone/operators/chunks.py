@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import bpe
 from siltstone.functions.arrow import series
 from siltstone.functions.text import tokens
 from siltstone.operators.sections import packed
@@ -111,9 +112,17 @@ def merge_tiny_column(chunks: Column) -> Column:
 SPLIT = {"fixed": lambda c: merge_tiny_column(c), "structure": _structure, "recursive": _recursive}
 
 
-def chunk(sections: DataFrame, strategy: str) -> DataFrame:
-    """Chunk rows of `sections` (id, document_id, raw_text), numbered within each section; none spans two."""
+def chunk(sections: DataFrame, strategy: str, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """Chunk rows of `sections` (id, document_id, raw_text), numbered within each section; none spans two.
+
+    Tokens are those of `vocabulary` (the path of its rank file, which workers
+    read too, and its pattern); without one, runs of non-space.
+    """
     source = F.col("raw_text")
+    if vocabulary is not None:
+        split = merge_tiny_column(bpe.token_windows(source, *vocabulary, WINDOW, WINDOW - OVERLAP)) if strategy == "fixed" else SPLIT[strategy](source)
+        cut = sections.select("document_id", F.col("id").alias("section_id"), F.posexplode(split).alias("chunk_index", "text"))
+        return cut.select("document_id", "section_id", F.lit(strategy).alias("strategy"), "chunk_index", "text", bpe.token_count("text", *vocabulary).alias("token_count"))
     if strategy == "fixed":  # generators keep the tokens, and then the windows, from being inlined
         cut = sections.select("document_id", "id", F.explode(F.array(F.coalesce(tokens(source), F.array().cast("array<string>")))).alias("t"))
         sections = cut.select("document_id", "id", F.explode(F.array(fixed(F.col("t")))).alias("raw_text"))
@@ -123,5 +132,5 @@ def chunk(sections: DataFrame, strategy: str) -> DataFrame:
     return rows.select("document_id", "section_id", F.lit(strategy).alias("strategy"), "chunk_index", "text", F.size(tokens(F.col("text"))).alias("token_count"))
 
 
-def chunk_all(sections: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, (chunk(sections, s) for s in STRATEGIES))
+def chunk_all(sections: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    return reduce(DataFrame.unionByName, (chunk(sections, s, vocabulary) for s in STRATEGIES))

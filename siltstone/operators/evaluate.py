@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,21 +26,36 @@ def hit_rate_mrr(ranks: DataFrame, *by: str) -> DataFrame:
     return ranks.groupBy(*by).agg(F.avg((F.col("rr") > 0).cast("double")).alias("hit_rate"), F.avg("rr").alias("mrr"), F.count(F.lit(1)).alias("n_questions"))
 
 
+def timed(make: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+    """A table, written out, and the seconds that took."""
+    began = time.perf_counter()
+    return settle(make()), time.perf_counter() - began
+
+
 def evaluate(chunks: DataFrame, questions: DataFrame, strategies: tuple[str, ...], methods: tuple[str, ...] = ("keyword", "vector", "hybrid"), k: int = TOP_K) -> DataFrame:
-    """strategy, method, hit_rate, mrr for every combination, all questions at once; a hit is the question's section.
+    """strategy, method, hit_rate, mrr, n_questions and seconds for every combination, all questions at once; a hit is the question's section.
 
     Both rankers' pools are made once a strategy: their first k are the keyword
-    and the vector results, and the fusion of both is the hybrid one.
+    and the vector results, and the fusion of both is the hybrid one.  `seconds`
+    is the time from start to end of a combination's own searches; those that
+    the hybrid ones share with the rankers count with the rankers, so that all
+    seconds together are within the time of the whole.
     """
-    parts = []
+    parts, spent = [], []
     for strategy in strategies:
         own = chunks.filter(F.col("strategy") == strategy)
-        pools = {"keyword": settle(keyword(own, questions, POOL)), "vector": settle(vector(own, questions.select("qid", "vector"), POOL))}
+        search = {"keyword": lambda own=own: keyword(own, questions, POOL), "vector": lambda own=own: vector(own, questions.select("qid", "vector"), POOL)}
+        pools = {m: timed(f) for m, f in search.items() if m in methods or "hybrid" in methods}
         for method in methods:
-            found = rrf(pools["keyword"], pools["vector"], k) if method == "hybrid" else pools[method].filter(F.col("rank") <= k)
+            if method == "hybrid":
+                found, seconds = timed(lambda pools=pools: rrf(pools["keyword"][0], pools["vector"][0], k))
+            else:
+                found, seconds = pools[method][0].filter(F.col("rank") <= k), pools[method][1]
             hits = found.select("qid", "rank", "id").join(own.select("id", F.col("section_id").alias("target")), "id")
             parts.append(reciprocal_ranks(questions, hits).select(F.lit(strategy).alias("strategy"), F.lit(method).alias("method"), "rr"))
-    return hit_rate_mrr(reduce(DataFrame.unionByName, parts), "strategy", "method")
+            spent.append((strategy, method, seconds))
+    clock = chunks.sparkSession.createDataFrame(spent, "strategy string, method string, seconds double")
+    return hit_rate_mrr(reduce(DataFrame.unionByName, parts), "strategy", "method").join(F.broadcast(clock), ["strategy", "method"])
 
 
 def best_first(results: DataFrame) -> DataFrame:

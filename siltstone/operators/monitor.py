@@ -26,8 +26,8 @@ def overview(turns: DataFrame) -> DataFrame:
 
 
 def timeseries(turns: DataFrame) -> DataFrame:
-    """A row for each turn, in order of time, of equal times by id."""
-    return turns.orderBy("timestamp", "id").select("id", "timestamp", F.col("cost").cast("double"), F.col("response_time").cast("double"), "total_tokens", "prompt_tokens", "completion_tokens")
+    """A row for each turn, in order of insertion, which is that of the ids."""
+    return turns.orderBy("id").select("id", "timestamp", F.col("cost").cast("double"), F.col("response_time").cast("double"), "total_tokens", "prompt_tokens", "completion_tokens")
 
 
 def judge_distribution(feedback: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def keyword(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, stored: Tex
     With a `stored` index, `chunks` is not read; without one the lexemes that
     the questions ask for are looked up in it.
     """
-    analyser = stored.open().analyser if stored is not None else analyser
+    analyser = stored.analyser if stored is not None else analyser
     asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
     each = settle(asked.select("qid", F.explode(fts.terms("question", analyser)).alias("t")).select("qid", "t.*"))
     index = stored.open(each) if stored is not None else built(chunks, each, analyser)
@@ -114,7 +114,7 @@ def keyword(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, stored: Tex
 
 def boolean_matches(chunks: DataFrame, questions: DataFrame, stored: TextIndex | None = None, analyser: str = ENGLISH) -> DataFrame:
     """qid, id of all matches of web-style questions; those with an alternative of negations alone match as many rows as there are, so they are left to `keyword`."""
-    analyser = stored.open().analyser if stored is not None else analyser
+    analyser = stored.analyser if stored is not None else analyser
     asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
     each = settle(asked.select("qid", F.explode(fts.terms("question", analyser)).alias("t")).select("qid", "t.*"))
     index = stored.open(each) if stored is not None else built(chunks, each, analyser)

@@ -81,9 +81,9 @@ def built(chunks: DataFrame, lexemes: DataFrame | None = None, analyser: str = l
 
 
 class TextIndex:
-    """An index stored below `path`; `buckets` and `analyser` are fixed by its first upsert."""
+    """An index stored below `path`; `buckets` (folders of a segment: more for larger ones) and `analyser` are fixed by its first upsert."""
 
-    def __init__(self, spark: SparkSession, path: str, analyser: str = lexer.ENGLISH, buckets: int = 64, fan: int = 4):
+    def __init__(self, spark: SparkSession, path: str, analyser: str = lexer.ENGLISH, buckets: int = 16, fan: int = 4):
         self.table = SnapshotTable(spark, path)
         self._first = {"analyser": analyser, "buckets": buckets, "id": None}
         self.fan = fan
@@ -94,6 +94,10 @@ class TextIndex:
     def _bucket(self, lexeme: Column, info: dict) -> Column:
         return F.pmod(F.xxhash64(lexeme), F.lit(info["buckets"])).cast("int")
 
+    @property
+    def analyser(self) -> str:
+        return self._info(self.table.current())["analyser"]
+
     # -- writing --------------------------------------------------------------------
 
     def upsert(self, chunks: DataFrame) -> Snapshot:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import models
 from siltstone.functions.html import html_to_text, unescape_html
 from siltstone.functions.models import OFFLINE, Models
+from siltstone.functions.template import compiled
 from siltstone.functions.text import book_body, tokens
 from siltstone.operators.chunks import chunk_all
 from siltstone.operators.evaluate import summarise
@@ -42,8 +43,17 @@ def knowledge(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split, cut.withColumn("id", F.xxhash64("strategy", "section_id", "chunk_index"))
 
 
+#: Templates of the prompts: what is asked of a model about a question, an answer or a section.
+TEMPLATES = {
+    "answer": "Question: {question}\n\nContext passages:\n{passages}\n\nAnswer:",
+    "rewrite": "Turn this gardening question into a short search query of its key terms, and return the query alone.\n\nQuestion: {question}",
+    "judge": 'Say how relevant the answer is to the question: RELEVANT, PARTLY_RELEVANT or NON_RELEVANT.\n\nQuestion: {question}\nAnswer: {answer}\n\nReturn JSON: {{"relevance": "...", "explanation": "..."}}',
+    "questions": 'Write {n} questions a gardener might ask that this section answers, without copying its wording.\n\nTitle: {title}\n\n{text}\n\nReturn JSON: {{"questions": ["..."]}}',
+}
+
+
 def prompt(question: Column, passages: Column) -> Column:
-    return F.concat(F.lit("Question: "), question, F.lit("\n\nContext passages:\n"), passages, F.lit("\n\nAnswer:"))
+    return compiled(TEMPLATES["answer"], {"question": question, "passages": passages})
 
 
 def answer(questions: DataFrame, chunks: DataFrame, documents: DataFrame, split: DataFrame, model: str, k: int = TOP_K, rewrite: bool = False, by: Models = OFFLINE, instructions: str = PROMPTS["v2_direct"]) -> DataFrame:

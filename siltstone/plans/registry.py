@@ -22,8 +22,10 @@ from siltstone.operators import evaluate as E
 from siltstone.operators import monitor as M
 from siltstone.operators import search as S
 from siltstone.operators.sections import sections
+from siltstone.operators.textindex import TextIndex
 from siltstone.sources import io
 from siltstone.sources.schemas import orphans, unknown_values
+from siltstone.sources.snapshots import SnapshotTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
@@ -153,13 +155,32 @@ t AS (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d)"""
 SELECT qid, id FROM s JOIN t ON (list_contains(w, a) AND list_contains(w, z) AND NOT contains(line, ' ' || y || ' ' || z || ' '))
   OR contains(line, ' ' || a || ' ' || b || ' ') OR (list_contains(w, y) AND NOT list_contains(w, a) AND NOT list_contains(w, b))""")
 def boolean_match(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents that match a boolean question made of each item's first and last two words: `a z -"y z" or "a b" or y -a -b`."""
+    """All documents that match a boolean question of each item."""
+    return S.boolean_matches(_texts(spark, folder), _boolean_questions(spark, folder), analyser="words")
+
+
+def _boolean_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """A question of each item's first and last two words: `a z -"y z" or "a b" or y -a -b`."""
     w = words(F.col("text"))
     items = _items(spark, folder).select("qid", w.alias("w")).filter(F.size("w") >= 4)
     end = lambda k: F.element_at("w", k)
     question = F.format_string('%s %s -"%s %s" or "%s %s" or %s -%s -%s', end(1), end(-1), end(-2), end(-1), end(1), end(2), end(-2), end(1), end(2))
-    asked = items.select("qid", F.when(~F.exists("w", lambda x: x == "or"), question).alias("text"))
-    return S.boolean_matches(_texts(spark, folder), asked, analyser="words")
+    return items.select("qid", question.alias("text"))
+
+
+@query(rf"""WITH {_BOOLEAN.replace("SELECT doc_id AS id, regexp_extract_all(lower(text)", "SELECT doc_id AS id, regexp_extract_all(lower(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN source || ' ' || text ELSE text END)")}
+SELECT qid, id FROM s JOIN t ON id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AND
+  ((list_contains(w, a) AND list_contains(w, z) AND NOT contains(line, ' ' || y || ' ' || z || ' ')) OR contains(line, ' ' || a || ' ' || b || ' ') OR (list_contains(w, y) AND NOT list_contains(w, a) AND NOT list_contains(w, b)))""")
+def boolean_match_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by a stored index: all documents, then labelled ones again with their source in front, then toxic ones with a vector deleted."""
+    d = io.spread(_t(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text"))
+    labels = _t(spark, folder, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    index = TextIndex(spark, io.shared_dir(spark), analyser="words")
+    index.upsert(d.select("id", "text"))
+    io.passing(spark, index.table.path)
+    index.upsert(d.join(labels.select("id").distinct(), "id", "left_semi").select("id", F.concat_ws(" ", "source", "text").alias("text")))
+    index.delete(labels.filter("toxic = 1").join(_vectors(spark, folder).select("id"), "id", "left_semi"))
+    return S.boolean_matches(d.limit(0), _boolean_questions(spark, folder), index)
 
 
 @query()
@@ -239,6 +260,15 @@ def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
 
 
+@query()
+def chunk_fixed_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping windows of 250 byte-pair tokens of a public vocabulary."""
+    import public_tokenizers
+
+    rows = C.chunk(_whole(spark, folder), "fixed", (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return rows.select("document_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
+
+
 @query()
 def chunk_structure(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs packed to 1200 characters."""
@@ -286,6 +316,35 @@ def section_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(F.format_string("d-%d-s%03d", "doc_id", "i").alias("id"), "start", end.cast("long").alias("end_offset"))
 
 
+_PLACED = """l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
+
+@query(f"""WITH {_PLACED} SELECT doc_id, i, md5(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new: ' || line ELSE line END) AS line_md5
+FROM l WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) OR line <> ''""")
+def replace_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as sections in a snapshot table; labelled documents' are then replaced, by their lines that aren't empty, marked as new."""
+    d = io.spread(_t(spark, folder, "documents").select("doc_id", "text"))
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    labelled = _t(spark, folder, "labels").select("doc_id").distinct()
+    table = SnapshotTable(spark, io.shared_dir(spark))
+    table.replace(lines)
+    io.passing(spark, table.path)
+    table.replace_keys(lines.join(labelled, "doc_id", "left_semi").filter("line <> ''").withColumn("line", F.concat(F.lit("new: "), "line")), "doc_id", labelled)
+    return table.read().select("doc_id", F.col("i").cast("long").alias("i"), F.md5("line").alias("line_md5"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_type <> 'purchase', event_id) AS id, event_id FROM events")
+def append_with_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Events appended in two batches, purchases first, under reserved ids."""
+    e = _t(spark, folder, "events").select("event_id", "event_type")
+    table = SnapshotTable(spark, io.shared_dir(spark))
+    bought = F.col("event_type") == "purchase"
+    for batch in (e.filter(bought), e.filter(~bought)):
+        table.append_with_ids(batch, "event_id")
+    io.passing(spark, table.path)
+    return table.read().select("id", "event_id")
+
+
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), '^ | $', '', 'g')) AS clean_md5, CAST(length(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) AS INTEGER) AS body_chars FROM documents""")
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     """White space collapsed, and the length of the text between book markers (there are none, so of all of it)."""

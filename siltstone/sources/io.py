@@ -137,7 +137,10 @@ def dense_ids(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
 
 
 def next_ids(existing: DataFrame, incoming: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """`incoming` with ids that go on after the largest of `existing`, in the given order."""
+    """`incoming` with ids that go on after the largest of `existing`, in the given order.
+
+    For one writer at a time; several reserve theirs by SnapshotTable.append_with_ids.
+    """
     last = existing.agg(F.coalesce(F.max(name), F.lit(0)).cast("long")).first()[0]
     return dense_ids(incoming.drop(name), *order, name=name).withColumn(name, F.col(name) + last)
 
@@ -166,8 +169,13 @@ def source_list(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def write_comparison(records: DataFrame, summaries: DataFrame, seed: int, winner: str, path: str) -> None:
-    """Answer comparison as JSON: one object with the summaries, and the judged records as lines beside it."""
-    packed = summaries.agg(F.sort_array(F.collect_list(F.struct("config", *[c for c in summaries.columns if c != "config"]))).alias("configs"))
-    head = packed.select(F.lit(seed).alias("seed"), F.lit(winner).alias("winner"), "configs")
-    head.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    records.write.mode("overwrite").json(f"{path}/records")
+    """Answer comparison as one JSON object: seed, sample_size, winner, and by configuration its summary and its judged records.
+
+    The records are the fixed-size sample that was judged, so one row holds them.
+    """
+    rest = lambda df: [c for c in df.columns if c != "config"]
+    sums = summaries.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("config", F.struct(*rest(summaries)).alias("s"))))).alias("configs"), F.max("sample_size").alias("sample_size"))
+    each = records.groupBy("config").agg(F.sort_array(F.collect_list(F.struct(*rest(records)))).alias("r"))
+    rows = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("config", "r")))).alias("records"))
+    both = sums.select(F.lit(seed).alias("seed"), "sample_size", F.lit(winner).alias("winner"), "configs", F.lit(1).alias("one")).join(rows.withColumn("one", F.lit(1)), "one", "left")
+    both.drop("one").coalesce(1).write.mode("overwrite").json(path)

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,7 +206,8 @@ def test_chat_and_counts(spark, tmp_path):
     assert seen.get == {"rows": 2, "failed": 0}
     rec = feedback.select(F.lit("a").alias("config"), "relevance", F.lit(1).alias("answer_tokens"), F.lit(0.0).alias("latency_seconds"))
     io.write_comparison(rec, E.summarise(rec), 42, "a", str(tmp_path / "cmp"))
-    assert spark.read.json(str(tmp_path / "cmp/summary")).first().winner == "a"
+    got = spark.read.json(str(tmp_path / "cmp")).collect()
+    assert len(got) == 1 and (got[0].winner, got[0].seed, got[0].sample_size) == ("a", 42, 2) and got[0].configs.a.sample_size == len(got[0].records.a) == 2
 
 
 def test_incremental_stream(spark, tmp_path):
@@ -241,6 +243,8 @@ def test_retrieval_evaluation_is_whole(spark, small):
     """Three strategies by three methods, all over the same questions."""
     from siltstone.plans.registry import retrieval_evaluation
 
+    began = time.perf_counter()
     rows = retrieval_evaluation(spark, small).collect()
     assert sorted((r.strategy, r.method) for r in rows) == sorted((s, m) for s in ("fixed", "structure", "recursive") for m in ("keyword", "vector", "hybrid"))
+    assert all(r.seconds > 0 for r in rows) and sum(r.seconds for r in rows) <= time.perf_counter() - began
     assert len({r.n_questions for r in rows}) == 1 and all(0 <= r.mrr <= r.hit_rate <= 1 for r in rows)
