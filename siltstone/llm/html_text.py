@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,18 +30,12 @@ from siltstone.llm.common import in_arrow
 # Fixed values of HTML and of page conventions.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript iframe template xmp noembed noframes head nav header footer aside form button select svg canvas object dialog menu".split())
+#: Elements whose text is none of the page's, and those that by their tag are none of an article.
+MARKUP = frozenset("script style textarea title noscript iframe template xmp noembed noframes head button select svg canvas object".split())
+ASIDES = frozenset("nav header footer aside form dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCKS - {"br", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "option", "html", "body", "legend", "summary", "figcaption"}
-SIBLING_END = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
+SIBLING_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMATTING = frozenset("a abbr b big cite code em font i mark q s small span strong sub sup tt u".split())
 #: Parts of names: those of asides, those that say nothing, and whole names of content.
@@ -48,6 +43,10 @@ ASIDE_PART = re.compile(
     r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|widgets?|menu|nav|navbar|"
     r"navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|pagination|pager|login|signup|toolbar|skip"
 )
+#: Least density sum of other content, as a share of the best node's.
+SHARE = 0.1
+#: Of those the ones that name what readers wrote, which outweighs many an article.
+READER_PART = re.compile(r"comments?|disqus|replies|respond")
 PLAIN_PARTS = frozenset("area bar block bottom box buttons column container form group inner items left link links list main outer panel posts primary respond right row secondary section side site thread top wrap wrapper".split())
 CONTENT_NAMES = frozenset("article body content entry hentry post story text".split())
 INLINE = (FORMATTING - {"a"}) | {"br", "wbr"}
@@ -59,37 +58,41 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "aside", "named", "inline", "chars", "loose", "tags", "blocks", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "aside", "named", "inline", "chars", "loose", "tags", "blocks", "link_chars", "link_tags", "density", "total", "depth")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, named: str = ""):
+        self.depth = parent.depth + 1 if parent else 0
         self.tag, self.parent, self.aside, self.named, self.inline = tag, parent, aside, named, tag in INLINE
         self.kids: list[Node | str] = []
 
 
-def _names_aside(value: str) -> bool:
-    """Whether one of the names of a class or id attribute is an aside's as a whole, and none is the content's."""
+def _names_aside(value: str) -> str:
+    """`reader` or `aside` if one of the names of a class or id attribute is an aside's as a whole and none is the content's; empty otherwise."""
     names = value.lower().split()
     if CONTENT_NAMES.intersection(names):
-        return False
+        return ""
+    found = ""
     for name in names:
         parts = [x for x in re.split("[-_]+", name) if x]
         asides = [bool(ASIDE_PART.fullmatch(x)) for x in parts]
         if any(asides) and all(a or x in PLAIN_PARTS for a, x in zip(asides, parts, strict=True)):
-            return True
-    return False
-
-
-def _is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a tag is an aside for certain, and whether its class or id names one."""
-    if tag in DROPPED:
-        return True, False
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return False, False
-    named = False
+            if any(READER_PART.fullmatch(x) for x in parts):
+                return "reader"
+            found = "aside"
+    return found
+
+
+def _is_aside(tag: str, attributes: str, names: bool) -> tuple[bool, str]:
+    """Whether a tag is an aside for certain, and what its class or id names."""
+    if tag in MARKUP or names and tag in ASIDES:
+        return True, ""
+    if not names or not attributes or tag in ("body", "html", "article", "main"):
+        return False, ""
+    named = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _names_aside(value):
-            named = True
+        if name in ("class", "id"):
+            named = max(named, _names_aside(value))
         if name == "hidden" or name == "role" and value.lower() in ASIDE_ROLES:
             return True, named
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -97,10 +100,30 @@ def _is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
     return False, named
 
 
-def parse(page: str) -> Node:
-    """A tolerant tree: ends that HTML leaves out are supplied, stray end tags ignored."""
+def parse(page: str, names: bool = True) -> Node:
+    """A tolerant tree: ends that HTML leaves out are supplied, stray end tags ignored.
+
+    Open elements are stacked by name, and so are blocks, so that what a tag
+    closes is known without a walk upward.  Without `names` nothing is marked an
+    aside but what is markup.
+    """
     root = Node("html", None)
     top, at, size = root, 0, len(page)
+    open_: dict[str, list[Node]] = {}
+    blocks: list[Node] = []
+
+    def leave(node: Node) -> None:
+        """Close everything from the top to `node`."""
+        nonlocal top
+        while top.depth >= node.depth:
+            open_[top.tag].pop()
+            if blocks and blocks[-1] is top:
+                blocks.pop()
+            top = top.parent
+
+    def deepest(tags: tuple[str, ...] | frozenset[str] | set[str]) -> Node | None:
+        return max((open_[t][-1] for t in tags if open_.get(t)), key=lambda n: n.depth, default=None)
+
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
@@ -112,34 +135,26 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                if tag in FORMATTING and node.tag in BLOCKS:
-                    node = root  # an inline end tag doesn't close blocks
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            node = deepest((tag,))
+            if node is not None and not (tag in FORMATTING and blocks and blocks[-1].depth > node.depth):  # an inline end tag doesn't close blocks
+                leave(node)
             continue
         if tag in ("html", "body") and not m[3]:
             if tag == "body" and (top.aside or top.named):
                 while top is not root:
-                    top = top.parent
+                    leave(top)
             continue
-        if tag in ENDS_P or tag in SIBLING_END:
-            node, (close, limit) = top, SIBLING_END.get(tag, ({"p"}, frozenset()))
-            while node is not root and node.tag not in limit:
-                if node.tag in close:
-                    top = node.parent
-                    if tag not in ("tr",):
-                        break
-                if node.tag in BLOCKS and node.tag not in close and tag not in ("tr", "td", "th"):
-                    break
-                node = node.parent
+        if tag in ("tr", "td", "th"):
+            table = deepest(("table",) if tag == "tr" else ("table", "tr"))
+            inner = [n for t in (("tr", "td", "th") if tag == "tr" else ("td", "th")) for n in _below(open_.get(t), table)]
+            if inner:
+                leave(min(inner, key=lambda n: n.depth) if tag == "tr" else max(inner, key=lambda n: n.depth))
+        elif (tag in ENDS_P or tag in SIBLING_END) and blocks and blocks[-1].tag in SIBLING_END.get(tag, ("p",)):
+            leave(blocks[-1])
         if tag == "body":
             while top is not root:
-                top = top.parent
-        node = Node(tag, top, *_is_aside(tag, m[3]))
+                leave(top)
+        node = Node(tag, top, *_is_aside(tag, m[3], names))
         top.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -149,9 +164,20 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             top = node
+            open_.setdefault(tag, []).append(node)
+            if tag in BLOCKS or tag == "select":
+                blocks.append(node)
     return root
 
 
+def _below(stack: list[Node] | None, table: Node | None) -> list[Node]:
+    """The first and the last open element of a stack that lie within a table (or anywhere, without one)."""
+    if not stack or table is not None and stack[-1].depth < table.depth:
+        return []
+    first = bisect_right(stack, table.depth, key=lambda n: n.depth) if table is not None else 0
+    return [stack[first], stack[-1]]
+
+
 def _measure(root: Node) -> list[Node]:
     """Characters, loose ones (outside inner elements), tags, blocks with text, and those in links, bottom up; the nodes in page order, asides left out."""
     order, stack = [], [root]
@@ -193,13 +219,29 @@ def density(root: Node) -> list[Node]:
 
 
 def _drop_named(root: Node) -> None:
-    """Take out what a class name or id calls an aside, unless it holds half of the text outside links in several blocks, or all of it."""
+    """Take out what a class name or id calls an aside, unless what is left is no article beside it.
+
+    Readers' comments always go where anything else has text.  Any other named
+    element stays where all that is left outside of named ones has less than two
+    blocks with text, or a tenth of its text outside links.
+    """
     order = _measure(root)
-    own = {n: n.chars - n.link_chars for n in order}
-    gone = [n for n in order if n.named and not (2 * own[n] >= own[root] and n.blocks > 2)]
+    own = {n: (n.chars - n.link_chars, n.named) for n in order if n.named}
+    gone = list(own)
+    if not gone:
+        return
     for n in gone:
         n.aside = True
-    if _measure(root) and not root.chars:
+    _measure(root)
+    left, blocks = root.chars - root.link_chars, root.blocks
+    for kind in ("aside", "reader"):
+        if kind == "reader" and root.chars:
+            break
+        for n, (chars, named) in own.items():
+            if named == kind and (kind == "reader" or blocks < 2 or left < chars / 10):
+                n.aside = False
+        _measure(root)
+    if not root.chars:  # all of it is within named elements
         for n in gone:
             n.aside = False
 
@@ -231,12 +273,15 @@ def select(root: Node) -> list[Node]:
     around = body if any(n is body for n in _ancestors(best)) else root
     chosen: set[Node] = set()
     todo = [around] if around.loose >= max(threshold, 1) else [k for k in around.kids if k in top]
+    path = set(_ancestors(best))
     while todo:
         n = todo.pop()
         if n.density < threshold or not n.chars:
             todo += [k for k in n.kids if k in top]
             continue
         pick = node = top[n]
+        if n not in path and pick is not best and max(pick.total, pick.density) < SHARE * best.total:
+            continue  # dense, as a line without a link is, but nothing beside the best
         while node is not n:
             node = node.parent
             if node.tag in BLOCKS and pick.tag not in BLOCKS or node.loose >= max(threshold, 1):

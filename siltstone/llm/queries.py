@@ -156,7 +156,8 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lost.p), 0
 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
     "op9_vector_dup": f"""
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+WITH RECURSIVE g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+v AS (SELECT vec_id, list_transform(e, lambda x: x / coalesce(nullif(list_max(list_transform(e, lambda y: abs(y))), 0), 1)) AS e FROM g),
 u AS (SELECT vec_id AS id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 nodes AS (SELECT id FROM u),
 links AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),{_REACH},

@@ -48,7 +48,9 @@ _EPS = 1e-9
 
 
 def _unit(rows: list[list[float]] | np.ndarray) -> np.ndarray:
+    """Rows at length one; first each is divided by its largest component, so that no square underflows or overflows."""
     x = np.array(rows, np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -113,7 +115,8 @@ class CoverTree:
             self.levels.append((edges, np.maximum.reduceat(far, first)))
 
     def dump(self) -> bytes:
-        kind = "<f4" if (self.given.astype("<f4") == self.given).all() else "<f8"  # half the bytes where nothing is lost
+        with np.errstate(over="ignore"):
+            kind = "<f4" if (self.given.astype("<f4") == self.given).all() else "<f8"  # half the bytes where nothing is lost
         head = struct.pack("<IIII", len(self.ids), self.x.shape[1], len(self.levels), int(kind[-1]))
         body = [head, self.ids.astype("<i8").tobytes(), self.mult.astype("<i8").tobytes(), self.given.astype(kind).tobytes()]
         for edges, radius in self.levels:
@@ -238,7 +241,8 @@ def near_vectors(vectors: DataFrame, params: VectorDupParams = VectorDupParams()
     Rows that repeat a vector link with each other.  A row with a null vec_id
     counts as a link but has a null component and is kept.  Whole tables are
     read and components compared as doubles; labels and other columns are
-    ignored, and an empty table gives an empty result.
+    ignored, and an empty table gives an empty result.  Directions count and
+    lengths don't, also of components too small or too large to be squared.
     """
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))

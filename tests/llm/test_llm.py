@@ -448,6 +448,67 @@ def test_main_text_without_one_article():
     assert html_text.main_text(f"<body>{block('a')}{block('b')}<article><a href=/x>Read on</a></article></body>") == want("a", "b")
 
 
+def test_comments_never_replace_an_article():
+    """Comments outweigh the article in text and in density, and go all the same, whatever holds them."""
+    p = lambda name, n: "".join(f"<p>{name} paragraph {k} " + "of some words, and more of them. " * 6 + "</p>" for k in range(n))
+    want = html_text.main_text(f"<body><article><h1>Head</h1>{p('text', 3)}</article></body>")
+    assert want.startswith("Head text paragraph 0")
+    for tag in ("article", "div", "section"):
+        for open_, close in (("<div id='comments'>", "</div>"), ("<section class=comments>", "</section>"), ("<ol class='comment-list'><li>", "</ol>"), ("<div id=disqus_thread-comments><div>", "</div></div>")):
+            assert html_text.main_text(f"<body><{tag}><h1>Head</h1>{p('text', 3)}</{tag}>{open_}{p('reader', 6)}{close}</body>") == want
+            assert html_text.main_text(f"<body><{tag}><h1>Head</h1>{p('text', 3)}{open_}{p('reader', 6)}{close}</{tag}></body>") == want
+    # another aside's name on what is the article: what is left is none
+    assert html_text.main_text(f"<body><p>One line.</p><div class=widget><h1>Head</h1>{p('text', 3)}</div></body>").endswith(want)
+    assert html_text.main_text(f"<body><div class=comments>{p('reader', 2)}</div></body>").startswith("reader paragraph 0")
+
+
+def test_parser_is_linear():
+    import time
+
+    n = 100_000
+    for page in ("<b>" * n + "</i>" * n, "<div>" * n + "</b>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<p><table><td>" + "<b>" * n + "<hr>" * n, "<td><div>" * (n // 4) + "<tr>" * n, "<ul><li>" * (n // 4) + "<li>" * n):
+        began = time.process_time()
+        html_text.parse(page)
+        assert time.process_time() - began < 4, page[:20]
+
+
+def test_density_alone(spark, small):
+    """Most given pages come out right without any list of tags or names of asides, markup apart."""
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    right = 0
+    for page in pages:
+        want = html_text.text_of(html_text.parse("<article>" + re.search(r"<article>(.*)</article>", page, re.S)[1] + "</article>"))
+        chosen = html_text.select(html_text.parse(page, names=False))
+        right += " ".join(t for n in chosen if (t := html_text.text_of(n))) == want
+    assert right >= 0.6 * len(pages)
+
+
+def test_selected_subtrees():
+    """What is selected on random trees, by the rule: the largest sum is in it, and whatever else is has a share of it and the path's density."""
+    rng = random.Random(14)
+
+    def grow(depth):
+        kids = "".join(grow(depth + 1) for _ in range(rng.randint(0, 4))) if depth < 4 else ""
+        tag = rng.choice(["div", "p", "section", "article", "ul"])
+        link = f"<a href=/>{'link ' * rng.randint(1, 6)}</a>" if rng.random() < 0.3 else ""
+        return f"<{tag}>{'word ' * rng.choice([0, 1, 20, 60])}{link}{kids}</{tag}>"
+
+    for _ in range(300):
+        root = html_text.parse(f"<body x=y>{''.join(grow(0) for _ in range(rng.randint(1, 4)))}</body>")
+        chosen = html_text.select(root)
+        every = [n for n in html_text.density(root) if n.chars]
+        if not every:
+            continue
+        best = max(every, key=html_text._rank)
+        path = list(html_text._ancestors(best))
+        floor = min(n.density for n in path if not n.inline)
+        assert any(n in path or any(x is best for x in html_text._ancestors(n)) for n in chosen)
+        for n in chosen:
+            up = list(html_text._ancestors(n))
+            assert not any(x in chosen for x in up[1:])
+            assert n in path or any(x.density >= floor for x in up) and (max(n.total, n.density) >= html_text.SHARE * best.total or n.tag in html_text.HEADINGS or any(x is best or x.parent in path for x in up))
+
+
 def test_names_of_asides():
     keep = "post comments-on", "content-header", "no-sidebar", "adrift", "article-footer", "main", ""
     drop = "ad", "Sidebar", "cookie-notice", "comment-list", "site_footer", "main-nav", "widget related-posts"
@@ -609,6 +670,21 @@ def test_vectors(spark, params):
     assert vector_dup.near_vectors(frame.limit(0), params).count() == 0
 
 
+def test_vectors_of_any_length(spark):
+    """Components too small or too large to be squared: the same links as of the vectors at length one."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(90, 6))
+    base[30:60] = base[:30] + rng.normal(size=(30, 6)) * 0.1
+    scale = np.array([1e-200, 1.0, 1e200, 1e-300, 1e150, 1e307])[np.arange(90) % 6]
+    x = base / np.abs(base).max(1, keepdims=True) * scale[:, None]
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.9).sum(1) - 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, [1e-200] * 6), (91, [0.0] * 6)]
+    extra = (unit @ (np.ones(6) / np.sqrt(6))) >= 0.9
+    got = {r.vec_id: r.n_links for r in vector_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vector_dup.VectorDupParams(block=16, tile=2)).collect()}
+    assert [got[i] for i in range(90)] == (want + extra).tolist() and got[90] == extra.sum() and got[91] == 0
+
+
 def test_vectors_are_compared_as_doubles(spark):
     """Two pairs around the threshold that single precision can't tell apart."""
     import math
