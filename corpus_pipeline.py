@@ -29,15 +29,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate component (five-word shingles, similarity 0.8).
 
-    Of rows that repeat a doc_id the one of smallest hash stays.  Null and
-    wordless texts are alone and stay, as do rows without an id.  Other columns
-    stay, and an empty table stays empty.
+    Rows that repeat a doc_id are one document and stay or go together; of those
+    with equal texts the one of smallest hash stays.  Null and wordless texts are
+    alone and stay, as do rows without an id.  Other columns stay, and an empty
+    table stays empty.
     """
     gone = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*named.columns), F.xxhash64(*hashed)).alias("row"))
-    return one.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        return named.distinct().unionByName(docs.filter("doc_id IS NULL"))
+    hashed = [c for c, kind in docs.dtypes if c in rest and "map<" not in kind and "variant" not in kind]
+    (row,) = fresh(docs, "row")
+    one = named.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.xxhash64(*hashed)).alias(row))
+    return one.select("doc_id", "text", f"{row}.*").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

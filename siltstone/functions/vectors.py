@@ -14,8 +14,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _scaled(a: Column) -> Column:
+    """Divided by the largest component, so that no square underflows or overflows; zero stays zero."""
+    most = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
+    return F.transform(a, lambda x: F.when(most > 0, x / most).otherwise(x.cast("double")))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """1 - a.b / (|a| |b|), whatever the lengths; null for a zero vector."""
+    a, b = _scaled(a), _scaled(b)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms > 0, 1 - dot(a, b) / norms)
 
 
 def usable(c: Column) -> Column:
@@ -38,6 +47,7 @@ def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
                 for lo in range(0, len(own), size):
                     part = own[lo : lo + size]
                     x = np.array([vectors[k] for k in part], np.float64)
+                    x /= np.abs(x).max(1, keepdims=True)  # else squares of tiny or huge components are lost
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[part].astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["dim", f"{prefix}_ids", f"{prefix}_x"])
 

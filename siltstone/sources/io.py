@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from functools import reduce
 
@@ -16,7 +17,14 @@ UPDATED = ("title", "author", "raw_text", "fetched_at")
 
 
 _own_dir: str | None = None
-_made: list[str] = []
+_of_thread = threading.local()
+
+
+def _made() -> list[str]:
+    """Folders that this thread has made: a query that runs in another thread is none of its business."""
+    if not hasattr(_of_thread, "made"):
+        _of_thread.made = []
+    return _of_thread.made
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +48,7 @@ def passing(spark: SparkSession, path: str) -> None:
     """Have a folder that now exists deleted when the application ends, or by `forget`."""
     folder, fs = _folder(spark, path)
     fs.deleteOnExit(folder)
-    _made.append(path)
+    _made().append(path)
 
 
 def _folder(spark: SparkSession, path: str):  # noqa: ANN202
@@ -61,16 +69,17 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def mark() -> int:
-    """A point in time, for `forget`."""
-    return len(_made)
+    """A point in this thread's time, for `forget`."""
+    return len(_made())
 
 
 def forget(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Delete the folders made since `since`, but for the last `keep`; only for tables that nothing will read again."""
-    for path in _made[since : len(_made) - keep]:
+    """Delete the folders this thread made since `since`, but for the last `keep`; only for tables that nothing will read again."""
+    made = _made()
+    for path in made[since : len(made) - keep]:
         folder, fs = _folder(spark, path)
         fs.delete(folder, True)
-    del _made[since : len(_made) - keep]
+    del made[since : len(made) - keep]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

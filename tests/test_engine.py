@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import time
 
@@ -52,6 +53,35 @@ def test_nearest_edges(spark):
     assert [(r.qid, r["rank"], r.id) for r in nearest(q, v, 5).orderBy("qid", "rank").collect()] == [(1, 1, 1), (1, 2, 3), (1, 3, 2)]
 
 
+def test_nearest_of_any_length(spark):
+    """Vectors too short or too long to be squared have the neighbours of their directions."""
+    from siltstone.functions.vectors import cosine_distance
+
+    turns = [0.0, 0.1, 0.3, 0.6, 1.0, 1.5]
+    rows = [(k, [math.cos(t) * s, math.sin(t) * s]) for k, (t, s) in enumerate(zip(turns, [1e-200, 1.0, 1e200, 1e-300, 1e307, 1e-160], strict=True))]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = nearest(v.withColumnRenamed("id", "qid"), v, 2, skip_self=True).collect()
+    want = {k: sorted((round(1 - math.cos(t - u), 9), j) for j, u in enumerate(turns) if j != k)[:2] for k, t in enumerate(turns)}
+    assert {(r.qid, r["rank"]): (r.distance, r.id) for r in got} == {(k, r): x for k, own in want.items() for r, x in enumerate(own, 1)}
+    pair = v.filter("id = 0").select(F.col("vector").alias("a")).crossJoin(v.select("id", F.col("vector").alias("b"))).select("id", cosine_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == pytest.approx(1 - math.cos(turns[r.id]), abs=1e-12) for r in pair)
+
+
+def test_scratch_of_two_threads(spark):
+    """What one thread forgets another may still read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(n):
+        since = io.mark()
+        first = io.settle(spark.range(n))
+        second = io.settle(first.withColumn("two", F.lit(2)))
+        io.forget(spark, since, keep=1)
+        return second.count(), io.mark() - since
+
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(run, [5, 6, 7, 8])) == [(5, 1), (6, 1), (7, 1), (8, 1)]
+
+
 def test_partitions_do_not_matter(spark, small):
     from siltstone.plans import registry
 
