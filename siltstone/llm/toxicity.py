@@ -1,10 +1,11 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Only documents are labelled, not tokens, so the chain learns from bags: in a
-document of label 0 no token is toxic, in one of label 1 at least one is.  Both
-are probabilities that the chain's forward pass gives, and their likelihood is
-what training climbs; which tokens are toxic comes out of it.  A token's features
-are its word, its beginning and end, its shape, and the words before and after;
+Only documents are labelled, so tokens get their labels from them.  In a document
+of label 0 no token is toxic.  In one of label 1 the tokens are whose words stand
+out in such documents beyond chance and many times over; its other tokens stay
+open, and the forward pass with the labelled ones held fast against the free one
+is the likelihood that training climbs.  A document of label 1 without such a
+token is a bag: at least one of its tokens is toxic.  A token's features are its word, its beginning and end, its shape, and the words before and after;
 label transitions tie neighbours together.  Forward-backward marginals give
 offending spans, and their sum, maximum and density give the document's score
 through a logistic calibration on the document labels.
@@ -42,6 +43,8 @@ class ToxicityParams:
     affix: int = 3
     #: Log-likelihood ratio from which a word's odds are its weight before training; chance gives no word so much.
     evidence: float = 25.0
+    #: Log-odds from which a word of that evidence labels its tokens in documents of label 1: 20 times as common there.
+    labelled: float = 3.0
     #: Passes, steps that even a small sample gets, documents of a step, step size, and pull of all weights back to those before training.
     epochs: int = 8
     least_steps: int = 500
@@ -106,11 +109,12 @@ class Chain:
 
     # -- training -------------------------------------------------------------
 
-    def _pass(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log Z of windows (with the score of no toxic token as 0), P(label 1) of their tokens, and expected transitions."""
+    def _pass(self, x: np.ndarray, size: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log Z of windows (with the score of no toxic token as 0), P(label 1) of their tokens, and expected transitions, with the tokens `held` of label 1."""
         rows, width = x.shape[:2]
         live = np.arange(width)[None, :] < size[:, None]
-        e = np.exp(np.clip(self.emission(x), -30, 30))
+        e = np.clip(self.emission(x), -30, 30)
+        e = np.exp(e if held is None else np.where(held, 30.0, e))
         t = np.exp(self.step.reshape(2, 2))
         alpha, beta, total = np.ones((width, rows, 2)), np.ones((width, rows, 2)), np.zeros(rows)
         for i in range(width):
@@ -140,12 +144,16 @@ class Chain:
         names = ("word", "before", "after", "begin", "end", "shape")
         return self.bias[0] + sum(getattr(self, name)[x[..., k]] for k, name in enumerate(names))
 
-    def fit(self, x: np.ndarray, size: np.ndarray, owner: np.ndarray, toxic: np.ndarray, params: ToxicityParams) -> None:
-        """Climb the likelihood of the document labels, by Adam over batches of documents.
+    def fit(self, x: np.ndarray, size: np.ndarray, owner: np.ndarray, toxic: np.ndarray, sure: np.ndarray, params: ToxicityParams) -> None:
+        """Climb the likelihood of the labels, by Adam over batches of documents.
 
         `x` has the windows' tokens, `size` their numbers, `owner` each window's
-        document, in order, and `toxic` the documents' labels.
+        document, in order, `toxic` the documents' labels, and `sure` is true
+        for words that label their tokens.
         """
+        held = sure[x[..., 0]] & (toxic[owner] == 1)[:, None] & (np.arange(x.shape[1])[None, :] < size[:, None])
+        told = np.zeros(len(toxic), bool)
+        told[owner[held.any(1)]] = True
         rng = np.random.default_rng(params.seed)
         m, v, step = np.zeros_like(self.weights), np.zeros_like(self.weights), 0
         start = np.searchsorted(owner, np.arange(len(toxic) + 1))
@@ -166,13 +174,17 @@ class Chain:
                 load = np.bincount(own, weights=z, minlength=len(docs))
                 # d/dz of -log P: 1 where no token may be toxic, -1 / (exp z - 1) where one must be
                 pull = np.where(toxic[docs] == 1, -1 / np.expm1(np.clip(load, 1e-3, 30)), 1.0)[own]
-                gap = p * pull[:, None]
+                gap, moves = p * pull[:, None], joint * pull[:, None, None]
+                mine = np.flatnonzero(told[docs][own])
+                if len(mine):  # the free chain less the one with labelled tokens held
+                    _, fixed, steps = self._pass(part[mine], size[rows][mine], held[rows][mine])
+                    gap[mine], moves[mine] = p[mine] - fixed, joint[mine] - steps
                 grad = params.ridge * (self.weights - given)
                 for k, name in enumerate(names):
                     a, b = self.places[name]
                     grad[a:b] += np.bincount(part[..., k].ravel(), weights=gap.ravel(), minlength=b - a) / len(docs)
                 grad[slice(*self.places["bias"])] += gap.sum() / len(docs)
-                grad[slice(*self.places["step"])] += (joint * pull[:, None, None]).sum(0).ravel() / len(docs)
+                grad[slice(*self.places["step"])] += moves.sum(0).ravel() / len(docs)
                 step += 1
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
@@ -359,7 +371,8 @@ def train(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
     ids, owner = np.unique([r["doc_id"] for r in cut], return_inverse=True) if cut else (np.empty(0), np.empty(0, np.int64))
     toxic = np.zeros(len(ids), np.int64)
     toxic[owner] = [r["toxic"] for r in cut]
-    chain.fit(x, size, owner, toxic, params)
+    sure = np.array([False, *(r["odds"] >= params.labelled for r in vocabulary)])
+    chain.fit(x, size, owner, toxic, sure, params)
     model = documents.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

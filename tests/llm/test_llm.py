@@ -646,6 +646,29 @@ def test_toxicity(spark, awkward, empty):
     assert {r.score for r in toxicity.score(awkward, 0.0).collect()} == {0.0}
 
 
+def test_spans_of_offending_words(spark):
+    """Of documents with one to four of six offending words, in no order, nearly all are tagged in documents not learnt from, and hardly another word."""
+    rng = random.Random(31)
+    bad, plain = ["scumbag", "moronic", "vile", "Trashy", "idiocy", "loathsome"], [f"w{rng.randint(0, 10**5)}" for _ in range(400)]
+    rows = []
+    for k in range(900):
+        words_ = rng.choices(plain, k=rng.randint(15, 80))
+        if k % 3 == 0:
+            for w in rng.sample(bad, rng.randint(1, 4)):
+                words_.insert(rng.randint(0, len(words_)), w)
+        rows.append((k, " ".join(words_), int(k % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.train(frame.select("doc_id", "text"), frame.filter("doc_id < 600").select("doc_id", "toxic"))
+    hit = of = other = 0
+    for r in toxicity.score(frame.select("doc_id", "text"), chain).filter("doc_id >= 600").collect():
+        text = rows[r.doc_id][1]
+        tagged = [text[s.start : s.end] for s in r.spans]
+        hit, of = hit + sum(w in bad for w in tagged), of + sum(w in bad for w in text.split())
+        other += sum(w not in bad for w in tagged)
+        assert (r.score >= 0.7) == (rows[r.doc_id][2] == 1)
+    assert hit >= 0.95 * of and other <= 0.05 * of
+
+
 # -- 9: vectors -----------------------------------------------------------------------
 
 
