@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import models
@@ -23,6 +23,7 @@ from siltstone.operators import monitor as M
 from siltstone.operators import search as S
 from siltstone.operators.sections import sections
 from siltstone.operators.textindex import TextIndex
+from siltstone.plans import split_sql as X
 from siltstone.sources import io
 from siltstone.sources.schemas import orphans, unknown_values
 from siltstone.sources.snapshots import SnapshotTable
@@ -269,35 +270,95 @@ def chunk_fixed_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
 
 
-@query()
+_DOCS = "d AS (SELECT doc_id AS id, text FROM documents)"
+
+
+def _chunk_rows(strategy: str, table: str) -> str:
+    """Rows of a table (id, chunks) in the form of the chunk queries."""
+    rows = f"SELECT CAST(id AS VARCHAR) AS document_id, generate_subscripts(chunks, 1) - 1 AS i, unnest(chunks) AS text FROM {table}"
+    return f"SELECT document_id, document_id AS section_id, '{strategy}' AS strategy, CAST(i AS INTEGER) AS chunk_index, text, {X.token_count('text')} AS token_count FROM ({rows})"
+
+
+@query(f"WITH {_DOCS}, z AS (SELECT id, {X.structure('text')} AS chunks FROM d) {_chunk_rows('structure', 'z')}")
 def chunk_structure(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs packed to 1200 characters."""
     return C.chunk(_whole(spark, folder), "structure")
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), z AS (SELECT id, {X.structure('text')} AS chunks FROM d) {_chunk_rows('structure', 'z')}")
+def chunk_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where each line is a paragraph."""
+    return C.chunk(_whole(spark, folder).withColumn("raw_text", F.replace("raw_text", F.lit("\n"), F.lit("\n\n"))), "structure")
+
+
+@query(f"WITH {_DOCS}, {X.recursive('d', 'z')} {_chunk_rows('recursive', 'z')}")
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     """Coarse separators first, then finer ones, with overlap."""
     return C.chunk(_whole(spark, folder), "recursive")
 
 
-@query()
+@query(f"""WITH {_DOCS}, {X.sections_by_size('d', 's')}, t AS (SELECT id || '-' || n AS id, body AS text FROM s), {X.recursive('t', 'r')},
+u AS (SELECT 'recursive' AS strategy, unnest(chunks) AS text FROM r UNION ALL SELECT 'structure', unnest({X.structure('text')}) FROM t UNION ALL SELECT 'fixed', unnest({X.fixed('text')}) FROM t)
+SELECT strategy, count(*) AS n, CAST(sum({X.token_count('text')}) AS BIGINT) AS tokens, CAST(max(length(text)) AS INTEGER) AS longest FROM u GROUP BY strategy""")
 def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks, tokens and longest chunk of each strategy over sections."""
     return C.chunk_all(sections(_kb(spark, folder))).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("tokens"), F.max(F.length("text")).alias("longest"))
 
 
-@query()
+def _section_rows(table: str, prefix: str = "d-") -> str:
+    return f"SELECT printf('%s-s%03d', '{prefix}' || id, n) AS id, '{prefix}' || id AS document_id, title AS section_title, n AS section_order, body AS raw_text FROM {table}"
+
+
+@query(f"WITH {_DOCS}, {X.sections_by_size('d', 'z')} {_section_rows('z')}")
 def section_split(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of documents as books."""
     return sections(_kb(spark, folder))
 
 
-@query()
+def _lined(spark: SparkSession, folder: str, before: Callable[[Column], Column], every: int, place: int) -> DataFrame:
+    """documents as books, with what `before` says ahead of one line in `every`; its argument counts these from 0."""
+    line = lambda x, i: F.when(i % every == place, F.concat(before(F.floor(i / every).cast("int")), x)).otherwise(x)
+    return _kb(spark, folder).withColumn("raw_text", F.array_join(F.transform(F.split("raw_text", "\n"), line), "\n"))
+
+
+_CHAPTERS = """d AS (SELECT doc_id AS id, 'Chapter 1 Contents' || chr(10) || 'Chapter 2' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)),
+ lambda x, i: CASE WHEN (i - 1) % 10 = 5 THEN 'Chapter ' || ((i - 1) // 10 + 1) || '. Of lines' || chr(10) || x ELSE x END), chr(10)) AS text FROM documents)"""
+
+
+@query(f"WITH {_CHAPTERS}, {X.sections_by_chapter('d', 'z')} {_section_rows('z')}")
+def section_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as books with a list of contents and a chapter for each ten lines."""
+    books = _lined(spark, folder, lambda n: F.concat(F.lit("Chapter "), (n + 1).cast("string"), F.lit(". Of lines\n")), 10, 5)
+    return sections(books.withColumn("raw_text", F.concat(F.lit("Chapter 1 Contents\nChapter 2\n"), "raw_text")))
+
+
+_HEADED = """d AS (SELECT doc_id AS id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 = 2
+ THEN chr(13) || chr(10) || chr(13) || chr(10) || 'PART ' || chr(CAST(65 + (i - 1) // 3 % 26 AS INTEGER)) || chr(13) || chr(10) || chr(13) || chr(10) || x ELSE x END), chr(10)) AS text FROM documents)"""
+
+
+@query(f"WITH {_HEADED}, {X.sections_by_capitals('d', 'c')}, o AS (SELECT * FROM d WHERE id NOT IN (SELECT id FROM c_q)), {X.sections_by_size('o', 's')}, z AS (SELECT * FROM c UNION ALL SELECT * FROM s) {_section_rows('z')}")
+def section_capitals(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as books with a header in capitals for each three lines; too few headers don't count."""
+    return sections(_lined(spark, folder, lambda n: F.concat(F.lit("\r\n\r\nPART "), F.char(F.lit(65) + n % 26), F.lit("\r\n\r\n")), 3, 2))
+
+
+def _sheets(spark: SparkSession, folder: str, html: Column) -> DataFrame:
+    return sections(_t(spark, folder, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("factsheet").alias("source_type"), F.col("url").alias("title"), html_to_text(html).alias("raw_text")))
+
+
+@query(f"WITH p AS (SELECT page_id AS id, url AS title, {X.marked_text('html')} AS text FROM pages), {X.sections_by_heading('p', 'z')} {_section_rows('z', '')}")
 def factsheet_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of pages as fact sheets."""
-    pages = _t(spark, folder, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("factsheet").alias("source_type"), F.col("url").alias("title"), html_to_text("html").alias("raw_text"))
-    return sections(pages)
+    return _sheets(spark, folder, F.col("html"))
+
+
+_H2 = r"regexp_replace(html, '(</?)h1>', '\1h2>', 'g')"
+
+
+@query(f"WITH p AS (SELECT page_id AS id, url AS title, {X.marked_text(_H2)} AS text FROM pages), {X.sections_by_heading('p', 'z')} {_section_rows('z', '')}")
+def factsheet_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where a page's title is a heading, so that an introduction stands before it."""
+    return _sheets(spark, folder, F.regexp_replace("html", "(</?)h1>", "$1h2>"))
 
 
 _LINES = """l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -352,7 +413,7 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.md5(strip(collapse(F.col("text")))).alias("clean_md5"), F.length(book_body(F.col("text"))).alias("body_chars"))
 
 
-@query()
+@query(f"SELECT page_id, {X.marked_text('html')} AS text FROM pages")
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Marked text of every page."""
     return _t(spark, folder, "pages").select("page_id", html_to_text("html").alias("text"))
