@@ -128,13 +128,13 @@ def sections_by_capitals(source: str, out: str) -> str:
 
 
 def marked_text(x: str) -> str:
-    """Headings, paragraphs and items of pages as the given ones are: blocks end at the next block's tag, and four references occur."""
+    """Headings, paragraphs and items of pages as the given ones are: blocks end at the next block's tag, and four references occur, with or without their semicolon."""
     blocks = "p|li|ul|ol|nav|div|article|section|footer|header|aside|main|h1|h2|h3|h4|title|head|body|html"
     bare = rf"regexp_replace(regexp_replace(coalesce({x}, ''), '<!--.*?-->', '', 'gs'), '<(?:script|style)\b.*?</(?:script|style)>', '', 'gis')"
     parts = rf"string_split(regexp_replace({bare}, '(?i)(</?(?:{blocks})(?:\s[^>]*)?>)', chr(1) || '\1', 'g'), chr(1))"
     words = r"regexp_replace(b, '<[!/a-zA-Z][^>]*>', ' ', 'g')"
     for name, mark in (("quot", "chr(34)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("amp", "chr(38)")):
-        words = f"replace({words}, '&{name};', {mark})"
+        words = f"regexp_replace({words}, '&{name};?', {mark}, 'g')"
     words = rf"trim(regexp_replace({words}, '[ \t\n\r\f\v]+', ' ', 'g'))"
     line = f"""CASE WHEN {words} = '' THEN '' WHEN regexp_matches(b, '^<p[ >]') THEN {words} WHEN regexp_matches(b, '^<li[ >]') THEN '- ' || {words}
  WHEN regexp_matches(b, '^<h2[ >]') THEN chr(10) || '## ' || {words} || chr(10) WHEN regexp_matches(b, '^<h[34][ >]') THEN chr(10) || '### ' || {words} || chr(10) ELSE '' END"""
