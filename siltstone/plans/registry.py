@@ -343,7 +343,7 @@ def section_capitals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sheets(spark: SparkSession, folder: str, html: Column) -> DataFrame:
-    return sections(_t(spark, folder, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("factsheet").alias("source_type"), F.col("url").alias("title"), html_to_text(html).alias("raw_text")))
+    return sections(io.spread(_t(spark, folder, "pages").select("page_id", "url", "html")).select(F.col("page_id").cast("string").alias("id"), F.lit("factsheet").alias("source_type"), F.col("url").alias("title"), html_to_text(html).alias("raw_text")))
 
 
 @query(f"WITH p AS (SELECT page_id AS id, url AS title, {X.marked_text('html')} AS text FROM pages), {X.sections_by_heading('p', 'z')} {_section_rows('z', '')}")
@@ -416,7 +416,7 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT page_id, {X.marked_text('html')} AS text FROM pages")
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Marked text of every page."""
-    return _t(spark, folder, "pages").select("page_id", html_to_text("html").alias("text"))
+    return io.spread(_t(spark, folder, "pages").select("page_id", "html")).select("page_id", html_to_text("html").alias("text"))
 
 
 # -- monitoring and relational forms ---------------------------------------------
