@@ -26,7 +26,7 @@ from siltstone.operators.textindex import TextIndex
 from siltstone.plans import split_sql as X
 from siltstone.sources import io
 from siltstone.sources.schemas import orphans, unknown_values
-from siltstone.sources.snapshots import SnapshotTable
+from siltstone.sources.snapshots import Conflict, SnapshotTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
@@ -571,6 +571,130 @@ def dense_ids(spark: SparkSession, folder: str) -> DataFrame:
     return io.dense_ids(_t(spark, folder, "documents").select("source", "doc_id"), "source", "doc_id").select(F.col("id").cast("long").alias("id"), "doc_id")
 
 
+# -- records that are written and read back --------------------------------------
+
+def _written(spark: SparkSession, write: Callable[[str], None]) -> str:
+    """A folder that `write` has filled."""
+    path = io.shared_dir(spark)
+    write(path)
+    io.passing(spark, path)
+    return path
+
+
+def _half_even(mean: str, places: int) -> str:
+    """SQL of a mean that isn't negative, rounded half to even by its decimal form."""
+    x = f"(CAST({mean} AS DECIMAL(18, 9)) * {10**places})"
+    return f"CAST(CASE WHEN {x} - floor({x}) = 0.5 THEN floor({x}) + floor({x}) % 2 ELSE floor({x} + 0.5) END AS DOUBLE) / {10**places}"
+
+
+_AVERAGED = f"""WITH {_FEEDBACK}, j AS (SELECT printf('v%d', id % 10) AS config, coalesce(relevance, 'UNPARSEABLE') AS r, n_chars % 97 AS tok, (n_chars % 11) / 4.0 AS sec FROM f JOIN documents d ON d.doc_id = f.id)"""
+
+
+@query(f"""{_AVERAGED} SELECT config, count(*) AS sample_size, count(*) FILTER (r = 'UNPARSEABLE') AS unparseable, {_half_even('avg(tok)', 1)} AS avg_answer_tokens, {_half_even('avg(sec)', 2)} AS avg_latency_seconds FROM j GROUP BY config""")
+def ab_averages(spark: SparkSession, folder: str) -> DataFrame:
+    """Rounded means of ten configurations' records: their sizes are the tokens, their seconds come in quarters."""
+    f = _feedback(spark, folder).join(_t(spark, folder, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    records = f.select(F.format_string("v%d", F.col("id") % 10).alias("config"), F.coalesce("relevance", F.lit(models.UNPARSEABLE)).alias("relevance"), (F.col("n_chars") % 97).alias("answer_tokens"), (F.col("n_chars") % 11 / 4).alias("latency_seconds"))
+    return E.summarise(records).select("config", "sample_size", "unparseable", "avg_answer_tokens", "avg_latency_seconds")
+
+
+@query(f"""WITH {_NEAR}, f AS (SELECT qid, min(rank) AS first FROM r WHERE rank <= 60 AND label = q_label GROUP BY qid),
+q AS (SELECT vec_id AS qid, CAST(label AS VARCHAR) AS strategy, CASE WHEN vec_id % 100 = 0 THEN 'even' ELSE 'odd' END AS method FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT strategy, method, round_even(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round_even(avg(coalesce(CAST(1 AS DOUBLE) / first, 0)), 4) AS mrr FROM q LEFT JOIN f USING (qid) GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY mrr DESC, hit_rate DESC, strategy, method) AS place, strategy || ' · ' || method AS label, hit_rate, mrr FROM s""")
+def evaluation_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of the nearest sixty by label and half of the questions, written as one JSON object, read back and ranked."""
+    asked, v = _asked(spark, folder), _vectors(spark, folder)
+    placed = nearest(asked, v, S.POOL, skip_self=True).join(v.select("id", F.col("label").alias("target")), "id")
+    named = asked.select("qid", F.col("label").cast("string").alias("strategy"), F.when(F.col("qid") % 100 == 0, "even").otherwise("odd").alias("method"))
+    ranks = io.settle(E.reciprocal_ranks(asked.select("qid", F.col("label").alias("target")), placed).join(named, "qid"))
+    path = _written(spark, lambda p: io.write_evaluation(E.hit_rate_mrr(ranks, "strategy", "method"), S.POOL, ranks.count(), p))
+    best = E.best_first(io.read_evaluation(spark, path))
+    place = F.row_number().over(Window.orderBy(F.desc("mrr"), F.desc("hit_rate"), "strategy", "method"))
+    return best.select(place.cast("long").alias("place"), "label", "hit_rate", "mrr")
+
+
+_JUDGED = """s AS (SELECT doc_id, n_chars FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 150),
+c AS (SELECT 'v1_grounded' AS config, 3 AS m UNION ALL SELECT 'v2_direct', 4),
+j AS (SELECT config, doc_id, CASE WHEN n_chars % m = 0 THEN 'RELEVANT' WHEN n_chars % m = 1 THEN 'NON_RELEVANT' WHEN n_chars % m = 2 THEN 'PARTLY_RELEVANT' ELSE 'UNPARSEABLE' END AS relevance FROM s, c),
+t AS (SELECT config, count(*) AS n, count(*) FILTER (relevance = 'RELEVANT') AS good, count(*) FILTER (relevance = 'NON_RELEVANT') AS bad FROM j GROUP BY config)"""
+
+
+@query(f"""WITH {_JUDGED}, w AS (SELECT config AS winner FROM t ORDER BY good / CAST(n AS DOUBLE) DESC, bad / CAST(n AS DOUBLE), config LIMIT 1)
+SELECT config, CAST(42 AS INTEGER) AS seed, n AS sample_size, winner, good AS relevant, j.doc_id, j.relevance FROM t JOIN j USING (config), w""")
+def comparison_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Two configurations judged on one fixed sample, by sizes; the payload with its summaries, winner and records, read back."""
+    sample = E.fixed_sample(_t(spark, folder, "documents").select("doc_id", "n_chars"), F.col("doc_id"))
+    rest = lambda m: F.col("n_chars") % m
+    told = lambda m: F.when(rest(m) == 0, "RELEVANT").when(rest(m) == 1, "NON_RELEVANT").when(rest(m) == 2, "PARTLY_RELEVANT").otherwise(models.UNPARSEABLE)
+    each = F.array(*(F.struct(F.lit(c).alias("config"), told(m).alias("relevance")) for c, m in (("v1_grounded", 3), ("v2_direct", 4))))
+    records = io.settle(sample.select("doc_id", F.col("n_chars").alias("answer_tokens"), F.explode(each).alias("j")).select("j.config", "doc_id", "j.relevance", "answer_tokens", F.lit(0.0).alias("latency_seconds")))
+    sums = E.summarise(records)
+    best = E.winner(sums).first()
+    path = _written(spark, lambda p: io.write_comparison(records.select("config", "doc_id", "relevance"), sums, E.SEED, best["config"] if best else "", p))
+    kind = "seed int, sample_size long, winner string, configs map<string, struct<relevant:long>>, records map<string, array<struct<doc_id:long,relevance:string>>>"
+    got = spark.read.schema(kind).json(path)
+    each = got.select("seed", "sample_size", "winner", "configs", F.explode("records").alias("config", "r")).withColumn("r", F.explode("r"))
+    return each.select("config", "seed", "sample_size", "winner", F.col("configs")[F.col("config")]["relevant"].alias("relevant"), "r.doc_id", "r.relevance")
+
+
+@query(r"""WITH q AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(left(x, 80), chr(9) || chr(10) || chr(13) || ' ')), lambda x: x <> '')[1:5] AS q FROM documents WHERE doc_id % 4 < 2)
+SELECT doc_id, generate_subscripts(q, 1) - 1 AS i, unnest(q) AS question FROM q""")
+def reply_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions in JSON replies, a reply for each document: its lines and a number for half of them, else no list or no JSON."""
+    d, n = io.spread(_t(spark, folder, "documents").select("doc_id", "text")), F.col("doc_id") % 4
+    lines = F.transform(F.split("text", "\n"), lambda x: F.to_json(F.struct(F.concat(F.lit("  "), F.substring(x, 1, 80), F.lit(" \t")).alias("x"))))
+    items = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r'^\{"x":|\}$', "")), ",")
+    reply = F.when(n < 2, F.concat(F.lit('{"questions":[17,'), items, F.lit("]}"))).when(n == 2, F.to_json(F.struct(F.struct("text").alias("questions")))).otherwise(F.col("text"))
+    told = d.select("doc_id", F.slice(models.question_list(reply), 1, models.QUESTIONS).alias("q"))
+    return told.select("doc_id", F.posexplode("q").alias("i", "question")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(f"""WITH {_TURNS} SELECT id, printf('%s · %d tokens · %.1fs · $%.5f', CASE WHEN id % 2 = 0 THEN 'gpt-5.6-luna' ELSE 'gpt-5.6-sol' END, total_tokens, CAST(response_time AS DOUBLE), CAST(cost AS DOUBLE)) AS caption,
+printf('%.1f%%', id % 8 / 8.0 * 100) AS share, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE -1 END AS INTEGER) AS score FROM t WHERE cost IS NOT NULL""")
+def turn_captions(spark: SparkSession, folder: str) -> DataFrame:
+    """What is shown beside a turn, shares as percentages, and scores of thumbs; a turn without a cost has no caption."""
+    t, n = _turns(spark, folder).filter("cost IS NOT NULL"), F.col("id")
+    model = F.when(n % 2 == 0, "gpt-5.6-luna").otherwise("gpt-5.6-sol")
+    return t.select("id", M.caption(model, F.col("total_tokens"), F.col("response_time"), F.col("cost").cast("double")).alias("caption"), M.percent(n % 8 / 8).alias("share"), M.sign(n % 3 == 0).alias("score"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'all' END AS batch FROM documents")
+def results_once(spark: SparkSession, folder: str) -> DataFrame:
+    """A result for each document, made in two batches that overlap and come twice."""
+    d = _t(spark, folder, "documents").select("doc_id", "text")
+    batches = {"labelled": d.join(_t(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi"), "all": d}
+    table = SnapshotTable(spark, io.shared_dir(spark))
+    for name in ("labelled", "all", "labelled", "all"):
+        table.append_once(lambda todo, name=name: todo.select("doc_id", F.md5("text").alias("text_md5"), F.lit(name).alias("batch")), batches[name], "doc_id", name)
+    io.passing(spark, table.path)
+    return table.read()
+
+
+@query("SELECT item_id AS section_id, text AS question, CAST(2 AS INTEGER) AS version FROM benchmark")
+def replace_ground_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """Items as a question set in place of an earlier one (documents' first lines); a writer who started from that one as well loses."""
+    first = _t(spark, folder, "documents").select(F.col("doc_id").alias("section_id"), F.split("text", "\n")[0].alias("question"))
+    table = SnapshotTable(spark, io.shared_dir(spark))
+    base = table.replace(first)
+    io.passing(spark, table.path)
+    won = table.replace(_t(spark, folder, "benchmark").select(F.col("item_id").alias("section_id"), F.col("text").alias("question")), base)
+    try:
+        table.replace(first, base)
+    except Conflict:
+        return table.read().withColumn("version", F.lit(won.version))
+    raise AssertionError("two writers have replaced one version")
+
+
+@query("SELECT conv_id, turn, role, md5(CASE WHEN role = 'assistant' THEN 'new: ' || text ELSE text END) AS text_md5 FROM conversations WHERE role <> 'assistant' OR text <> ''")
+def replace_strategy(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns in a folder a role, of which one role's are then replaced whole."""
+    c = _t(spark, folder, "conversations").filter("role IS NOT NULL").select("conv_id", "turn", "text", "role")
+    path = _written(spark, lambda p: io.replace_partitions(c, p, "role"))
+    io.replace_partitions(c.filter("role = 'assistant' AND text <> ''").withColumn("text", F.concat(F.lit("new: "), "text")), path, "role")
+    return spark.read.schema(c.schema).parquet(path).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
 # -- retrieval quality -------------------------------------------------------------
 
 @query()
