@@ -197,7 +197,9 @@ def identify(docs: DataFrame, net: ByteNet | None, label: str = "lang_pred", sco
     """Add the columns `label` and `score_name` to `docs`, which needs text.
 
     Null and letterless texts give `und` with score 0; so does every text when
-    there was nothing to learn from.  Repeated rows are scored alike.  Columns
+    there was nothing to learn from.  Repeated rows are scored alike; of languages
+    with equal scores the one first in order is taken.  Texts of any length are
+    scored whole, window by window, and an empty table gives an empty result.  Columns
     of `docs` with the added names are replaced; choose others to keep them.
     """
     docs = docs.drop(label, score_name)

@@ -313,7 +313,7 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = True, check: bool = Tru
     only for texts that hold the mark itself, which the normaliser makes a
     space.  Null and empty texts have no pieces and round-trip to empty.
     Repeated rows repeat; other columns are ignored; texts of any length are
-    encoded whole.
+    encoded whole; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

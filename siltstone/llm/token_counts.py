@@ -90,8 +90,9 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, fields: tuple[s
     """One row for each row of `docs`: doc_id, the counts, and the counts by field and by section in order.
 
     Null fields count as empty; a row without text has no tokens and no
-    sections.  Whole texts are encoded, each once.  Repeated rows repeat;
-    other columns are ignored.
+    sections.  Whole texts are encoded, each once, whatever their length.
+    Repeated rows repeat; other columns are ignored; an empty table gives an
+    empty result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,6 +87,9 @@ def test_language(spark, docs, awkward, empty):
     assert language_id.train(empty) is None and {r.lang_pred for r in language_id.identify(awkward, None).collect()} == {"und"}
     kept = language_id.identify(awkward, net, "_l", "_s")
     assert set(awkward.columns) < set(kept.columns) and {r.score for r in kept.collect()} == {0.5}
+    net.dense[:], net.bias[:] = 0, 0  # every language is as likely
+    tied = language_id.identify(awkward, net).filter(F.col("text").rlike(r"\p{L}")).collect()
+    assert tied and {r.lang_pred for r in tied} == {min(net.languages)}
 
 
 # -- 2: pieces -------------------------------------------------------------------
@@ -340,7 +343,7 @@ def brute_windows(text, items, size=10):
 @pytest.mark.parametrize("bound", [100_000, 0])
 def test_decontaminate(spark, awkward, empty, bound):
     ten = "q w e r t y u i o p a s d f"
-    rows = [*AWKWARD, (20, f"x {ten.upper()}, tail q w e"), (21, "Short É item, and ab's"), (22, ten + " " + ten), (22, "clean")]
+    rows = [*AWKWARD, (20, f"x {ten.upper()}, tail q w e"), (21, "Short É item, and ab's"), (22, ten + " " + ten), (22, "clean"), (23, "zz " * 200_000 + ten)]
     items = [(1, ten), (2, "short É item"), (2, "SHORT É item"), (3, None), (4, "..."), (10, "q w e r t y u i o p"), (None, "ab s")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
