@@ -174,12 +174,25 @@ def test_boolean_questions_with_the_word_or(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "boolean_match")
 
 
+def test_stored_questions_with_the_word_or(spark, tmp_path):
+    _boolean_tables(spark, tmp_path)
+    _same_as_sql(spark, tmp_path, "boolean_match_stored")
+
+
 def test_phrases_of_very_long_texts(spark):
     text, asked, want = _far_phrases(spark)
     chunks = spark.createDataFrame([(1, text)], "id long, text string")
     assert {r.qid for r in S.boolean_matches(chunks, asked, analyser="words").collect()} == want
 
 
+def test_stored_phrases_of_very_long_texts(spark, tmp_path):
+    text, asked, want = _far_phrases(spark)
+    index = TextIndex(spark, str(tmp_path / "index"), analyser="words", buckets=4)
+    index.upsert(spark.createDataFrame([(1, text)], "id long, text string"))
+    none = spark.createDataFrame([], "id long, text string")
+    assert {r.qid for r in S.boolean_matches(none, asked, index).collect()} == want
+
+
 def test_index_after_upserts_is_a_rebuild(spark, tmp_path):
     """Upserts, replaced and deleted texts, merges of segments: the same postings, ids and answers as an index built at once."""
     rng = random.Random(5)
