@@ -39,11 +39,15 @@ def evaluate(chunks: DataFrame, questions: DataFrame, strategies: tuple[str, ...
     and the vector results, and the fusion of both is the hybrid one.  `seconds`
     is the time from start to end of a combination's own searches; those that
     the hybrid ones share with the rankers count with the rankers, so that all
-    seconds together are within the time of the whole.
+    seconds together are within the time of the whole.  A strategy's chunks, and
+    the questions, are made once and written, as several searches and joins
+    read them; the chunks in several files a core, as a small one is one task.
     """
     parts, spent = [], []
+    files = 4 * chunks.sparkSession.sparkContext.defaultParallelism
+    questions = settle(questions)
     for strategy in strategies:
-        own = chunks.filter(F.col("strategy") == strategy)
+        own = settle(chunks.filter(F.col("strategy") == strategy).select("id", "section_id", "text", "vector").repartition(files, "id"))
         search = {"keyword": lambda own=own: keyword(own, questions, POOL), "vector": lambda own=own: vector(own, questions.select("qid", "vector"), POOL)}
         pools = {m: timed(f) for m, f in search.items() if m in methods or "hybrid" in methods}
         for method in methods:

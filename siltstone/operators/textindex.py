@@ -55,7 +55,7 @@ def postings(chunks: DataFrame, analyser: str = lexer.ENGLISH, wanted: frozenset
 
             for k in range(b.num_rows):
                 found = lexer.lexemes(b.column(1)[k].as_py(), analyser)
-                for lexeme in found if wanted is None else found.keys() & wanted:
+                for lexeme in found if wanted is None else [x for x in found if x in wanted]:  # `&` would go through all that are wanted, for each text
                     names.append(lexeme)
                     rows.append(k)
                     places.append(found[lexeme])

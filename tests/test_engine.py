@@ -278,3 +278,20 @@ def test_retrieval_evaluation_is_whole(spark, small):
     assert sorted((r.strategy, r.method) for r in rows) == sorted((s, m) for s in ("fixed", "structure", "recursive") for m in ("keyword", "vector", "hybrid"))
     assert all(r.seconds > 0 for r in rows) and sum(r.seconds for r in rows) <= time.perf_counter() - began
     assert len({r.n_questions for r in rows}) == 1 and all(0 <= r.mrr <= r.hit_rate <= 1 for r in rows)
+
+
+def test_evaluation_cuts_each_chunk_once(spark):
+    """Chunks are made once a strategy, whatever searches and joins read them, and lie in files enough for all cores."""
+    made = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        made.add(1)
+        return text
+
+    rows = [(k, s, k, f"word{k} common") for k in range(40) for s in ("a", "b")]
+    texts = spark.createDataFrame(rows, "id long, strategy string, section_id long, raw string")
+    chunks = texts.withColumn("text", F.udf(cut)("raw")).withColumn("vector", F.array(F.cos("id"), F.sin("id")))
+    asked = spark.createDataFrame([(1, "word7", 7, [1.0, 0.0]), (2, "word9 common", 9, [1.0, 0.0])], "qid long, text string, target long, vector array<double>")
+    got = {(r.strategy, r.method): (r.hit_rate, r.n_questions) for r in E.evaluate(chunks, asked, ("a", "b")).collect()}
+    assert got["a", "keyword"] == got["b", "keyword"] == (1.0, 2) and len(got) == 6
+    assert made.value == len(rows)
