@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.arrow import small_batches
 from siltstone.sources.io import forget, mark, passing, settle, shared_dir
 
 __all__ = ["bounded_sample", "fold", "forget", "fresh", "in_arrow", "join_anew", "mark", "passing", "settle", "shared_dir", "table", "tidy", "unit_hash"]
-_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-_DEFAULT_BYTES = 64 << 20
 
 
 def tidy() -> None:
@@ -32,9 +31,7 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         yield from run(source)
         tidy()
 
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH, str(_DEFAULT_BYTES)).rstrip("b") == str(_DEFAULT_BYTES):
-        conf.set(_BATCH, str(_BATCH_BYTES))
+    small_batches(df.sparkSession)
     return df.mapInArrow(whole, schema)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import lexer
+from siltstone.functions.arrow import small_batches
 from siltstone.sources.io import settle
 from siltstone.sources.snapshots import Snapshot, SnapshotTable
 
@@ -65,6 +66,7 @@ def postings(chunks: DataFrame, analyser: str = lexer.ENGLISH, wanted: frozenset
                     names, rows, places, size = [], [], [], 0
             yield packed()
 
+    small_batches(chunks.sparkSession)
     return chunks.select("id", "text").filter("id IS NOT NULL").mapInArrow(read, kind)
 
 

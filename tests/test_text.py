@@ -148,3 +148,20 @@ def test_keyword_is_brute_force(spark, small):
         want += [(r.item_id, k, i, round(-d, 9)) for k, (d, i) in enumerate(hits[:5], 1)]
     got = sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in fts_english_rank(spark, small).collect())
     assert got == sorted(want) and got
+
+
+def test_batches_of_texts_are_small(spark):
+    """A worker gets 8 MB of texts at a time, not a partition, unless the session has set another size."""
+    from pyspark.sql import functions as F
+
+    from siltstone.functions.arrow import series
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    rows = series("int")(lambda given: given.map(lambda _: len(given)))
+    try:
+        for size, most in ((None, 9), (4 << 20, 5)):
+            spark.conf.set(name, str(size)) if size else spark.conf.unset(name)
+            assert 1 < texts.select(rows("t").alias("n")).agg(F.max("n")).first()[0] <= most
+    finally:
+        spark.conf.unset(name)
