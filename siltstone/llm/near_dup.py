@@ -15,7 +15,7 @@ full sets, block by block, and again yield spanning forests, now of links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -121,18 +121,62 @@ def sketch(docs: DataFrame, params: NearDupParams) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text_key", "text"), run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
-def _dealt(members: DataFrame, unit: str, columns: tuple[str, ...], block: int, weight: str = "") -> DataFrame:
-    """Rows of each unit that has two rows or more, as pairs of blocks: sorted by unit, i, j, with each row's own block.
+def _placed(members: DataFrame, unit: str, block: int, weight: str = "") -> DataFrame:
+    """Rows of each unit that has two rows or more, with a block of their own of `blocks`.
 
     A block has about `block` rows, and about a million of `weight` if that is given.
     """
     load = F.sum(weight) if weight else F.lit(0)
     sizes = members.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), load.alias("load")).filter("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("load") / 1e6)).cast("int")
-    placed = join_anew(members, sizes.select(unit, blocks.alias("blocks")), unit).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col(unit).alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", *columns)
-    return dealt.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return join_anew(members, sizes.select(unit, blocks.alias("blocks")), unit).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _linked(members: DataFrame, unit: str, columns: tuple[str, ...], block: int, weight: str, near: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Edges (a, b) that connect what the pairs within each unit connect; `near` says which rows of two sides are pairs.
+
+    Each block is compared with itself first, and its rows are named after the
+    smallest id they reach in it.  Blocks then meet in pairs, which yield a
+    forest of those names: where a block hangs together, a single edge, so that
+    edges don't multiply with the blocks of a large unit.
+    """
+
+    def inside(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _by_unit(source):
+            rows = np.arange(own.num_rows)
+            ids, many = own.column("id").to_numpy(), own.column("blocks").to_numpy() > 1
+            i, j = np.nonzero(near(own, rows, rows) & ~np.tri(len(rows), dtype=bool)) if len(rows) > 1 else (rows[:0], rows[:0])
+            label = _labels(ids, i, j)
+            keep = np.flatnonzero(many | (label != ids))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([own.column("unit").combine_chunks().take(pa.array(keep)), pa.array(ids[keep]), pa.array(label[keep]), *(pa.array(own.column(c).to_numpy()[keep]) for c in ("block", "blocks"))], ["unit", "id", "label", "block", "blocks"])
+
+    def across(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, both in _by_unit(source):
+            block = both.column("block").to_numpy()
+            one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min())
+            if not len(two):
+                continue
+            names, at = np.unique(both.column("label").to_numpy(), return_inverse=True)
+            i, j = np.nonzero(near(both, one, two))
+            a, b = at[one[i]], at[two[j]]
+            keep = _forest(len(names), a, b)
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(names[a[keep]]), pa.array(names[b[keep]])], ["a", "b"])
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("unit", "i", "j", "block", "id", *more, *columns).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+
+    own = _placed(members, unit, block, weight).withColumns({"unit": F.col(unit), "i": F.col("block"), "j": F.col("block")})
+    named = settle(in_arrow(dealt(own, "blocks"), inside, "unit long, id long, label long, block int, blocks int"))
+    edges = named.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    large = named.filter("blocks > 1")
+    if large.isEmpty():
+        return edges.distinct()
+    other = F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))
+    pairs = members.withColumnRenamed(unit, "unit").join(large, ["unit", "id"]).withColumn("other", other)
+    pairs = pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return edges.union(in_arrow(dealt(pairs, "label"), across, "a long, b long")).distinct()
 
 
 def _by_unit(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
@@ -155,13 +199,6 @@ def _with_end(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def _sides(block: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the two sides that a unit compares; both are the whole for a unit of one block."""
-    if apart:
-        return np.flatnonzero(block == block.min()), np.flatnonzero(block != block.min())
-    return (np.arange(len(block)),) * 2
-
-
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     """Positions of pairs (a, b) that make a spanning forest of n nodes."""
     parent = list(range(n))
@@ -184,17 +221,22 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
-def _edges(ids: np.ndarray, one: np.ndarray, two: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
-    i, j = np.nonzero(linked)
-    a, b = one[i], two[j]
+def _labels(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest id that each row reaches over pairs (a, b) of rows."""
+    label = ids.copy()
     keep = _forest(len(ids), a, b)
-    if not keep:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], ["a", "b"])
+    a, b = a[keep], b[keep]
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            break
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+    return label
 
 
 def likely(members: DataFrame, params: NearDupParams) -> DataFrame:
-    """A spanning forest (a, b) of each bucket's pairs whose estimated similarity is within reach.
+    """Edges (a, b) that connect each bucket's pairs whose estimated similarity is within reach.
 
     `members` has bucket, id, bits (the packed signature).  The estimate is the
     share of equal low bits, corrected for chance, and so a bound on the count
@@ -203,59 +245,44 @@ def likely(members: DataFrame, params: NearDupParams) -> DataFrame:
     limit, bits = params.most_unequal, params.bits
     ones = np.uint64(sum(1 << i for i in range(0, 64, bits)))
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for apart, unit in _by_unit(source):
-            sig = np.array(unit.column("bits").combine_chunks().flatten()).astype(np.int64).view(np.uint64).reshape(-1, params.longs)
-            one, two = _sides(unit.column("block").to_numpy(), apart)
-            unequal = np.zeros((len(one), len(two)), np.int32)
-            for i in range(params.longs):
-                z = sig[one, None, i] ^ sig[None, two, i]
-                k = 1
-                while k < bits:
-                    z |= z >> np.uint64(k)
-                    k *= 2
-                unequal += np.bitwise_count(z & ones)
-            near = unequal <= limit
-            if not apart:
-                near &= ~np.tri(len(one), dtype=bool)
-            got = _edges(unit.column("id").to_numpy(), one, two, near)
-            if got is not None:
-                yield got
-
-    return in_arrow(_dealt(members, "bucket", ("bits",), params.block), run, "a long, b long").distinct()
+    def near(unit: pa.Table, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        sig = np.array(unit.column("bits").combine_chunks().flatten()).astype(np.int64).view(np.uint64).reshape(-1, params.longs)
+        unequal = np.zeros((len(one), len(two)), np.int32)
+        for i in range(params.longs):
+            z = sig[one, None, i] ^ sig[None, two, i]
+            k = 1
+            while k < bits:
+                z |= z >> np.uint64(k)
+                k *= 2
+            unequal += np.bitwise_count(z & ones)
+        return unequal <= limit
+
+    return _linked(members, "bucket", ("bits",), params.block, "", near)
 
 
 def confirmed(families: DataFrame, params: NearDupParams) -> DataFrame:
-    """A spanning forest (a, b) of each family's links, judged on full sets.
+    """Edges (a, b) that connect each family's links, judged on full sets.
 
     `families` has family, id, n_shingles, shingles.  The intersections of one row with all
     of the other block come from that block's postings at once.
     """
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for apart, unit in _by_unit(source):
-            sets = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
-            one, two = _sides(unit.column("block").to_numpy(), apart)
-            if not len(one) or not len(two):
-                continue
-            size = np.array([len(x) for x in sets])
-            everything = np.concatenate([sets[k] for k in two])
-            order = np.argsort(everything, kind="stable")
-            values, owner = everything[order], np.repeat(np.arange(len(two)), size[two])[order]
-            linked = np.zeros((len(one), len(two)), bool)
-            for r, k in enumerate(one):
-                lo, hi = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
-                run_length = hi - lo
-                at = np.repeat(lo - np.concatenate(([0], np.cumsum(run_length)[:-1])), run_length) + np.arange(run_length.sum())
-                both = np.bincount(owner[at], minlength=len(two))
-                linked[r] = 100 * both >= params.percent * (size[k] + size[two] - both)
-            if not apart:
-                linked &= ~np.tri(len(one), dtype=bool)
-            got = _edges(unit.column("id").to_numpy(), one, two, linked)
-            if got is not None:
-                yield got
-
-    return in_arrow(_dealt(families, "family", ("shingles",), params.block, "n_shingles"), run, "a long, b long").distinct()
+    def near(unit: pa.Table, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        sets = [np.frombuffer(x, np.uint64) for x in unit.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        everything = np.concatenate([sets[k] for k in two])
+        order = np.argsort(everything, kind="stable")
+        values, owner = everything[order], np.repeat(np.arange(len(two)), size[two])[order]
+        linked = np.zeros((len(one), len(two)), bool)
+        for r, k in enumerate(one):
+            lo, hi = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+            run_length = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(run_length)[:-1])), run_length) + np.arange(run_length.sum())
+            both = np.bincount(owner[at], minlength=len(two))
+            linked[r] = 100 * both >= params.percent * (size[k] + size[two] - both)
+        return linked
+
+    return _linked(families, "family", ("shingles",), params.block, "n_shingles", near)
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:

@@ -216,3 +216,18 @@ def test_fill_middle_query(spark, small):
     for r in got:
         *rest, text = brute_fim(r.doc_id, texts[r.doc_id])
         assert list(r)[1:] == [*rest, sha(text), sha(texts[r.doc_id] or "")]
+
+
+def test_edges_of_a_large_family_do_not_multiply_with_its_blocks(spark):
+    """A bucket of equal signatures in many blocks yields an edge a row, and one a pair of blocks, not a forest for each pair."""
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.graph import components
+    from siltstone.llm.near_dup import NearDupParams, likely
+
+    params = NearDupParams(block=16)
+    rows = spark.range(320).select(F.lit(7).cast("long").alias("bucket"), "id", F.array_repeat(F.lit(5).cast("long"), params.longs).alias("bits"))
+    edges = likely(rows, params)
+    found = components(edges)
+    assert found.filter("component = 0").count() == 320
+    assert edges.count() <= 320 + 20 * 19 // 2
