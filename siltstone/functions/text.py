@@ -32,9 +32,14 @@ def book_body(c: Column) -> Column:
     return strip(F.when((start > 0) & (end > 0), between).otherwise(c))
 
 
+def lower(c: Column) -> Column:
+    """Lower case letter by letter, as SQL engines have it: a sigma doesn't depend on what follows, a dotted I is one letter."""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def words(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 #: Tokens whose concatenation is the text: a run of non-space with the space after it.

@@ -179,6 +179,23 @@ def test_stored_questions_with_the_word_or(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "boolean_match_stored")
 
 
+def _odd_tables(spark, folder):
+    """Labelled documents without a source or a text, labels and vectors without a key, and letters whose lower case depends on their neighbours or is two characters."""
+    items = [(1, "or tea x ea"), (2, "p q web z"), (3, "ΟΔΟΣ p q İx"), (4, "p q ΟΔΟΣ z"), (5, None), (6, ""), (7, "ΟΔΟΣ p")]
+    texts = ["or tea", "or tea", "web", None, None, "οδοσ p", "ΟΔΟΣ P", "ΟΔΟΣ İX", "ΟΔΟΣ", "ix", "", "or tea", "or tea"]
+    sources = [None, "", "web", "web", None, "a", "a", "ΟΔΟΣ", "a", "a", "web", None, "a"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(k, *x) for k, x in enumerate(zip(texts, sources, strict=True))], "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([*((k, 0) for k in range(11)), (1, None), (5, 1), (12, 1), (99, 1), (None, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(12, None, 0), (12, [1.0], 0), (None, [1.0], 0), (99, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+
+
+@pytest.mark.parametrize("name", ["boolean_match", "boolean_match_stored", "lexical_match"])
+def test_odd_rows_are_as_in_sql(spark, tmp_path, name):
+    _odd_tables(spark, tmp_path)
+    _same_as_sql(spark, tmp_path, name)
+
+
 def test_phrases_of_very_long_texts(spark):
     text, asked, want = _far_phrases(spark)
     chunks = spark.createDataFrame([(1, text)], "id long, text string")
