@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def _likely(wanted: DataFrame, counts: DataFrame, postings: DataFrame, *keys: st
     own = ["qid", *keys]
     w = Window.partitionBy(*own).orderBy(F.coalesce("n", F.lit(0)), "word")
     few = wanted.join(counts, "word", "left").withColumn("k", F.row_number().over(w)).filter("k <= 3")
-    few = few.withColumn("most", F.max("k").over(Window.partitionBy(*own))).select(*own, "word", "most")
+    few = settle(few.withColumn("most", F.max("k").over(Window.partitionBy(*own))).select(*own, "word", "most"))  # of known size, so that a few are sent to the postings
     both = few.join(postings.select("word", "id"), "word").groupBy(*own, "id", "most").agg(F.count(F.lit(1)).alias("found"))
     return both.filter("found = most").select("qid", "id")
 
@@ -117,11 +119,15 @@ def boolean_matches(chunks: DataFrame, questions: DataFrame, stored: TextIndex |
     analyser = stored.analyser if stored is not None else analyser
     asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
     each = settle(asked.select("qid", F.explode(fts.terms("question", analyser)).alias("t")).select("qid", "t.*"))
-    index = stored.open(each) if stored is not None else built(chunks, each, analyser)
+    index = stored.open(each, alone=True) if stored is not None else built(chunks, each, analyser)
+    # dealt by id once: candidates, their questions and the positions of a text then meet without another shuffle
+    index = replace(index, postings=index.postings.repartition("id"))
     met, open_ = candidates(each, index)
-    held = met.join(open_, "qid", "left_anti").join(each.select("qid", "lexeme").distinct(), "qid").join(index.postings, ["lexeme", "id"])
-    found = held.groupBy("qid", "id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x")).join(asked, "qid")
-    return found.filter(fts.holds("x.lexeme", "x.positions", "question", analyser)).select("qid", "id")
+    closed = met.join(open_, "qid", "left_anti").join(settle(asked), "qid")
+    of_text = closed.groupBy("id").agg(F.collect_list(F.struct("qid", "question")).alias("q"))
+    found = index.postings.groupBy("id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x")).join(of_text, "id")
+    held = found.select("id", "q", fts.which_hold("x.lexeme", "x.positions", "q.question", analyser).alias("held"))
+    return held.select("id", F.explode(F.transform("held", lambda k: F.get("q", k)["qid"])).alias("qid")).select("qid", "id")
 
 
 def vector(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:

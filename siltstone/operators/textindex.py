@@ -14,7 +14,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from siltstone.sources.snapshots import Snapshot, SnapshotTable
 #: Lexemes up to this many are looked for in the tasks that read texts; more of them are joined.
 FEW = 200_000
 _TOKENS = 500_000
+_PACKED = {"compression": "zstd"}
 
 
 @dataclass(frozen=True)
@@ -40,30 +43,66 @@ class Index:
     analyser: str = lexer.ENGLISH
 
 
+class _Numbers(dict):
+    """Numbers of lexemes, given as they come; the lexeme of a stop word is None and has -1."""
+
+    def __init__(self) -> None:
+        super().__init__({None: -1})
+
+    def __missing__(self, lexeme: str) -> int:
+        self[lexeme] = n = len(self) - 1
+        return n
+
+
+def _grouped(words: list[list[int]], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number, text, and bounds in the positions that come last, of each lexeme (by number) of each text; negative numbers are none."""
+    sizes = [len(w) for w in words]
+    codes = np.fromiter(chain.from_iterable(words), np.int64, sum(sizes))
+    texts = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)
+    places = np.arange(1, len(codes) + 1) - np.repeat(ends - sizes, sizes)
+    order = np.argsort(codes, kind="stable")
+    order = order[np.searchsorted(codes[order], 0) :]
+    codes, texts, places = codes[order], texts[order], places[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (texts[1:] != texts[:-1])
+    if most is not None and len(places) and places.max() > most:  # the last position stands for all later ones
+        places = np.minimum(places, most)
+        kept = new.copy()
+        kept[1:] |= places[1:] != places[:-1]
+        codes, texts, places, new = codes[kept], texts[kept], places[kept], new[kept]
+    starts = np.flatnonzero(new)
+    return codes[starts], texts[starts], np.append(starts, len(codes)).astype(np.int32), places.astype(np.int32)
+
+
 def postings(chunks: DataFrame, analyser: str = lexer.ENGLISH, wanted: frozenset[str] | None = None) -> DataFrame:
     """lexeme, id and positions of every lexeme of `chunks` (id, text), or of the `wanted` ones alone; no shuffle."""
     kind = T.StructType([T.StructField("lexeme", T.StringType()), chunks.schema["id"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    most, full = lexer.most_position(analyser), _TOKENS
 
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = sorted(wanted or ())
+        known = None if wanted is None else {x: k for k, x in enumerate(few)}
         for b in source:
-            names: list[str] = []
-            rows: list[int] = []
-            places: list[list[int]] = []
-            size = 0
+            numbers = _Numbers() if known is None else known
+            words: list[list[int]] = []
+            first = size = 0
 
             def packed(b: pa.RecordBatch = b) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32()))], kind.names)
+                codes, texts, bounds, places = _grouped(words, most)
+                used, at = np.unique(codes, return_inverse=True)
+                lexemes = few if known is not None else [*numbers][1:]
+                names = pa.array([lexemes[n] for n in used.tolist()], pa.string())
+                return pa.RecordBatch.from_arrays([names.take(pa.array(at)), b.column(0).take(pa.array(texts + first)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(places))], kind.names)
 
             for k in range(b.num_rows):
-                found = lexer.lexemes(b.column(1)[k].as_py(), analyser)
-                for lexeme in found if wanted is None else [x for x in found if x in wanted]:  # `&` would go through all that are wanted, for each text
-                    names.append(lexeme)
-                    rows.append(k)
-                    places.append(found[lexeme])
-                    size += len(found[lexeme]) + 1
-                if size > _TOKENS:
+                found = lexer.placed(b.column(1)[k].as_py(), analyser)
+                words.append(list(map(numbers.__getitem__, found)) if known is None else [known.get(x, -1) for x in found])
+                size += len(found)
+                if size > full:
                     yield packed()
-                    names, rows, places, size = [], [], [], 0
+                    words, first, size = [], k + 1, 0
+                    numbers = _Numbers() if known is None else known
             yield packed()
 
     small_batches(chunks.sparkSession)
@@ -108,9 +147,8 @@ class TextIndex:
         info = {**self._info(now), "id": chunks.schema["id"].dataType.simpleString()}
         if now.info and now.info["id"] != info["id"]:
             raise TypeError(f"ids of this index are {now.info['id']}, not {info['id']}")
-        rows = settle(postings(chunks, info["analyser"]))
         ids = settle(chunks.select("id").filter("id IS NOT NULL"))
-        segment = self._segment(rows, ids, info)
+        segment = self._segment(postings(chunks, info["analyser"]), ids, info)
         self._publish(segment, ids, info)
         return self.merge()
 
@@ -119,12 +157,15 @@ class TextIndex:
         now = self.table.current()
         return self._publish([], settle(ids.select("id").distinct()), self._info(now)) if now.version else now
 
-    def _segment(self, rows: DataFrame, ids: DataFrame, info: dict) -> list[dict]:
+    def _segment(self, rows: DataFrame, ids: DataFrame, info: dict, gather: bool = False) -> list[dict]:
+        """Write a segment.  Postings go to their folders from the tasks that made them, which cost no copy but the segment itself; merges `gather` a folder's in few files."""
         placed = rows.withColumn("bucket", self._bucket(F.col("lexeme"), info))
-        dealt = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", "id")  # a bucket of a hot lexeme is split
-        counts = placed.groupBy("bucket", "lexeme").agg(F.count(F.lit(1)).alias("n")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme")
+        dealt = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", "id") if gather else placed  # a bucket of a hot lexeme is split
         n = ids.count()
-        return [self.table.write_part(dealt, ("bucket",), kind="postings", rows=n), self.table.write_part(counts, ("bucket",), kind="terms"), self.table.write_part(ids, kind="ids")]
+        part = self.table.write_part(dealt, ("bucket",), _PACKED, kind="postings", rows=n)
+        written = self.table.spark.read.schema(self._schema("postings", info)).parquet(f"{self.table.path}/{part['path']}")
+        counts = written.groupBy("bucket", "lexeme").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("bucket", "lexeme")
+        return [part, self.table.write_part(counts, ("bucket",), kind="terms"), self.table.write_part(ids, kind="ids")]
 
     def _publish(self, segment: list[dict], ids: DataFrame, info: dict) -> Snapshot:
         def step(now: Snapshot) -> Snapshot:
@@ -150,7 +191,7 @@ class TextIndex:
                 return now
             gone = set(full[0])
             rows, ids = (self._live(now, kind, info, gone) for kind in ("postings", "ids"))
-            segment = [{**p, "seq": max(gone)} for p in self._segment(settle(rows.drop("bucket")), settle(ids), info)]
+            segment = [{**p, "seq": max(gone)} for p in self._segment(rows.drop("bucket"), settle(ids), info, gather=True)]
 
             def step(new: Snapshot, gone: set = gone, segment: list = segment, info: dict = info) -> Snapshot:
                 if not gone <= {p["seq"] for p in new.parts if p["kind"] == "postings"}:
@@ -173,25 +214,28 @@ class TextIndex:
         read = [spark.read.schema(self._schema(kind, info)).parquet(f"{self.table.path}/{p['path']}").withColumn("seq", F.lit(p["seq"])) for p in own]
         return reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], self._schema(kind, info) + ", seq int")
 
-    def _live(self, now: Snapshot, kind: str, info: dict, only: set[int] | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """Rows of postings or ids that no later segment or deletion has replaced."""
+    def _live(self, now: Snapshot, kind: str, info: dict, only: set[int] | None = None, buckets: list[int] | None = None, lexemes: DataFrame | None = None) -> DataFrame:
+        """Rows of postings or ids that no later segment or deletion has replaced; with `buckets` and `lexemes`, of those alone, which are looked up first."""
         rows = self._of(now, kind, info, only)
         rows = rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+        rows = rows if lexemes is None else rows.join(lexemes, "lexeme", "left_semi")
         if not any(p["kind"] == "dead" for p in now.parts):
             return rows.drop("seq")
         dead = self._of(now, "dead", info).groupBy("id").agg(F.max("seq").alias("until"))
         return rows.join(dead, "id", "left").filter("until IS NULL OR until <= seq").drop("seq", "until")
 
-    def open(self, lexemes: DataFrame | None = None) -> Index:
-        """The newest snapshot; with `lexemes` (lexeme), of their folders alone."""
+    def open(self, lexemes: DataFrame | None = None, alone: bool = False) -> Index:
+        """The newest snapshot; with `lexemes` (lexeme), of their folders, or of them `alone`."""
         now = self.table.current()
         info = self._info(now)
         if info["id"] is None:
             raise FileNotFoundError(f"nothing has been indexed in {self.table.path}")
-        buckets = None
+        buckets = asked = None
         if lexemes is not None:  # numbers below `buckets`, not lexemes, come to the driver
-            buckets = sorted(r["b"] for r in lexemes.select(self._bucket(F.col("lexeme"), info).alias("b")).distinct().collect())
-        rows = self._live(now, "postings", info, buckets=buckets).select("lexeme", "id", "positions")
+            asked = settle(lexemes.select("lexeme").distinct())  # of known size, so that a few are sent to the postings
+            buckets = sorted(r["b"] for r in asked.select(self._bucket(F.col("lexeme"), info).alias("b")).distinct().collect())
+        rows = self._live(now, "postings", info, buckets=buckets, lexemes=asked if alone else None).select("lexeme", "id", "positions")
         terms = self._of(now, "terms", info)
         terms = terms if buckets is None else terms.filter(F.col("bucket").isin(buckets))
+        terms = terms.join(asked, "lexeme", "left_semi") if alone else terms
         return Index(rows, terms.groupBy("lexeme").agg(F.sum("n").alias("n")), self._live(now, "ids", info), info["analyser"])

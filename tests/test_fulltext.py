@@ -249,6 +249,33 @@ def test_search_reads_its_own_folders(spark, tmp_path):
     assert index.open().postings.count() == 400
 
 
+def test_postings_are_written_once(spark, tmp_path, monkeypatch):
+    """An upsert's postings go from the texts to their folders, and a search deals those it looks up by text; no other copy of them is made."""
+    index, copies, plan = TextIndex(spark, str(tmp_path / "index"), analyser="words", buckets=4), [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    settle, write = textindex.settle, index.table.write_part
+    monkeypatch.setattr(textindex, "settle", lambda df: copies.append(df.columns) or settle(df))
+    monkeypatch.setattr(index.table, "write_part", lambda df, *a, **marks: copies.append(df.columns) or plans.setdefault(marks["kind"], plan(df)) and write(df, *a, **marks))
+    plans = {}
+    index.upsert(spark.createDataFrame([(k, f"word{k} common tea" + " common" * k) for k in range(40)], "id long, text string"))
+    assert sum("positions" in c for c in copies) == 1 and "Exchange" not in plans["postings"]
+    found = S.boolean_matches(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(1, "common word7"), (2, '"common common" -word3'), (3, "absent")], "qid long, text string"), index)
+    assert not re.search(r"Exchange hashpartitioning\((lexeme|word)#\d+, id#", plan(found))
+    assert sorted(map(tuple, found.collect())) == [(1, 7), *((2, k) for k in range(2, 40) if k != 3)]
+
+
+def test_positions_are_the_lexers(spark, monkeypatch):
+    """Postings are those of the lexer text by text, however many tokens are taken at a time and beyond the last position that is counted."""
+    texts = ["", None, "the of", "Tea, the tea; soil", "x " * 20_000 + "soil tea", "water the tea " * 9, "tea"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for analyser in (lexer.ENGLISH, lexer.SIMPLE, lexer.WORDS):
+        want = {(k, x, tuple(p)) for k, t in enumerate(texts) for x, p in lexer.lexemes(t, analyser).items()}
+        for size in (5, 500_000):
+            monkeypatch.setattr(textindex, "_TOKENS", size)
+            assert {(r.id, r.lexeme, tuple(r.positions)) for r in textindex.postings(chunks, analyser).collect()} == want
+            few = frozenset({"tea", "soil", "absent"})
+            assert {(r.id, r.lexeme, tuple(r.positions)) for r in textindex.postings(chunks, analyser, few).collect()} == {x for x in want if x[1] in few}
+
+
 def test_upserts_at_once(spark, tmp_path):
     """Two writers at a time: both batches are in, and a text that both hold is there once."""
     from concurrent.futures import ThreadPoolExecutor
