@@ -132,5 +132,15 @@ def chunk(sections: DataFrame, strategy: str, vocabulary: tuple[str, str] | None
     return rows.select("document_id", "section_id", F.lit(strategy).alias("strategy"), "chunk_index", "text", F.size(tokens(F.col("text"))).alias("token_count"))
 
 
-def chunk_all(sections: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    return reduce(DataFrame.unionByName, (chunk(sections, s, vocabulary) for s in STRATEGIES))
+def chunk_all(sections: DataFrame, vocabulary: tuple[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunk rows of all strategies; without a vocabulary in one pass, a section's of one strategy after another, with its columns `keep`."""
+    if vocabulary is not None:
+        return reduce(DataFrame.unionByName, (chunk(sections, s, vocabulary) for s in STRATEGIES))
+    one = lambda c: F.explode(F.array(c))  # noqa: E731  keeps what is used again from being inlined
+    cut = sections.select("document_id", "id", *keep, "raw_text", one(F.coalesce(tokens(F.col("raw_text")), F.array().cast("array<string>"))).alias("t"))
+    cut = cut.select("document_id", "id", *keep, "raw_text", one(fixed(F.col("t"))).alias("windows"))
+    source = {s: F.col("windows" if s == "fixed" else "raw_text") for s in STRATEGIES}
+    each = F.array(*(F.struct(F.lit(s).alias("strategy"), SPLIT[s](source[s]).alias("chunks")) for s in STRATEGIES))
+    split = cut.select("document_id", "id", *keep, F.explode(each).alias("c"))
+    rows = split.select("document_id", F.col("id").alias("section_id"), F.col("c.strategy").alias("strategy"), F.posexplode("c.chunks").alias("chunk_index", "text"), *keep)
+    return rows.select("document_id", "section_id", "strategy", "chunk_index", "text", F.size(tokens(F.col("text"))).alias("token_count"), *keep)

@@ -100,16 +100,29 @@ def keyword(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, stored: Tex
     the questions ask for are looked up in it.
     """
     analyser = stored.analyser if stored is not None else analyser
-    asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
-    each = settle(asked.select("qid", F.explode(fts.terms("question", analyser)).alias("t")).select("qid", "t.*"))
-    index = stored.open(each) if stored is not None else built(chunks, each, analyser)
+    each = terms(questions, analyser)
+    return best(questions, each, stored.open(each, alone=True) if stored is not None else built(chunks, each, analyser), k)
+
+
+def terms(questions: DataFrame, analyser: str = ENGLISH) -> DataFrame:
+    """qid, clause, negated, lexeme: the terms of boolean questions (qid, text)."""
+    return settle(questions.select("qid", F.explode(fts.terms("text", analyser)).alias("t")).select("qid", "t.*"))
+
+
+def best(questions: DataFrame, each: DataFrame, index: Index, k: int) -> DataFrame:
+    """`keyword` over an index that holds the terms `each` of the questions."""
+    analyser, asked = index.analyser, questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
     met, open_ = candidates(each, index)
-    terms = each.select("qid", "lexeme").distinct()
-    held = met.join(terms, "qid").join(index.postings, ["lexeme", "id"])
-    found = held.groupBy("qid", "id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x")).join(asked, "qid")
-    scored = found.select("qid", "id", fts.rank_of("x.lexeme", "x.positions", "question", analyser).alias("score")).filter("score IS NOT NULL")
+    # of known size, so that few are sent to the texts; a text meets its questions once, whatever their number
+    of_text = settle(met.join(asked, "qid").groupBy("id").agg(F.collect_list(F.struct("qid", "question")).alias("q")))
+    texts = index.texts
+    if texts is None:
+        texts = index.postings.join(of_text.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("x"))
+    found = texts.join(of_text, "id").select("id", "q", fts.ranks_of("x.lexeme", "x.positions", "q.question", analyser).alias("r"))
+    rows = found.select("id", F.explode(F.transform("r", lambda r: F.struct(F.get("q", r["place"])["qid"].alias("qid"), r["score"].alias("score")))).alias("r"))
+    scored = rows.groupBy("r.qid", "id").agg(F.max("r.score").alias("score"))
     if not (rest := settle(open_)).isEmpty():
-        taken = terms.join(rest, "qid", "left_semi").join(index.postings, "lexeme").select("qid", "id").distinct()
+        taken = each.select("qid", "lexeme").distinct().join(rest, "qid", "left_semi").join(index.postings, "lexeme").select("qid", "id").distinct()
         scored = scored.union(_free(taken, rest, index.ids, k).select("qid", "id", F.lit(0.0)))
     return ranked(scored, k, F.desc("score")).select("qid", "rank", "id", "score")
 
@@ -118,7 +131,7 @@ def boolean_matches(chunks: DataFrame, questions: DataFrame, stored: TextIndex |
     """qid, id of all matches of web-style questions; those with an alternative of negations alone match as many rows as there are, so they are left to `keyword`."""
     analyser = stored.analyser if stored is not None else analyser
     asked = questions.select("qid", F.col("text").alias("question")).filter("question IS NOT NULL")
-    each = settle(asked.select("qid", F.explode(fts.terms("question", analyser)).alias("t")).select("qid", "t.*"))
+    each = terms(questions, analyser)
     index = stored.open(each, alone=True) if stored is not None else built(chunks, each, analyser)
     # dealt by id once: candidates, their questions and the positions of a text then meet without another shuffle
     index = replace(index, postings=index.postings.repartition("id"))

@@ -30,6 +30,8 @@ from siltstone.sources.snapshots import Snapshot, SnapshotTable
 #: Lexemes up to this many are looked for in the tasks that read texts; more of them are joined.
 FEW = 200_000
 _TOKENS = 500_000
+#: Stretches of text whose lexemes a task remembers.
+_KEPT = 200_000
 _PACKED = {"compression": "zstd"}
 
 
@@ -41,81 +43,137 @@ class Index:
     terms: DataFrame
     ids: DataFrame
     analyser: str = lexer.ENGLISH
-
-
-class _Numbers(dict):
-    """Numbers of lexemes, given as they come; the lexeme of a stop word is None and has -1."""
-
-    def __init__(self) -> None:
-        super().__init__({None: -1})
-
-    def __missing__(self, lexeme: str) -> int:
-        self[lexeme] = n = len(self) - 1
+    #: id and x (lexeme, positions) of each text, where they are at hand.
+    texts: DataFrame | None = None
+
+
+class _Lexemes(dict):
+    """Numbers of stretches of text, given as they come, and what lexemes each stands for.
+
+    A stretch is one without white space, or (as a tuple) a lexeme itself.
+    Lexemes have numbers too, in the order of `names`; with `wanted` the others
+    have -1, as have stop words.
+    """
+
+    def __init__(self, analyser: str, wanted: frozenset[str] | None):
+        super().__init__()
+        self.analyser, self.all = analyser, wanted is None
+        self.names = sorted(wanted or ())
+        self.known: dict[str | None, int] = {None: -1, **{x: k for k, x in enumerate(self.names)}}
+        self.flat: list[int] = []
+        self.starts: list[int] = []
+
+    def __missing__(self, key: str | tuple[str | None]) -> int:
+        own = key if isinstance(key, tuple) else lexer.stretch(key, self.analyser)
+        self.starts.append(len(self.flat))
+        for lexeme in own:
+            if self.all and lexeme not in self.known:
+                self.known[lexeme] = len(self.names)
+                self.names.append(lexeme)
+            self.flat.append(self.known.get(lexeme, -1))
+        self[key] = n = len(self)
         return n
 
-
-def _grouped(words: list[list[int]], most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number, text, and bounds in the positions that come last, of each lexeme (by number) of each text; negative numbers are none."""
-    sizes = [len(w) for w in words]
-    codes = np.fromiter(chain.from_iterable(words), np.int64, sum(sizes))
-    texts = np.repeat(np.arange(len(words)), sizes)
-    ends = np.cumsum(sizes)
-    places = np.arange(1, len(codes) + 1) - np.repeat(ends - sizes, sizes)
-    order = np.argsort(codes, kind="stable")
-    order = order[np.searchsorted(codes[order], 0) :]
-    codes, texts, places = codes[order], texts[order], places[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (texts[1:] != texts[:-1])
-    if most is not None and len(places) and places.max() > most:  # the last position stands for all later ones
-        places = np.minimum(places, most)
-        kept = new.copy()
-        kept[1:] |= places[1:] != places[:-1]
-        codes, texts, places, new = codes[kept], texts[kept], places[kept], new[kept]
-    starts = np.flatnonzero(new)
-    return codes[starts], texts[starts], np.append(starts, len(codes)).astype(np.int32), places.astype(np.int32)
+    def numbers(self, text: str | None) -> list[int]:
+        low = (text or "").lower()
+        if self.analyser == lexer.WORDS or "<" in low:  # only tags can hold white space
+            return [self[x,] for x in lexer.placed(text, self.analyser)]
+        return list(map(self.__getitem__, low.split()))
+
+    def grouped(self, texts: list[list[int]], by_text: bool) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        """Of each lexeme of each text its number, the text's place and the positions, in the order of texts or of lexemes."""
+        counts = [len(t) for t in texts]
+        keys = np.fromiter(chain.from_iterable(texts), np.int64, sum(counts))
+        starts = np.array(self.starts, np.int64)
+        sizes = np.diff(starts, append=len(self.flat))[keys]
+        ends = np.cumsum(sizes)
+        codes = np.array(self.flat, np.int64)[np.arange(sizes.sum()) + np.repeat(starts[keys] - (ends - sizes), sizes)]
+        rows = np.repeat(np.repeat(np.arange(len(texts)), counts), sizes)
+        lengths = np.bincount(rows, minlength=len(texts))
+        places = np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        held = codes >= 0
+        codes, rows, places = codes[held], rows[held], places[held]
+        order = np.argsort(rows * len(self.names) + codes if by_text else codes, kind="stable")
+        codes, rows, places = codes[order], rows[order], places[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])
+        most = lexer.most_position(self.analyser)
+        if most is not None and len(places) and places.max() > most:  # the last position stands for all later ones
+            places = np.minimum(places, most)
+            kept = new.copy()
+            kept[1:] |= places[1:] != places[:-1]
+            codes, rows, places, new = codes[kept], rows[kept], places[kept], new[kept]
+        at = np.flatnonzero(new)
+        bounds = np.append(at, len(codes)).astype(np.int32)
+        return codes[at], rows[at], pa.ListArray.from_arrays(pa.array(bounds), pa.array(places.astype(np.int32)))
+
+    def named(self, codes: np.ndarray) -> pa.Array:
+        used, at = np.unique(codes, return_inverse=True)
+        return pa.array([self.names[n] for n in used.tolist()], pa.string()).take(pa.array(at))
+
+
+def _read(source: Iterator[pa.RecordBatch], analyser: str, wanted: frozenset[str] | None, by_text: bool, full: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, pa.ListArray]]:
+    """Stretches of the batches, and of the texts in their last column the lexemes, each lexeme's text in the stretch and its positions."""
+    lexemes = _Lexemes(analyser, wanted)
+    for b in source:
+        column, texts, first, size = b.column(b.num_columns - 1), [], 0, 0
+        for k in range(b.num_rows):
+            texts.append(lexemes.numbers(column[k].as_py()))
+            size += len(texts[-1])
+            if size > full or k == b.num_rows - 1:
+                codes, rows, places = lexemes.grouped(texts, by_text)
+                yield b.slice(first, len(texts)), lexemes.named(codes), rows, places
+                texts, first, size = [], k + 1, 0
+                if len(lexemes) > _KEPT:
+                    lexemes = _Lexemes(analyser, wanted)
 
 
 def postings(chunks: DataFrame, analyser: str = lexer.ENGLISH, wanted: frozenset[str] | None = None) -> DataFrame:
     """lexeme, id and positions of every lexeme of `chunks` (id, text), or of the `wanted` ones alone; no shuffle."""
     kind = T.StructType([T.StructField("lexeme", T.StringType()), chunks.schema["id"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
-    most, full = lexer.most_position(analyser), _TOKENS
+    full = _TOKENS
 
     def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few = sorted(wanted or ())
-        known = None if wanted is None else {x: k for k, x in enumerate(few)}
-        for b in source:
-            numbers = _Numbers() if known is None else known
-            words: list[list[int]] = []
-            first = size = 0
-
-            def packed(b: pa.RecordBatch = b) -> pa.RecordBatch:
-                codes, texts, bounds, places = _grouped(words, most)
-                used, at = np.unique(codes, return_inverse=True)
-                lexemes = few if known is not None else [*numbers][1:]
-                names = pa.array([lexemes[n] for n in used.tolist()], pa.string())
-                return pa.RecordBatch.from_arrays([names.take(pa.array(at)), b.column(0).take(pa.array(texts + first)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(places))], kind.names)
-
-            for k in range(b.num_rows):
-                found = lexer.placed(b.column(1)[k].as_py(), analyser)
-                words.append(list(map(numbers.__getitem__, found)) if known is None else [known.get(x, -1) for x in found])
-                size += len(found)
-                if size > full:
-                    yield packed()
-                    words, first, size = [], k + 1, 0
-                    numbers = _Numbers() if known is None else known
-            yield packed()
+        for b, names, rows, places in _read(source, analyser, wanted, False, full):
+            yield pa.RecordBatch.from_arrays([names, b.column(0).take(pa.array(rows)), places], kind.names)
 
     small_batches(chunks.sparkSession)
     return chunks.select("id", "text").filter("id IS NOT NULL").mapInArrow(read, kind)
 
 
+def few(lexemes: DataFrame) -> frozenset[str] | None:
+    """Those `lexemes` (lexeme), if there are few enough to be looked for in the tasks that read texts."""
+    found = lexemes.select("lexeme").distinct().limit(FEW + 1).collect()
+    return frozenset(r["lexeme"] for r in found) if len(found) <= FEW else None
+
+
+def with_postings(chunks: DataFrame, lexemes: DataFrame, analyser: str = lexer.ENGLISH) -> DataFrame:
+    """`chunks` with `found`, the `lexemes` (lexeme) that a text holds and their positions, in place of the text; more than a few lexemes are all kept."""
+    own, full, wanted = [c for c in chunks.columns if c != "text"], _TOKENS, few(lexemes)
+    kind = T.StructType([*(chunks.schema[c] for c in own), T.StructField("found", T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])))])
+
+    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, names, rows, places in _read(source, analyser, wanted, True, full):
+            each = pa.StructArray.from_arrays([names, places], ["lexeme", "positions"])
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)), each)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], kind.names)
+
+    small_batches(chunks.sparkSession)
+    return chunks.select(*own, "text").mapInArrow(read, kind)
+
+
+def index_of(held: DataFrame, lexemes: DataFrame, analyser: str = lexer.ENGLISH) -> Index:
+    """An index of `lexemes` (lexeme) from the postings (id, found) that `with_postings` has made."""
+    rows = held.filter("id IS NOT NULL").select("id", F.explode("found").alias("f")).select("f.lexeme", "id", "f.positions").join(lexemes.select("lexeme").distinct(), "lexeme", "left_semi")
+    return Index(rows, rows.groupBy("lexeme").agg(F.count(F.lit(1)).alias("n")), held.select("id").filter("id IS NOT NULL"), analyser, held.select("id", F.col("found").alias("x")))
+
+
 def built(chunks: DataFrame, lexemes: DataFrame | None = None, analyser: str = lexer.ENGLISH) -> Index:
     """An index of `chunks` (id, text; ids are unique), of the `lexemes` (lexeme) alone where they are given."""
     wanted, rest = None, None
     if lexemes is not None:
-        asked = lexemes.select("lexeme").distinct()
-        few = asked.limit(FEW + 1).collect()
-        wanted, rest = (frozenset(r["lexeme"] for r in few), None) if len(few) <= FEW else (None, asked)
+        wanted = few(lexemes)
+        rest = lexemes.select("lexeme").distinct() if wanted is None else None
     rows = postings(chunks, analyser, wanted)
     rows = settle(rows if rest is None else rows.join(rest, "lexeme", "left_semi"))
     return Index(rows, rows.groupBy("lexeme").agg(F.count(F.lit(1)).alias("n")), chunks.select("id").filter("id IS NOT NULL"), analyser)

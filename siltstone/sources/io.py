@@ -56,14 +56,14 @@ def _folder(spark: SparkSession, path: str):  # noqa: ANN202
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back.
+def settle(df: DataFrame, *by: str) -> DataFrame:
+    """Write a table into the shared folder, in a folder for each value of the columns `by`, and read it back.
 
     Cuts the lineage, so that a lost executor never sends work back past this
     point, and lets several readers share what was computed once.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,15 @@ import json
 import math
 import random
 import time
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import models as M
 from siltstone.functions.vectors import nearest
+from siltstone.operators import chunks as C
 from siltstone.operators import evaluate as E
 from siltstone.operators import monitor as N
 from siltstone.operators import search as S
@@ -295,3 +298,24 @@ def test_evaluation_cuts_each_chunk_once(spark):
     got = {(r.strategy, r.method): (r.hit_rate, r.n_questions) for r in E.evaluate(chunks, asked, ("a", "b")).collect()}
     assert got["a", "keyword"] == got["b", "keyword"] == (1.0, 2) and len(got) == 6
     assert made.value == len(rows)
+
+
+def test_evaluation_writes_positions_not_texts(spark, monkeypatch):
+    """All strategies' chunks are written in one pass, without their texts."""
+    wrote, settle = [], E.settle
+    monkeypatch.setattr(E, "settle", lambda df, *by: wrote.append(set(df.columns)) or settle(df, *by))
+    rows = [(2 * k + (s == "b"), s, k, f"word{k} common tea") for k in range(30) for s in ("a", "b")]
+    chunks = spark.createDataFrame(rows, "id long, strategy string, section_id long, text string").withColumn("vector", F.array(F.cos("id"), F.sin("id")))
+    asked = spark.createDataFrame([(1, "word7", 7, [1.0, 0.0]), (2, "common -word3", 0, [1.0, 0.0]), (3, "absent", 4, [1.0, 0.0])], "qid long, text string, target long, vector array<double>")
+    got = {(r.strategy, r.method): round(r.mrr, 6) for r in E.evaluate(chunks, asked, ("a", "b")).collect()}
+    assert got["a", "keyword"] == got["b", "keyword"] == round(2 / 3, 6)
+    assert not any({"section_id", "text"} <= c for c in wrote) and sum("found" in c for c in wrote) == 1
+
+
+def test_strategies_in_one_pass_are_each_ones(spark):
+    texts = ["", None, " abc ", "word " * 700, "a paragraph.\n\n" * 90, "line\n" * 400, "x" * 2500, "tiny\n\n" + "long " * 300]
+    rows = spark.createDataFrame([("d", f"s{k}", t, k) for k, t in enumerate(texts)], "document_id string, id string, raw_text string, kept int")
+    own = reduce(DataFrame.unionByName, (C.chunk(rows, s) for s in C.STRATEGIES))
+    both = C.chunk_all(rows, keep=("kept",))
+    assert sorted(map(tuple, both.drop("kept").collect())) == sorted(map(tuple, own.collect())) and own.schema == both.drop("kept").schema
+    assert both.filter("section_id <> concat('s', kept)").isEmpty()
